@@ -13,6 +13,10 @@ first candidate. Picks are reported by relevance rounded to 4 places (ties keep
 pick order), and a document keeps the keywords scoring strictly above a third of
 its best score.
 
+Arrays are exploded with the ``*_outer`` generators plus a null filter: a
+plain explode lets the optimizer infer ``size(array) > 0`` and push it below
+the projection that builds the array, re-evaluating it per element.
+
 Everything after the one join that attaches each document's weight map runs
 inside the document's row with higher-order functions: no shuffle per MMR
 round, no Python. A document's candidates are bounded by its own length.
@@ -81,7 +85,7 @@ def score_candidates(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
 
 def relevance_long(scored: DataFrame, digits: int = 6) -> DataFrame:
     """K1 in long form: doc_id, keyword, score (rounded)."""
-    return (scored.select("doc_id", F.explode("cands").alias("k"))
+    return (scored.select("doc_id", F.explode_outer("cands").alias("k")).where(F.col("k").isNotNull())
             .select("doc_id", F.col("k.keyword").alias("keyword"), F.round("k.rel", digits).alias("score")))
 
 
@@ -163,7 +167,7 @@ def threshold_array(kws_df: DataFrame, divisor: float = THRESHOLD_DIVISOR) -> Da
 
 def explode_keywords(kws_df: DataFrame) -> DataFrame:
     """Long form: doc_id, keyword, score, rank (1-based, array order)."""
-    return (kws_df.select("doc_id", F.posexplode("kws").alias("pos", "k"))
+    return (kws_df.select("doc_id", F.posexplode_outer("kws").alias("pos", "k")).where(F.col("k").isNotNull())
             .select("doc_id", F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score"),
                     (F.col("pos") + 1).cast("int").alias("rank")))
 

@@ -29,7 +29,11 @@ def doc_terms(prepared: DataFrame) -> DataFrame:
     (used to rebuild the weighted sequence; pruned by Catalyst when unused).
     One shuffle on (doc_id, token) with map-side partial aggregation, so a long
     or repeated document is pre-aggregated before it moves."""
-    return (prepared.select("doc_id", F.posexplode("content").alias("pos", "token"))
+    # ``*_outer`` + null filter: a plain explode makes the optimizer infer
+    # ``size(content) > 0`` and push it below the projection, evaluating the
+    # whole cleaning expression twice.
+    return (prepared.select("doc_id", F.posexplode_outer("content").alias("pos", "token"))
+            .where(F.col("token").isNotNull())
             .groupBy("doc_id", "token")
             .agg(F.count(F.lit(1)).alias("tf"), F.collect_list("pos").alias("positions")))
 
