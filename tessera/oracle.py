@@ -133,3 +133,56 @@ def keywords_sql(use_mmr: bool = True, thresholded: bool = True) -> str:
         chain += f""",
 kw AS (SELECT * FROM {src})"""
     return chain
+
+
+# ---------------------------------------------------------------- vectors
+
+DIM = 64
+
+
+def sign_sql(key: str, j: int) -> str:
+    return (f"((((instr('0123456789abcdef', substr(md5(CAST({key} AS VARCHAR)), {j // 4 + 1}, 1)) - 1) "
+            f">> {j % 4}) & 1) * 2 - 1)")
+
+
+def token_vector_cte(src: str = "dt", name: str = "tvec", only: str | None = None) -> str:
+    where = f" WHERE token IN (SELECT token FROM {only})" if only else ""
+    sums = ", ".join(f"sum(tf * {sign_sql('doc_id', j)})::BIGINT" for j in range(DIM))
+    return f""",
+{name} AS (SELECT token, [{sums}] AS tv FROM {src}{where} GROUP BY token)"""
+
+
+def _normalized(raw_cte: str, key: str, name: str) -> str:
+    return f""",
+{name} AS (SELECT {key}, CASE WHEN nrm > 0 THEN list_transform(raw, lambda x: x / nrm)
+                       ELSE list_transform(raw, lambda x: x * 0.0::DOUBLE) END AS v
+  FROM (SELECT {key}, raw, sqrt(list_reduce(list_transform(raw, lambda x: x * x), lambda a, b: a + b)) AS nrm
+        FROM {raw_cte}))"""
+
+
+def phrase_vector_ctes(phrases: str, key: str, text: str, name: str, tvec: str = "tvec") -> str:
+    sums = ", ".join(f"sum(w * tv[{j + 1}])" for j in range(DIM))
+    return f""",
+{name}_tok AS (SELECT {key}, t AS token, count(*) AS n FROM (
+    SELECT {key}, unnest(string_split({text}, ' ')) AS t FROM {phrases}) WHERE t <> '' GROUP BY {key}, t),
+{name}_raw AS (SELECT p.{key}, [{sums}] AS raw FROM (
+    SELECT {name}_tok.{key}, {name}_tok.n * ts.idf AS w, {tvec}.tv FROM {name}_tok
+    JOIN ts USING (token) JOIN {tvec} USING (token)) p GROUP BY p.{key})""" + _normalized(f"{name}_raw", key, name)
+
+
+def doc_vector_ctes(name: str = "dvec", tvec: str = "tvec") -> str:
+    sums = ", ".join(f"sum(wd * tv[{j + 1}])" for j in range(DIM))
+    return f""",
+{name}_raw AS (SELECT doc_id, [{sums}] AS raw FROM wt JOIN {tvec} USING (token) GROUP BY doc_id)""" + \
+        _normalized(f"{name}_raw", "doc_id", name)
+
+
+def vec_text(v: str) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: CAST(round(x * 1000000) AS BIGINT)), ',')"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    dot = f"list_reduce(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]), lambda x, y: x + y)"
+    na = f"sqrt(list_reduce(list_transform({a}, lambda x: x * x), lambda x, y: x + y))"
+    nb = f"sqrt(list_reduce(list_transform({b}, lambda x: x * x), lambda x, y: x + y))"
+    return f"(CASE WHEN {na} > 0 AND {nb} > 0 THEN {dot} / ({na} * {nb}) ELSE 0.0::DOUBLE END)"

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import oracle as O
 from ..functions import text as T
+from ..functions import vectors as VF
 from ..operators import keywords as K
+from ..operators import vectors as V
 from ..sources import corpus as S
 from ..session import table
 from .corpus import Corpus
@@ -151,3 +153,61 @@ def q_vocabulary(spark, sf):
 def q_keyword_lists(spark, sf):
     lists = K.keyword_lists(corpus(spark, sf).keywords())
     return lists.select("doc_id", F.concat_ws("|", "keywords").alias("keywords"))
+
+
+# ---------------------------------------------------------------- vectors
+
+@register("token_vectors",
+          O.with_(O.corpus_ctes(), O.token_vector_cte()) +
+          "\nSELECT token, array_to_string(tv, ',') AS tv FROM tvec")
+def q_token_vectors(spark, sf):
+    tv = corpus(spark, sf).token_vectors()
+    return tv.select("token", F.concat_ws(",", F.transform("tv", lambda x: x.cast("string"))).alias("tv"))
+
+
+def _keyword_phrases(c: Corpus) -> DataFrame:
+    return c.keywords().select(F.col("keyword").alias("phrase")).distinct().withColumn("keyword", F.col("phrase"))
+
+
+@register("keyword_vectors",
+          O.with_(O.keywords_sql(), ",\nkwv AS (SELECT DISTINCT keyword FROM kw)",
+                  O.token_vector_cte(), O.phrase_vector_ctes("kwv", "keyword", "keyword", "kvec")) +
+          f"\nSELECT keyword, {O.vec_text('v')} AS v FROM kvec")
+def q_keyword_vectors(spark, sf):
+    c = corpus(spark, sf)
+    kv = c.phrase_vectors(_keyword_phrases(c), "keyword")
+    return kv.select("keyword", V.vector_text(F.col("v")).alias("v"))
+
+
+@register("doc_vectors",
+          O.with_(O.corpus_ctes(), O.token_vector_cte(), O.doc_vector_ctes()) +
+          f"\nSELECT doc_id, {O.vec_text('v')} AS v FROM dvec")
+def q_doc_vectors(spark, sf):
+    dv = corpus(spark, sf).doc_vectors()
+    return dv.select("doc_id", V.vector_text(F.col("v")).alias("v"))
+
+
+@register("cosine_pairs",
+          f"SELECT a.vec_id, b.vec_id AS next_id, round({O.cosine_sql('CAST(a.embedding AS DOUBLE[])', 'CAST(b.embedding AS DOUBLE[])')}, 6) AS cosine "
+          "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def q_cosine_pairs(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("v").alias("w"))
+    return e.join(b, "vec_id").select("vec_id", "next_id", F.round(VF.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
+
+
+@register("l2_normalize",
+          f"SELECT vec_id, {O.vec_text('list_transform(embedding, lambda x: x / sqrt(list_reduce(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE), lambda p, q: p + q)))')} AS v FROM embeddings")
+def q_l2_normalize(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("vec_id", V.vector_text(VF.l2_normalize(F.col("v"))).alias("v"))
+
+
+@register("attach_vectors",
+          "SELECT b.item_id, len(e.embedding)::BIGINT AS dims, e.label FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id")
+def q_attach_vectors(spark, sf):
+    items = table(spark, sf, "benchmark").select("item_id")
+    vecs = table(spark, sf, "embeddings")
+    out = S.attach_vectors(items, vecs, "item_id").join(
+        vecs.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
+    return out.select("item_id", F.size("v").cast("bigint").alias("dims"), "label")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keywords as K
 from ..operators import terms as TR
+from ..operators import vectors as V
 
 
 class Corpus:
@@ -59,6 +60,20 @@ class Corpus:
             arr = K.threshold_array(arr)
         return K.explode_keywords(arr)
 
+    def token_vectors(self, only_tokens: DataFrame | None = None) -> DataFrame:
+        return V.token_vectors(self.terms, only_tokens)
+
+    def phrase_vectors(self, phrases: DataFrame, key: str, text_col: str = "phrase",
+                       tvecs: DataFrame | None = None) -> DataFrame:
+        """Vectors of phrases; token vectors are built for the phrases' tokens only."""
+        if tvecs is None:
+            toks = phrases.select(F.explode_outer(F.split(F.col(text_col), " ")).alias("token"))
+            tvecs = self.token_vectors(toks.where(F.col("token").isNotNull()))
+        return V.phrase_vectors(phrases, key, self.stats, tvecs, text_col)
+
+    def doc_vectors(self) -> DataFrame:
+        return V.doc_vectors(self.weighted, self.token_vectors())
+
     def persist(self, *names: str) -> "Corpus":
         for n in names:
             df = getattr(self, n).persist(StorageLevel.MEMORY_AND_DISK)
