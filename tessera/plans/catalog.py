@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ..functions import text as T
 from ..functions import vectors as VF
+from ..operators import cluster as CL
+from ..operators import graph as G
 from ..operators import keywords as K
+from ..operators import reduce as R
 from ..operators import vectors as V
 from ..sources import corpus as S
 from ..session import table
@@ -211,3 +214,113 @@ def q_attach_vectors(spark, sf):
     out = S.attach_vectors(items, vecs, "item_id").join(
         vecs.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
     return out.select("item_id", F.size("v").cast("bigint").alias("dims"), "label")
+
+
+# ---------------------------------------------------------------- pairs, graphs, clusters
+
+SIM_T = 0.4
+
+
+def _emb(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+_E = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _pairs_sql(cond: str) -> str:
+    return (f"pairs AS (SELECT a.id AS a, b.id AS b, {O.cosine_sql('a.v', 'b.v')} AS cosine "
+            f"FROM e a JOIN e b ON a.id < b.id WHERE {cond.format(cos=O.cosine_sql('a.v', 'b.v'))})")
+
+
+@register("similar_topic_pairs",
+          f"WITH {_E}, {_pairs_sql('{cos} >= ' + repr(SIM_T))} "
+          "SELECT a, b, round(cosine, 6) AS cosine FROM pairs")
+def q_similar_pairs(spark, sf):
+    p = G.cosine_pairs(_emb(spark, sf), "vec_id", "v", SIM_T)
+    return p.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@register("similar_components",
+          f"WITH RECURSIVE {_E}, {_pairs_sql('{cos} >= ' + repr(SIM_T))}, "
+          "und AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), "
+          "reach(src, dst) AS (SELECT id, id FROM e UNION SELECT r.src, u.b FROM reach r JOIN und u ON u.a = r.dst) "
+          "SELECT src AS id, min(dst) AS comp FROM reach GROUP BY src")
+def q_similar_components(spark, sf):
+    e = _emb(spark, sf)
+    pairs = G.cosine_pairs(e, "vec_id", "v", SIM_T).select("a", "b")
+    return G.connected_components(e.select(F.col("vec_id").alias("id")), pairs)
+
+
+@register("similar_topic_groups",
+          f"WITH RECURSIVE {_E}, {_pairs_sql('{cos} >= ' + repr(SIM_T))}, "
+          "nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS rk FROM e), "
+          "nb AS (SELECT n.rk, n.id, list(p.a) FILTER (WHERE p.a IS NOT NULL) AS earlier "
+          "       FROM nodes n LEFT JOIN pairs p ON p.b = n.id GROUP BY n.rk, n.id), "
+          "g(rk, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL "
+          "  SELECT g.rk + 1, CASE WHEN len(list_filter(coalesce(nb.earlier, []::BIGINT[]), lambda x: list_contains(g.leaders, x))) > 0 "
+          "                   THEN g.leaders ELSE list_append(g.leaders, nb.id) END "
+          "  FROM g JOIN nb ON nb.rk = g.rk + 1), "
+          "fin AS (SELECT leaders FROM g ORDER BY rk DESC LIMIT 1), "
+          "lead AS (SELECT unnest(leaders) AS id FROM fin) "
+          "SELECT id, id AS leader FROM lead UNION ALL "
+          "SELECT p.b AS id, min(p.a) AS leader FROM pairs p WHERE p.a IN (SELECT id FROM lead) "
+          "AND p.b NOT IN (SELECT id FROM lead) GROUP BY p.b")
+def q_similar_groups(spark, sf):
+    e = _emb(spark, sf)
+    pairs = G.cosine_pairs(e, "vec_id", "v", SIM_T).select("a", "b")
+    return G.leader_groups(e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank")), pairs)
+
+
+def dbscan_sql(eps: float, min_samples: int = 15) -> str:
+    return (f"WITH RECURSIVE {_E}, {_pairs_sql('1.0 - {cos} <= ' + repr(float(eps)))}, "
+            "und AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), "
+            "deg AS (SELECT e.id, count(und.b) AS deg FROM e LEFT JOIN und ON und.a = e.id GROUP BY e.id), "
+            f"core AS (SELECT id FROM deg WHERE deg + 1 >= {int(min_samples)}), "
+            "cedge AS (SELECT a, b FROM und WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), "
+            "reach(src, dst) AS (SELECT id, id FROM core UNION SELECT r.src, c.b FROM reach r JOIN cedge c ON c.a = r.dst), "
+            "comp AS (SELECT src AS id, min(dst) AS comp FROM reach GROUP BY src), "
+            "num AS (SELECT comp, (dense_rank() OVER (ORDER BY comp) - 1)::INTEGER AS cluster FROM (SELECT DISTINCT comp FROM comp)), "
+            "corecl AS (SELECT comp.id, num.cluster FROM comp JOIN num USING (comp)), "
+            "border AS (SELECT u.a AS id, min(c.cluster) AS cluster FROM und u JOIN corecl c ON c.id = u.b "
+            "           WHERE u.a NOT IN (SELECT id FROM core) GROUP BY u.a) "
+            "SELECT e.id AS vec_id, coalesce(corecl.cluster, border.cluster, -1)::INTEGER AS cluster "
+            "FROM e LEFT JOIN corecl ON corecl.id = e.id LEFT JOIN border ON border.id = e.id")
+
+
+def _dbscan_query(eps: float):
+    def q(spark, sf):
+        return CL.dbscan(_emb(spark, sf), "vec_id", "v", eps=eps, min_samples=15, metric="cosine")
+    return q
+
+
+for _name, _eps in (("cluster_dbscan", 0.75), ("cluster_dbscan_wide", 0.8), ("cluster_dbscan_tight", 0.2)):
+    register(_name, dbscan_sql(_eps))(_dbscan_query(_eps))
+
+
+def _proj_sql() -> str:
+    cols = R.signed_projection_columns()
+    unit = "list_transform(v, lambda x: x / sqrt(list_reduce(list_transform(v, lambda y: y * y), lambda p, q: p + q)))"
+    dots = []
+    for col in cols:
+        lit = "[" + ", ".join(repr(w) for w in col) + "]::DOUBLE[]"
+        dots.append(f"list_reduce(list_transform(list_zip({unit}, {lit}), lambda z: z[1] * z[2]), lambda x, y: x + y)")
+    return (f"WITH {_E}, r AS (SELECT id, [{', '.join(dots)}] AS r FROM e) "
+            f"SELECT id AS vec_id, {O.vec_text('r')} AS r FROM r")
+
+
+@register("reduce_projection", _proj_sql())
+def q_reduce_projection(spark, sf):
+    red = R.reduce_projection(_emb(spark, sf), "vec_id", "v")
+    return red.select("vec_id", V.vector_text(F.col("r")).alias("r"))
+
+
+@register("reduce_pca", None)
+def q_reduce_pca(spark, sf):
+    red, _ = R.reduce_pca(_emb(spark, sf), "vec_id", "v", 5)
+    return red.select("vec_id", F.size("r").cast("bigint").alias("dims"), V.vector_text(F.col("r")).alias("r"))
+
+
+@register("cluster_kmeans", None)
+def q_cluster_kmeans(spark, sf):
+    return CL.kmeans(_emb(spark, sf), "vec_id", "v", k=10)
