@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VF
+from ..session import cut_lineage
 from . import graph as G
 
 METHODS = ("HDBSCAN", "DBSCAN", "KMeans")
@@ -54,13 +55,13 @@ def dbscan(items: DataFrame, key: str, vec: str, eps: float = 0.2, min_samples:
     else:
         pts = items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("u"))
         pairs = G.radius_pairs(pts.select("id", "u"), "id", "u", float(eps), grid_dims).select("a", "b")
-    pairs = pairs.persist()
+    pairs = cut_lineage(pairs)
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     ids = pts.select("id")
     core = (ids.join(deg.withColumnRenamed("a", "id"), "id", "left")
             .where(F.coalesce(F.col("deg"), F.lit(0)) + 1 >= int(min_samples)).select("id"))
-    core = core.persist()
+    core = cut_lineage(core)
     core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
                   .join(core.withColumnRenamed("id", "b"), "b", "left_semi"))
     comps = G.connected_components(core, core_edges)

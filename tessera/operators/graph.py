@@ -66,15 +66,14 @@ def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_di
             .where(F.col("cosine") >= F.lit(float(threshold))))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id",
-                         checkpoint_every: int = 2) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """(id, comp) where comp is the smallest id in the node's component.
     ``edges`` has columns (a, b), undirected."""
     und = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     und = und.where(F.col("a") != F.col("b")).distinct()
     und = cut_lineage(und)
     labels = cut_lineage(nodes.select(F.col(node).alias("id")).distinct().withColumn("comp", F.col("id")))
-    for rnd in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS):
         nbr = und.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("nc")), "a") \
                  .groupBy(F.col("b").alias("id")).agg(F.min("nc").alias("nc"))
         hop = labels.join(nbr, "id", "left").select(
@@ -82,7 +81,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id",
         # pointer jumping: adopt the label of one's label
         jump = hop.join(hop.select(F.col("id").alias("comp"), F.col("comp").alias("c2")), "comp", "left") \
                   .select("id", F.least(F.col("comp"), F.coalesce(F.col("c2"), F.col("comp"))).alias("comp"))
-        new = cut_lineage(jump) if (rnd + 1) % checkpoint_every == 0 else jump.persist()
+        new = cut_lineage(jump)
         changed = new.join(labels.select("id", F.col("comp").alias("old")), "id") \
                      .where(F.col("comp") != F.col("old")).count()
         labels = new

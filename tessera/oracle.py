@@ -115,7 +115,8 @@ def threshold_cte(src: str, name: str) -> str:
 
 def with_(*ctes: str) -> str:
     body = "".join(ctes)
-    return "WITH " + body.lstrip().lstrip(",")
+    head = "WITH RECURSIVE " if "_g(rk, leaders)" in body else "WITH "
+    return head + body.lstrip().lstrip(",")
 
 
 def keywords_sql(use_mmr: bool = True, thresholded: bool = True) -> str:
@@ -186,3 +187,82 @@ def cosine_sql(a: str, b: str) -> str:
     na = f"sqrt(list_reduce(list_transform({a}, lambda x: x * x), lambda x, y: x + y))"
     nb = f"sqrt(list_reduce(list_transform({b}, lambda x: x * x), lambda x, y: x + y))"
     return f"(CASE WHEN {na} > 0 AND {nb} > 0 THEN {dot} / ({na} * {nb}) ELSE 0.0::DOUBLE END)"
+
+
+# ---------------------------------------------------------------- topics on a fixed upstream
+
+def fixed_topic_ctes() -> str:
+    """After keywords_sql(): vocab, kc (keyword → md5 bucket of its first token,
+    bucket 15 = noise), class tf-idf labels clab, keyword → topic kt, doc
+    topics dtp, topic keywords tkw, topic table tt."""
+    return """,
+vocab AS (SELECT keyword, count(DISTINCT doc_id) AS n_documents FROM kw GROUP BY keyword),
+kc AS (SELECT keyword, CASE WHEN b = 15 THEN -1 ELSE b END::INTEGER AS cluster FROM (
+    SELECT keyword, instr('0123456789abcdef', substr(md5(split_part(keyword, ' ', 1)), 1, 1)) - 1 AS b FROM vocab)),
+ctok AS (SELECT cluster, t AS token FROM (SELECT cluster, unnest(string_split(keyword, ' ')) AS t FROM kc
+         WHERE cluster <> -1) WHERE t <> ''),
+ctf AS (SELECT cluster, token, count(*) AS tf FROM ctok GROUP BY cluster, token),
+ccf AS (SELECT token, sum(tf) AS cf FROM ctf GROUP BY token),
+cavg AS (SELECT sum(tf)::DOUBLE / count(DISTINCT cluster) AS a FROM ctf),
+cw AS (SELECT ctf.cluster, ctf.token, ctf.tf * ln(1.0::DOUBLE + cavg.a / ccf.cf) AS w FROM ctf JOIN ccf USING (token), cavg),
+clab AS (SELECT cluster::INTEGER AS cluster, string_agg(token, ' ' ORDER BY rk) AS topic FROM (
+    SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, token) AS rk FROM cw) WHERE rk <= 5 GROUP BY cluster),
+kt AS (SELECT kc.keyword, clab.topic FROM kc JOIN clab USING (cluster)),
+dtp AS (SELECT DISTINCT kw.doc_id, kt.topic FROM kw JOIN kt USING (keyword)),
+tkw AS (SELECT DISTINCT kt.topic, vocab.keyword FROM vocab JOIN kt USING (keyword)),
+tt AS (SELECT d.topic, d.n_documents, d.documents, coalesce(k.kws, []::VARCHAR[]) AS topic_keywords FROM (
+    SELECT topic, count(DISTINCT doc_id) AS n_documents, list_sort(list(DISTINCT doc_id)) AS documents FROM dtp GROUP BY topic) d
+    LEFT JOIN (SELECT topic, list_sort(list(DISTINCT keyword)) AS kws FROM tkw GROUP BY topic) k USING (topic))"""
+
+
+def topic_vector_ctes() -> str:
+    """After fixed_topic_ctes(): token vectors of label tokens and topic vectors tvv."""
+    return (""",
+ltok AS (SELECT DISTINCT t AS token FROM (SELECT unnest(string_split(topic, ' ')) AS t FROM clab))"""
+            + token_vector_cte(only="ltok") + phrase_vector_ctes("clab", "topic", "topic", "tvv"))
+
+
+def greedy_ctes(nodes: str, pairs: str, name: str = "grp") -> str:
+    """Sequential greedy grouping in SQL: ``nodes`` (id, rk 1..n) and ``pairs``
+    (a, b) undirected. Output CTE ``name`` (id, leader)."""
+    return f""",
+{name}_e AS (SELECT CASE WHEN na.rk < nb.rk THEN p.a ELSE p.b END AS early,
+                    CASE WHEN na.rk < nb.rk THEN p.b ELSE p.a END AS late,
+                    least(na.rk, nb.rk) AS erk
+             FROM {pairs} p JOIN {nodes} na ON na.id = p.a JOIN {nodes} nb ON nb.id = p.b),
+{name}_nb AS (SELECT n.rk, n.id, list(e.early) FILTER (WHERE e.early IS NOT NULL) AS earlier
+              FROM {nodes} n LEFT JOIN {name}_e e ON e.late = n.id GROUP BY n.rk, n.id),
+{name}_g(rk, leaders) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+   SELECT g.rk + 1, CASE WHEN len(list_filter(coalesce(nb.earlier, []::VARCHAR[]), lambda x: list_contains(g.leaders, x))) > 0
+                    THEN g.leaders ELSE list_append(g.leaders, nb.id) END
+   FROM {name}_g g JOIN {name}_nb nb ON nb.rk = g.rk + 1),
+{name}_l AS (SELECT unnest(leaders) AS id FROM (SELECT leaders FROM {name}_g ORDER BY rk DESC LIMIT 1)),
+{name} AS (SELECT id, id AS leader FROM {name}_l UNION ALL
+   SELECT late AS id, arg_min(early, erk) AS leader FROM {name}_e
+   WHERE early IN (SELECT id FROM {name}_l) AND late NOT IN (SELECT id FROM {name}_l) GROUP BY late)"""
+
+
+def topic_mapping_ctes(threshold: float) -> str:
+    """After topic_vector_ctes(): tnodes, tpairs, grouping tmap (topic, parent)."""
+    t = float(threshold)
+    return f""",
+tnodes AS (SELECT tt.topic AS id, row_number() OVER (ORDER BY tt.n_documents DESC, tt.topic) AS rk
+           FROM tt JOIN tvv ON tvv.topic = tt.topic),
+tpairs AS (SELECT a.topic AS a, b.topic AS b FROM tvv a JOIN tvv b ON a.topic < b.topic
+           JOIN tt ta ON ta.topic = a.topic JOIN tt tb ON tb.topic = b.topic
+           WHERE {cosine_sql('a.v', 'b.v')} >= {t!r})""" + greedy_ctes("tnodes", "tpairs", "tgrp") + """,
+tmap AS (SELECT id AS topic, leader AS parent FROM tgrp)"""
+
+
+def merged_ctes(mapping: str = "tmap") -> str:
+    return f""",
+mdtp AS (SELECT DISTINCT coalesce(m.parent, d.topic) AS topic, d.doc_id FROM dtp d LEFT JOIN {mapping} m ON m.topic = d.topic),
+mtkw AS (SELECT DISTINCT coalesce(m.parent, k.topic) AS topic, k.keyword FROM tkw k LEFT JOIN {mapping} m ON m.topic = k.topic),
+mtt AS (SELECT d.topic, d.n_documents, d.documents, coalesce(k.kws, []::VARCHAR[]) AS topic_keywords FROM (
+    SELECT topic, count(DISTINCT doc_id) AS n_documents, list_sort(list(DISTINCT doc_id)) AS documents FROM mdtp GROUP BY topic) d
+    LEFT JOIN (SELECT topic, list_sort(list(DISTINCT keyword)) AS kws FROM mtkw GROUP BY topic) k USING (topic))"""
+
+
+def table_select(t: str) -> str:
+    return (f"SELECT topic, n_documents::BIGINT AS n_documents, array_to_string(documents, '|') AS documents, "
+            f"array_to_string(topic_keywords, '|') AS topic_keywords FROM {t}")

@@ -18,6 +18,8 @@ from ..functions import vectors as VF
 from ..operators import cluster as CL
 from ..operators import graph as G
 from ..operators import keywords as K
+from ..operators import labels as L
+from ..operators import tables as TB
 from ..operators import reduce as R
 from ..operators import vectors as V
 from ..sources import corpus as S
@@ -324,3 +326,192 @@ def q_reduce_pca(spark, sf):
 @register("cluster_kmeans", None)
 def q_cluster_kmeans(spark, sf):
     return CL.kmeans(_emb(spark, sf), "vec_id", "v", k=10)
+
+
+# ---------------------------------------------------------------- labels and topic tables
+# A fixed, SQL-derivable upstream (keyword → md5 bucket of its first token,
+# bucket 15 = noise) stands in for the clusterer so every later operator can be
+# checked exactly; the real clusterers feed the same functions in ``build``.
+
+class Fixed:
+    def __init__(self, spark, sf):
+        self.c = corpus(spark, sf)
+        self.kw = self.c.keywords()
+        self.vocab = K.vocabulary(self.kw)
+        b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.split("keyword", " ")[0]), 1, 1)) - 1
+        self.kc = self.vocab.select("keyword", F.when(b == 15, F.lit(-1)).otherwise(b).cast("int").alias("cluster"))
+        self.labels = L.class_tfidf_labels(self.kc)
+        self.kt = L.keyword_topics(self.kc, self.labels)
+        self.dtp = TB.assign_topics(self.kw, self.kt)
+        self.tkw = TB.topic_keywords(self.vocab, self.kt)
+        self.tt = TB.topic_table(self.dtp, self.tkw)
+
+    def topic_vectors(self):
+        return self.c.phrase_vectors(self.labels.select("topic", F.col("topic").alias("phrase")).distinct(), "topic")
+
+
+def _table_out(t: DataFrame) -> DataFrame:
+    return t.select("topic", F.col("n_documents").cast("bigint"),
+                    F.concat_ws("|", F.transform("documents", lambda x: x.cast("string"))).alias("documents"),
+                    F.concat_ws("|", "topic_keywords").alias("topic_keywords"))
+
+
+_FX = O.keywords_sql() + O.fixed_topic_ctes()
+
+
+@register("cluster_sizes", O.with_(_FX) + "\nSELECT cluster, count(*)::BIGINT AS n_keywords FROM kc GROUP BY cluster")
+def q_cluster_sizes(spark, sf):
+    return Fixed(spark, sf).kc.groupBy("cluster").agg(F.count(F.lit(1)).cast("bigint").alias("n_keywords"))
+
+
+@register("cluster_keywords",
+          O.with_(_FX) + "\nSELECT cluster, string_agg(keyword, '|' ORDER BY keyword) AS keywords FROM kc WHERE cluster <> -1 GROUP BY cluster")
+def q_cluster_keywords(spark, sf):
+    kc = L.clustered(Fixed(spark, sf).kc)
+    return kc.groupBy("cluster").agg(F.concat_ws("|", F.array_sort(F.collect_list("keyword"))).alias("keywords"))
+
+
+@register("cluster_labels", O.with_(_FX) + "\nSELECT cluster, topic FROM clab")
+def q_cluster_labels(spark, sf):
+    return Fixed(spark, sf).labels
+
+
+@register("cluster_keystring",
+          O.with_(_FX) + "\nSELECT cluster, string_agg(keyword, ',' ORDER BY rk) AS keystring FROM ("
+          "SELECT kc.cluster, kc.keyword, row_number() OVER (PARTITION BY kc.cluster ORDER BY v.n_documents DESC, kc.keyword) AS rk "
+          "FROM kc JOIN vocab v USING (keyword) WHERE kc.cluster <> -1) WHERE rk <= 50 GROUP BY cluster")
+def q_cluster_keystring(spark, sf):
+    fx = Fixed(spark, sf)
+    return L.keystrings(fx.kc, fx.vocab)
+
+
+@register("label_requests",
+          O.with_(_FX) + "\nSELECT cluster, md5(" + repr(L.REQUEST_TEXT).replace("\\n", "' || chr(10) || '") + " || keystring) AS request_md5 FROM ("
+          "SELECT cluster, string_agg(keyword, ',' ORDER BY rk) AS keystring FROM ("
+          "SELECT kc.cluster, kc.keyword, row_number() OVER (PARTITION BY kc.cluster ORDER BY v.n_documents DESC, kc.keyword) AS rk "
+          "FROM kc JOIN vocab v USING (keyword) WHERE kc.cluster <> -1) WHERE rk <= 50 GROUP BY cluster)")
+def q_label_requests(spark, sf):
+    fx = Fixed(spark, sf)
+    req = L.label_requests(L.keystrings(fx.kc, fx.vocab))
+    return req.select("cluster", F.md5("request").alias("request_md5"))
+
+
+# Replies for the parse check are derived from each cluster's label: a good
+# JSON reply, a reply without ``topic``, a malformed one, and a blank one, by
+# cluster number modulo 4.
+_REPLY_SQL = ("CASE cluster % 4 WHEN 0 THEN '  {\"topic\": \"' || topic || ' theme\"}  ' "
+              "WHEN 1 THEN '{\"label\": \"' || topic || '\"}' WHEN 2 THEN '{\"topic\" \"' || topic || '\"}' "
+              "ELSE NULL END")
+
+
+@register("parse_label_replies",
+          O.with_(_FX) + f",\nrep AS (SELECT cluster, topic, {_REPLY_SQL} AS reply FROM clab)\n"
+          "SELECT cluster, coalesce(CASE WHEN json_valid(coalesce(trim(reply), '')) "
+          "THEN json_extract_string(trim(reply), '$.topic') END, topic) AS topic FROM rep")
+def q_parse_replies(spark, sf):
+    lab = Fixed(spark, sf).labels
+    m = F.col("cluster") % 4
+    reply = (F.when(m == 0, F.concat(F.lit('  {"topic": "'), F.col("topic"), F.lit(' theme"}  ')))
+             .when(m == 1, F.concat(F.lit('{"label": "'), F.col("topic"), F.lit('"}')))
+             .when(m == 2, F.concat(F.lit('{"topic" "'), F.col("topic"), F.lit('"}'))))
+    return L.parse_replies(lab.select("cluster", reply.alias("reply")), lab)
+
+
+@register("assign_topics", O.with_(_FX) + "\nSELECT doc_id, topic FROM dtp")
+def q_assign_topics(spark, sf):
+    return Fixed(spark, sf).dtp
+
+
+@register("topic_keywords", O.with_(_FX) + "\nSELECT topic, keyword FROM tkw")
+def q_topic_keywords(spark, sf):
+    return Fixed(spark, sf).tkw
+
+
+@register("noise_keywords", O.with_(_FX) + "\nSELECT keyword FROM vocab WHERE keyword NOT IN (SELECT keyword FROM kt)")
+def q_noise_keywords(spark, sf):
+    fx = Fixed(spark, sf)
+    return TB.noise_keywords(fx.vocab, fx.kt)
+
+
+@register("covered_docs", O.with_(_FX) + "\nSELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM dtp)")
+def q_covered_docs(spark, sf):
+    fx = Fixed(spark, sf)
+    return TB.covered_docs(fx.c.docs, fx.dtp)
+
+
+@register("topic_table", O.with_(_FX) + "\n" + O.table_select("tt"))
+def q_topic_table(spark, sf):
+    return _table_out(Fixed(spark, sf).tt)
+
+
+@register("topic_popularity",
+          O.with_(_FX) + "\nSELECT topic, n_documents::BIGINT AS n_documents, "
+          "(row_number() OVER (ORDER BY n_documents DESC, topic) - 1)::INTEGER AS rank FROM tt")
+def q_topic_popularity(spark, sf):
+    tt = Fixed(spark, sf).tt.select("topic", "n_documents")
+    key = tt.select("topic", "n_documents", F.struct((-F.col("n_documents")).alias("nd"), F.col("topic").alias("t")).alias("k"))
+    idx = CL.dense_index(key, "k", "rank")
+    return key.join(idx, "k").select("topic", "n_documents", "rank")
+
+
+@register("topic_vectors", O.with_(_FX, O.topic_vector_ctes()) + f"\nSELECT topic, {O.vec_text('v')} AS v FROM tvv")
+def q_topic_vectors(spark, sf):
+    return Fixed(spark, sf).topic_vectors().select("topic", V.vector_text(F.col("v")).alias("v"))
+
+
+_SIMS = (O.with_(_FX, O.topic_vector_ctes(), O.token_vector_cte(name="tvall"), O.doc_vector_ctes("dvec", "tvall"))
+         + ",\nsims AS (SELECT d.doc_id, d.topic, " + O.cosine_sql("dv.v", "tv.v") + " AS cosine "
+         "FROM dtp d JOIN dvec dv USING (doc_id) JOIN tvv tv USING (topic))\n")
+
+
+def _doc_topic_sims(fx: Fixed) -> DataFrame:
+    dv = fx.c.doc_vectors().select("doc_id", F.col("v").alias("dv"))
+    tv = fx.topic_vectors().select("topic", F.col("v").alias("tv"))
+    return fx.dtp.join(dv, "doc_id").join(tv, "topic").select("doc_id", "topic", VF.cosine(F.col("dv"), F.col("tv")).alias("cosine"))
+
+
+@register("doc_topic_similarity", _SIMS + "SELECT doc_id, topic, round(cosine, 6) AS cosine FROM sims")
+def q_doc_topic_similarity(spark, sf):
+    return _doc_topic_sims(Fixed(spark, sf)).withColumn("cosine", F.round("cosine", 6))
+
+
+@register("topic_gate", _SIMS + f"SELECT doc_id, topic FROM sims WHERE cosine >= {TB.PREDICT_GATE!r}")
+def q_topic_gate(spark, sf):
+    return _doc_topic_sims(Fixed(spark, sf)).where(F.col("cosine") >= TB.PREDICT_GATE).select("doc_id", "topic")
+
+
+@register("identity_mapping", O.with_(_FX) + "\nSELECT DISTINCT topic, topic AS parent FROM tt")
+def q_identity_mapping(spark, sf):
+    return TB.identity_mapping(Fixed(spark, sf).tt)
+
+
+MAP_T = 0.4
+
+
+@register("similar_topic_mapping", O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(MAP_T)) + "\nSELECT topic, parent FROM tmap")
+def q_similar_topic_mapping(spark, sf):
+    fx = Fixed(spark, sf)
+    return TB.similar_topic_mapping(fx.tt, fx.topic_vectors(), MAP_T)
+
+
+@register("apply_mapping",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(MAP_T)) +
+          "\nSELECT d.doc_id, coalesce(m.parent, d.topic) AS topic FROM dtp d LEFT JOIN tmap m ON m.topic = d.topic")
+def q_apply_mapping(spark, sf):
+    fx = Fixed(spark, sf)
+    return TB.apply_mapping(fx.dtp, TB.similar_topic_mapping(fx.tt, fx.topic_vectors(), MAP_T)).select("doc_id", "topic")
+
+
+@register("merge_topics",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(MAP_T), O.merged_ctes()) + "\n" + O.table_select("mtt"))
+def q_merge_topics(spark, sf):
+    fx = Fixed(spark, sf)
+    return _table_out(TB.merge_topics(fx.dtp, fx.tkw, TB.similar_topic_mapping(fx.tt, fx.topic_vectors(), MAP_T)))
+
+
+@register("collapse_topics",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(TB.COLLAPSE_THRESHOLD), O.merged_ctes()) + "\n" + O.table_select("mtt"))
+def q_collapse_topics(spark, sf):
+    fx = Fixed(spark, sf)
+    merged, _ = TB.collapse(fx.dtp, fx.tkw, fx.tt, fx.topic_vectors(), TB.COLLAPSE_THRESHOLD)
+    return _table_out(merged)
