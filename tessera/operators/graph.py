@@ -52,6 +52,23 @@ def radius_pairs(items: DataFrame, key: str, vec: str, radius: float, grid_dims:
     return pairs.select("a", "b", d2.alias("d2")).where(F.col("d2") <= r * r)
 
 
+def radius_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, vec: str, radius: float,
+                grid_dims: int = 3) -> DataFrame:
+    """(l, r, d2): pairs across two sets within ``radius`` — the same exact grid
+    equi-join as ``radius_pairs``, with only the left side replicated to its
+    neighbouring cells."""
+    r = float(radius)
+    g = int(grid_dims)
+    cells = [F.floor(F.col(vec)[i] / F.lit(r)).cast("long") for i in range(g)]
+    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=g)]
+    off = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets]))
+    a = left.select(F.col(lkey).alias("l"), F.col(vec).alias("va"), *[c.alias(f"k{i}") for i, c in enumerate(cells)])
+    a = a.select("*", off.alias("o")).select("l", "va", *[(F.col(f"k{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(g)])
+    b = right.select(F.col(rkey).alias("r"), F.col(vec).alias("vb"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    d2 = VF.sq_dist(F.col("va"), F.col("vb"))
+    return a.join(b, [f"c{i}" for i in range(g)]).select("l", "r", d2.alias("d2")).where(F.col("d2") <= r * r)
+
+
 def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_dims: int = 3) -> DataFrame:
     """(a, b, cosine) for a < b with cosine ≥ threshold. On unit vectors
     cosine ≥ t ⇔ distance ≤ sqrt(2(1 - t)); the exact cosine is re-checked."""

@@ -51,11 +51,19 @@ def term_stats(terms: DataFrame, n_docs: int) -> DataFrame:
             .withColumn("idf", F.log((F.lit(float(n_docs)) + 1.0) / (F.col("df") + 1.0)) + 1.0))
 
 
-def weighted_terms(terms: DataFrame, stats: DataFrame) -> DataFrame:
+def weighted_terms(terms: DataFrame, stats: DataFrame, n_docs: int | None = None) -> DataFrame:
     """doc_terms with idf and tf-idf weight attached (equi-join on token; AQE
     broadcasts the vocabulary only when its measured size is small and splits
-    the partitions of very frequent tokens otherwise)."""
-    return (terms.join(stats.select("token", "idf"), "token")
+    the partitions of very frequent tokens otherwise).
+
+    With ``n_docs`` given, ``stats`` comes from another corpus (prediction):
+    tokens it has never seen keep their row with the df = 0 idf."""
+    if n_docs is None:
+        return (terms.join(stats.select("token", "idf"), "token")
+                .withColumn("wd", F.col("tf") * F.col("idf")))
+    unseen = F.log(F.lit(float(n_docs)) + 1.0) + 1.0
+    return (terms.join(stats.select("token", "idf"), "token", "left")
+            .withColumn("idf", F.coalesce(F.col("idf"), unseen))
             .withColumn("wd", F.col("tf") * F.col("idf")))
 
 

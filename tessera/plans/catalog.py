@@ -515,3 +515,143 @@ def q_collapse_topics(spark, sf):
     fx = Fixed(spark, sf)
     merged, _ = TB.collapse(fx.dtp, fx.tkw, fx.tt, fx.topic_vectors(), TB.COLLAPSE_THRESHOLD)
     return _table_out(merged)
+
+
+# ---------------------------------------------------------------- build, store, predict
+
+from . import build as B  # noqa: E402
+from . import predict as PR  # noqa: E402
+from ..sources import store as ST  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+FLAGSHIP = B.Params(method="KMeans", k=10)
+
+
+def _scratch(spark, what: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "tessera-runs", f"{what}-{uuid.uuid4().hex}")
+
+
+def _built(spark, sf, p: B.Params = FLAGSHIP, scenario: str = "flagship"):
+    root = _scratch(spark, "scenario")
+    out, b = B.build_topics(corpus(spark, sf), scenario, p, root=root)
+    return out, b, root
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    out, _, _ = _built(spark, sf)
+    return _table_out(out).withColumn("scenario", F.lit("flagship"))
+
+
+@register("build_topics", None)
+def q_build_topics(spark, sf):
+    return flagship(spark, sf)
+
+
+@register("topic_modelling", None)
+def q_topic_modelling(spark, sf):
+    b = B.topic_modelling(corpus(spark, sf), FLAGSHIP)
+    return _table_out(b["topic_table"])
+
+
+@register("predict_topics", None)
+def q_predict_topics(spark, sf):
+    _, _, root = _built(spark, sf)
+    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    pred = PR.predict_topics(spark, new, root, "flagship", eps=0.2)
+    return pred.select("doc_id", "topic", F.concat_ws("|", "topic_keywords").alias("topic_keywords"))
+
+
+@register("predict_clusters", None)
+def q_predict_clusters(spark, sf):
+    """J9 + G2: benchmark keywords reduced with the stored reducer and matched
+    to the nearest stored clustered keyword."""
+    _, _, root = _built(spark, sf)
+    t = ST.load(spark, root, "flagship")
+    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    nc = PR.new_corpus(new, t)
+    vocab = nc.keywords().select("keyword").distinct()
+    kvec = V.phrase_vectors(vocab.select("keyword", F.col("keyword").alias("phrase")), "keyword",
+                            t["term_stats"], t["token_vectors"])
+    red = R.reduce_with(kvec, "keyword", "v", t["reducer"])
+    return PR.nearest_cluster(red, t["cluster_model"], 0.2)
+
+
+@register("reduce_new", None)
+def q_reduce_new(spark, sf):
+    """Fit PCA on half of the embeddings (even ids), apply the stored
+    model table to the other half."""
+    e = _emb(spark, sf)
+    _, matrix = R.reduce_pca(e.where(F.col("vec_id") % 2 == 0), "vec_id", "v", 5)
+    red = R.reduce_with(e.where(F.col("vec_id") % 2 == 1), "vec_id", "v", matrix)
+    return red.select("vec_id", F.size("r").cast("bigint").alias("dims"), V.vector_text(F.col("r")).alias("r"))
+
+
+def _fixed_saved(spark, sf, threshold: float):
+    fx = Fixed(spark, sf)
+    tv = cut_lineage_(fx.topic_vectors())
+    merged, mapping = TB.collapse(fx.dtp, fx.tkw, fx.tt, tv, threshold)
+    root = _scratch(spark, "fixed")
+    params = spark.createDataFrame([(float(threshold), int(fx.c.n_docs))], "threshold DOUBLE, n_docs BIGINT")
+    ST.save({"topic_table": fx.tt, "topic_vectors": tv, "mapping": mapping, "params": params,
+             "keyword_topic": fx.kt}, root, "fixed")
+    return fx, root
+
+
+def cut_lineage_(df):
+    from ..session import cut_lineage
+    return cut_lineage(df)
+
+
+_SAVED = ("topic_table", "topic_vectors", "mapping", "params", "keyword_topic")
+
+
+@register("save_load_roundtrip", O.with_(_FX) + "\n" + O.table_select("tt"))
+def q_save_load(spark, sf):
+    _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
+    return _table_out(ST.load(spark, root, "fixed", _SAVED)["topic_table"])
+
+
+@register("output_as_text",
+          O.with_(_FX) + "\nSELECT topic, n_documents::BIGINT AS n_documents, array_to_string(documents, ', ') AS documents, "
+          "array_to_string(topic_keywords, ', ') AS topic_keywords FROM tt")
+def q_output_as_text(spark, sf):
+    fx = Fixed(spark, sf)
+    path = _scratch(spark, "text")
+    ST.write_text(fx.tt, path)
+    return spark.read.option("header", True).csv(path).select(
+        "topic", F.col("n_documents").cast("bigint"), "documents", "topic_keywords")
+
+
+@register("output_from_text", O.with_(_FX) + "\n" + O.table_select("tt"))
+def q_output_from_text(spark, sf):
+    fx = Fixed(spark, sf)
+    path = _scratch(spark, "text")
+    ST.write_text(fx.tt, path)
+    back = ST.read_text(spark, path).withColumn("n_documents", F.col("n_documents").cast("bigint"))
+    return back.select("topic", "n_documents",
+                       F.concat_ws("|", "documents").alias("documents"), F.concat_ws("|", "topic_keywords").alias("topic_keywords"))
+
+
+@register("reload_topics",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(TB.COLLAPSE_THRESHOLD), O.merged_ctes()) +
+          "\nSELECT *, 'fixed' AS scenario FROM (" + O.table_select("mtt") + ")")
+def q_reload_topics(spark, sf):
+    _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
+    t = ST.load(spark, root, "fixed", _SAVED)
+    d, k = B.long_forms(t["topic_table"])
+    merged = TB.merge_topics(d, k, ST.load_mapping(spark, root, "fixed", t["topic_table"]))
+    return _table_out(merged).withColumn("scenario", F.lit("fixed"))
+
+
+@register("recollapse_topics",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(MAP_T), O.merged_ctes()) +
+          "\nSELECT *, 'fixed' AS scenario FROM (" + O.table_select("mtt") + ")")
+def q_recollapse_topics(spark, sf):
+    _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
+    t = ST.load(spark, root, "fixed", _SAVED)
+    d, k = B.long_forms(t["topic_table"])
+    merged, mapping = TB.collapse(d, k, t["topic_table"], t["topic_vectors"], MAP_T)
+    return _table_out(merged).withColumn("scenario", F.lit("fixed"))

@@ -19,10 +19,16 @@ from ..operators import vectors as V
 
 class Corpus:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 stop_words: list[str] | None = None, n_docs: int | None = None):
+                 stop_words: list[str] | None = None, n_docs: int | None = None,
+                 stats: DataFrame | None = None):
+        """``stats``/``n_docs`` from a built corpus make this a corpus of new
+        documents scored against the built one's idf (prediction)."""
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.stop_words = stop_words
         self._n_docs = n_docs
+        self._foreign = stats is not None
+        if stats is not None:
+            self.__dict__["stats"] = stats
         self._persisted: list[DataFrame] = []
 
     @cached_property
@@ -43,7 +49,7 @@ class Corpus:
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return TR.weighted_terms(self.terms, self.stats)
+        return TR.weighted_terms(self.terms, self.stats, self.n_docs if self._foreign else None)
 
     @cached_property
     def sequences(self) -> DataFrame:
