@@ -54,39 +54,43 @@ def _sim(x: str, y: str) -> str:
     return f"({_pairsum(f'{x}.m', f'{y}.m')} / ({x}.cnorm * {y}.cnorm))"
 
 
-def score_candidates(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
-    """doc_id, cands ARRAY<STRUCT<keyword, m, cnorm, rel>> sorted by keyword.
-
-    ``m`` is the candidate's token multiset sorted by token, each entry carrying
-    idf and the document weight tf·idf; with at most 3 entries every measure is
-    a fixed scalar expression. Row-local over ``terms.doc_sequences``: no
-    lookup, no shuffle."""
+def candidate_rows(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
+    """K1 as rows: doc_id, keyword, m, cnorm, rel — one row per distinct
+    candidate of a document.
+
+    ``m`` is the candidate's token multiset sorted by token, each entry
+    carrying idf and the document weight tf·idf; with at most 3 entries every
+    measure is a fixed scalar expression inside whole-stage codegen. The gram
+    arrays are built in the row and exploded; de-duplication and the later
+    per-document collect group on doc_id, which the input is already hash
+    partitioned by, so neither adds a shuffle."""
     n = int(n_max)
     parts = []
     for k in range(1, n + 1):
-        ents = ", ".join(f"seq[i + {j}]" for j in range(k))
         words = ", ".join(f"seq[i + {j}].token" for j in range(k))
         parts.append(
-            f"transform(sequence(0, size(seq) - {k}), i -> named_struct("
-            f"'keyword', concat_ws(' ', {words}), 'm', array_sort(array({ents}))))")
-    guarded = ", ".join(
-        f"IF(size(seq) >= {k}, {p}, array())" for k, p in zip(range(1, n + 1), parts))
-    # Sort, then keep the first of equal keywords (``array_distinct`` on structs
-    # compares all pairs).
-    c0 = sequences.selectExpr("doc_id", "dnorm", f"array_sort(flatten(array({guarded}))) AS c0")
-    c1 = c0.selectExpr("doc_id", "dnorm",
-                       "filter(c0, (x, i) -> i = 0 OR x.keyword != c0[i - 1].keyword) AS c1")
-    return c1.selectExpr(
-        "doc_id",
-        f"transform(c1, k -> named_struct('keyword', k.keyword, 'm', k.m, "
-        f"'cnorm', sqrt({_pairsum('k.m', 'k.m')}), "
-        f"'rel', IF(dnorm > 0D, {_dot('k.m')} / (sqrt({_pairsum('k.m', 'k.m')}) * dnorm), 0D))) AS cands")
+            f"IF(size(seq) >= {k}, transform(sequence(0, size(seq) - {k}), i -> named_struct("
+            f"'keyword', concat_ws(' ', {words}), 'm', slice(seq, i + 1, {k}))), array())")
+    grams = sequences.selectExpr("doc_id", "dnorm", f"flatten(array({', '.join(parts)})) AS g")
+    rows = (grams.select("doc_id", "dnorm", F.explode_outer("g").alias("x")).where(F.col("x").isNotNull())
+            .select("doc_id", "dnorm", F.col("x.keyword").alias("keyword"), F.col("x.m").alias("m"))
+            .dropDuplicates(["doc_id", "keyword"])
+            .withColumn("m", F.sort_array("m")))
+    rows = rows.selectExpr("doc_id", "keyword", "m", "dnorm", f"sqrt({_pairsum('m', 'm')}) AS cnorm")
+    return rows.selectExpr("doc_id", "keyword", "m", "cnorm",
+                           f"IF(dnorm > 0D, {_dot('m')} / (cnorm * dnorm), 0D) AS rel")
+
+
+def score_candidates(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
+    """doc_id, cands ARRAY<STRUCT<keyword, m, cnorm, rel>> sorted by keyword."""
+    rows = candidate_rows(sequences, n_max)
+    return rows.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("keyword", "m", "cnorm", "rel"))).alias("cands"))
 
 
-def relevance_long(scored: DataFrame, digits: int = 6) -> DataFrame:
-    """K1 in long form: doc_id, keyword, score (rounded)."""
-    return (scored.select("doc_id", F.explode_outer("cands").alias("k")).where(F.col("k").isNotNull())
-            .select("doc_id", F.col("k.keyword").alias("keyword"), F.round("k.rel", digits).alias("score")))
+def relevance_long(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """K1 in long form: doc_id, keyword, score (rounded), from ``candidate_rows``."""
+    return rows.select("doc_id", "keyword", F.round("rel", digits).alias("score"))
 
 
 def top_n_array(scored: DataFrame, top_n: int = TOP_N) -> DataFrame:

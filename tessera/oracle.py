@@ -58,7 +58,7 @@ def _ent(x: str) -> str:
 def candidate_ctes() -> str:
     """CTEs (after corpus_ctes): g, cand (doc_id, keyword, m, cnorm, rel)."""
     return f""",
-g AS (
+grams AS (
   SELECT a.doc_id, a.token AS keyword, [{_ent('a')}] AS m FROM seq a
   UNION ALL
   SELECT a.doc_id, a.token || ' ' || b.token, list_sort([{_ent('a')}, {_ent('b')}])
@@ -67,7 +67,7 @@ g AS (
   SELECT a.doc_id, a.token || ' ' || b.token || ' ' || c.token, list_sort([{_ent('a')}, {_ent('b')}, {_ent('c')}])
   FROM seq a JOIN seq b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
              JOIN seq c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
-cm AS (SELECT doc_id, keyword, any_value(m) AS m FROM g GROUP BY doc_id, keyword),
+cm AS (SELECT doc_id, keyword, any_value(m) AS m FROM grams GROUP BY doc_id, keyword),
 cand AS (SELECT cm.doc_id, cm.keyword, cm.m, sqrt({_pairsum('cm.m', 'cm.m')}) AS cnorm,
                 CASE WHEN dn.dnorm > 0 THEN {_dot('cm.m')} / (sqrt({_pairsum('cm.m', 'cm.m')}) * dn.dnorm)
                      ELSE 0.0::DOUBLE END AS rel
@@ -266,3 +266,26 @@ mtt AS (SELECT d.topic, d.n_documents, d.documents, coalesce(k.kws, []::VARCHAR[
 def table_select(t: str) -> str:
     return (f"SELECT topic, n_documents::BIGINT AS n_documents, array_to_string(documents, '|') AS documents, "
             f"array_to_string(topic_keywords, '|') AS topic_keywords FROM {t}")
+
+
+# ---------------------------------------------------------------- new documents scored with corpus stats
+
+import re as _re  # noqa: E402
+
+_NAMES = r"\b(tok|content|posr|dt|nd|ts|wt|dn|seq|grams|cm|cand|s\d+|p\d+|mmr|kw|topk)\b"
+
+
+def new_doc_keywords_sql(source: str, id_col: str, text_col: str, prefix: str = "b_") -> str:
+    """CTE chain (to append after keywords_sql() of the corpus) giving
+    ``{prefix}kw``: keywords of ``source`` rows scored with the corpus idf;
+    tokens the corpus never saw get the df = 0 idf."""
+    base = corpus_ctes(source, id_col, text_col)
+    base = _re.sub(r"nd AS \(SELECT count\(\*\)::DOUBLE AS n FROM [a-z_]+\),\n", "", base)
+    base = _re.sub(r"ts AS \(SELECT token.*?GROUP BY token\),\n", "", base, flags=_re.S)
+    base = _re.sub(r"wt AS \(.*?USING \(token\)\),\n",
+                   "wt AS (SELECT dt.doc_id, dt.token, dt.tf, coalesce(cts.idf, ln(cnd.n + 1.0::DOUBLE) + 1.0::DOUBLE) AS idf, "
+                   "dt.tf * coalesce(cts.idf, ln(cnd.n + 1.0::DOUBLE) + 1.0::DOUBLE) AS wd "
+                   "FROM dt LEFT JOIN CORPUS_TS cts USING (token), CORPUS_ND cnd),\n", base, flags=_re.S)
+    chain = base + candidate_ctes() + mmr_ctes() + threshold_cte("mmr", "kw")
+    chain = _re.sub(_NAMES, lambda m: prefix + m.group(1), chain)
+    return "," + chain.replace("CORPUS_TS", "ts").replace("CORPUS_ND", "nd")

@@ -68,7 +68,7 @@ def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None)
     """The uncollapsed topic table and everything needed to predict."""
     _check(p)
     # (doc, token) counts feed idf, the keyword sequences and every vector
-    corpus.persist("terms")
+    corpus.materialize("terms")
     kw = cut_lineage(corpus.keywords(top_n=p.top_n, diversity=p.diversity))
     vocab = cut_lineage(K.vocabulary(kw))
     phrases = vocab.select(F.col("keyword"), F.col("keyword").alias("phrase"))
@@ -127,7 +127,6 @@ def build_topics(corpus: Corpus, scenario: str, p: Params | None = None, root: s
     if save:
         root = root or ST.default_root(spark)
         ST.save({n: b[n] for n in ST.REQUIRED}, root, scenario)
-        corpus.unpersist()
     return merged.withColumn("scenario", F.lit(scenario)), b
 
 

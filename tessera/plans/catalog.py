@@ -23,7 +23,7 @@ from ..operators import tables as TB
 from ..operators import reduce as R
 from ..operators import vectors as V
 from ..sources import corpus as S
-from ..session import table
+from ..session import cut_lineage, table
 from .corpus import Corpus
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +124,7 @@ def q_term_stats(spark, sf):
 @register("keyword_relevance",
           O.with_(O.corpus_ctes(), O.candidate_ctes()) + "\nSELECT doc_id, keyword, round(rel, 6) AS score FROM cand")
 def q_keyword_relevance(spark, sf):
-    return K.relevance_long(corpus(spark, sf).scored, 6)
+    return K.relevance_long(corpus(spark, sf).candidates, 6)
 
 
 @register("top_keywords", O.with_(O.keywords_sql(use_mmr=False, thresholded=False)) + "\nSELECT * FROM kw")
@@ -179,7 +179,7 @@ def _keyword_phrases(c: Corpus) -> DataFrame:
                   O.token_vector_cte(), O.phrase_vector_ctes("kwv", "keyword", "keyword", "kvec")) +
           f"\nSELECT keyword, {O.vec_text('v')} AS v FROM kvec")
 def q_keyword_vectors(spark, sf):
-    c = corpus(spark, sf)
+    c = corpus(spark, sf).materialize("terms")
     kv = c.phrase_vectors(_keyword_phrases(c), "keyword")
     return kv.select("keyword", V.vector_text(F.col("v")).alias("v"))
 
@@ -188,7 +188,7 @@ def q_keyword_vectors(spark, sf):
           O.with_(O.corpus_ctes(), O.token_vector_cte(), O.doc_vector_ctes()) +
           f"\nSELECT doc_id, {O.vec_text('v')} AS v FROM dvec")
 def q_doc_vectors(spark, sf):
-    dv = corpus(spark, sf).doc_vectors()
+    dv = corpus(spark, sf).materialize("terms").doc_vectors()
     return dv.select("doc_id", V.vector_text(F.col("v")).alias("v"))
 
 
@@ -335,8 +335,8 @@ def q_cluster_kmeans(spark, sf):
 
 class Fixed:
     def __init__(self, spark, sf):
-        self.c = corpus(spark, sf)
-        self.kw = self.c.keywords()
+        self.c = corpus(spark, sf).materialize("terms")
+        self.kw = cut_lineage(self.c.keywords())
         self.vocab = K.vocabulary(self.kw)
         b = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.split("keyword", " ")[0]), 1, 1)) - 1
         self.kc = self.vocab.select("keyword", F.when(b == 15, F.lit(-1)).otherwise(b).cast("int").alias("cluster"))
@@ -655,3 +655,30 @@ def q_recollapse_topics(spark, sf):
     d, k = B.long_forms(t["topic_table"])
     merged, mapping = TB.collapse(d, k, t["topic_table"], t["topic_vectors"], MAP_T)
     return _table_out(merged).withColumn("scenario", F.lit("fixed"))
+
+
+@register("predict_by_keyword",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(TB.COLLAPSE_THRESHOLD),
+                  O.new_doc_keywords_sql("benchmark", "item_id", "text")) +
+          "\nSELECT DISTINCT k.doc_id, coalesce(m.parent, kt.topic) AS topic FROM b_kw k JOIN kt USING (keyword) "
+          "LEFT JOIN tmap m ON m.topic = kt.topic")
+def q_predict_by_keyword(spark, sf):
+    fx, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
+    t = ST.load(spark, root, "fixed", _SAVED)
+    t["term_stats"] = fx.c.stats
+    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    nk = PR.new_corpus(new, t).keywords()
+    return PR.predict_by_keyword(nk, t["keyword_topic"], t["mapping"])
+
+
+@register("predict_stream", None)
+def q_predict_stream(spark, sf):
+    """Benchmark rows as a file stream, scored per micro-batch; equals the
+    batch ``predict_topics`` result."""
+    from ..streaming import predict_stream as PS
+    _, _, root = _built(spark, sf)
+    src = os.path.join(sf, "benchmark*.parquet")
+    schema = table(spark, sf, "benchmark").schema
+    out = PS.run_available(spark, src, schema, root, "flagship", _scratch(spark, "sink"), _scratch(spark, "ckpt"),
+                           id_col="item_id", text_col="text", eps=0.2)
+    return out.select("doc_id", "topic", F.concat_ws("|", "topic_keywords").alias("topic_keywords"))

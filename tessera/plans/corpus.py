@@ -55,9 +55,14 @@ class Corpus:
     def sequences(self) -> DataFrame:
         return TR.doc_sequences(self.weighted)
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return K.candidate_rows(self.sequences)
+
     @cached_property
     def scored(self) -> DataFrame:
-        return K.score_candidates(self.sequences)
+        return self.candidates.groupBy("doc_id").agg(
+            F.sort_array(F.collect_list(F.struct("keyword", "m", "cnorm", "rel"))).alias("cands"))
 
     def keywords(self, use_mmr: bool = True, thresholded: bool = True, top_n: int = K.TOP_N,
                  diversity: float = K.DIVERSITY) -> DataFrame:
@@ -80,6 +85,15 @@ class Corpus:
     def doc_vectors(self) -> DataFrame:
         return V.doc_vectors(self.weighted, self.token_vectors())
 
+    def materialize(self, *names: str) -> "Corpus":
+        """Checkpoint the named frames in the shared checkpoint folder (eager):
+        later uses read them back instead of recomputing, and a lost executor
+        cannot force a recomputation."""
+        from ..session import cut_lineage
+        for n in names:
+            self.__dict__[n] = cut_lineage(getattr(self, n))
+        return self
+
     def persist(self, *names: str) -> "Corpus":
         for n in names:
             df = getattr(self, n).persist(StorageLevel.MEMORY_AND_DISK)
