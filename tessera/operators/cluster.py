@@ -16,10 +16,12 @@ from ..functions import vectors as VF
 from ..session import cut_lineage
 from . import graph as G
 
-METHODS = ("HDBSCAN", "DBSCAN", "KMeans")
+METHODS = ("DBSCAN", "KMeans")
 
 
 def check_method(method: str) -> str:
+    if method == "HDBSCAN":
+        raise NotImplementedError("the density-hierarchy clusterer is not available yet; use DBSCAN or KMeans")
     if method not in METHODS:
         raise ValueError(f"Unknown clustering method: {method}")
     return method

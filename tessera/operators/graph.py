@@ -28,26 +28,38 @@ from ..session import cut_lineage
 MAX_ROUNDS = 200
 
 
+# Rows of one grid cell handled by one task before the cell is split (salted).
+MAX_CELL_ROWS = 50_000
+
+
 def radius_pairs(items: DataFrame, key: str, vec: str, radius: float, grid_dims: int = 3,
-                 salt: int = 1) -> DataFrame:
-    """(a, b, d2) for a < b with squared distance ≤ radius². ``salt`` > 1
-    spreads each cell over that many tasks (the replicated side is copied per
-    salt value), for inputs where one cell holds a large share of the rows."""
+                 max_cell_rows: int = MAX_CELL_ROWS) -> DataFrame:
+    """(a, b, d2) for a < b with squared distance ≤ radius².
+
+    Skew: rows per occupied cell are counted first (one small row per cell).
+    A cell holding more than ``max_cell_rows`` rows is split into
+    ceil(rows / max_cell_rows) salt groups on the probing side, and the
+    replicated side is copied once per salt group of the cell it targets, so no
+    task receives a whole hot cell. Offsets pointing at empty cells are dropped
+    by the same join."""
     r = float(radius)
     g = int(grid_dims)
-    cells = [F.floor(F.col(vec)[i] / F.lit(r)).cast("long") for i in range(g)]
-    left = items.select(F.col(key).alias("a"), F.col(vec).alias("va"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    keys = [f"c{i}" for i in range(g)]
+    cells = [F.floor(F.col(vec)[i] / F.lit(r)).cast("long").alias(f"c{i}") for i in range(g)]
+    base = items.select(F.col(key).alias("id"), F.col(vec).alias("v"), *cells)
+    counts = base.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(float(max_cell_rows))).cast("int").alias("salts"))
+    left = (base.join(counts, keys)
+            .select(F.col("id").alias("a"), F.col("v").alias("va"), *keys,
+                    F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("s")))
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=g)]
     off = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets]))
-    right = items.select(F.col(key).alias("b"), F.col(vec).alias("vb"),
-                         *[c.alias(f"k{i}") for i, c in enumerate(cells)]).select("*", off.alias("o"))
-    right = right.select("b", "vb", *[(F.col(f"k{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(g)])
-    keys = [f"c{i}" for i in range(g)]
-    if salt > 1:
-        left = left.withColumn("s", (F.abs(F.xxhash64("a")) % salt).cast("int"))
-        right = right.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        keys.append("s")
-    pairs = left.join(right, keys).where(F.col("a") < F.col("b"))
+    right = (base.select("id", "v", *keys, off.alias("o"))
+             .select(F.col("id").alias("b"), F.col("v").alias("vb"),
+                     *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(g)])
+             .join(counts, keys)
+             .select("b", "vb", *keys, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")))
+    pairs = left.join(right, keys + ["s"]).where(F.col("a") < F.col("b"))
     d2 = VF.sq_dist(F.col("va"), F.col("vb"))
     return pairs.select("a", "b", d2.alias("d2")).where(F.col("d2") <= r * r)
 
@@ -83,13 +95,21 @@ def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_di
             .where(F.col("cosine") >= F.lit(float(threshold))))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id",
+                         init: DataFrame | None = None) -> DataFrame:
     """(id, comp) where comp is the smallest id in the node's component.
-    ``edges`` has columns (a, b), undirected."""
+    ``edges`` has columns (a, b), undirected. ``init`` (id, comp) may give
+    starting labels that are already component members (e.g. the components of
+    a sub-graph); they only speed up convergence."""
     und = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     und = und.where(F.col("a") != F.col("b")).distinct()
     und = cut_lineage(und)
-    labels = cut_lineage(nodes.select(F.col(node).alias("id")).distinct().withColumn("comp", F.col("id")))
+    ids = nodes.select(F.col(node).alias("id")).distinct()
+    if init is None:
+        labels = cut_lineage(ids.withColumn("comp", F.col("id")))
+    else:
+        labels = cut_lineage(ids.join(init.select("id", F.col("comp").alias("c0")), "id", "left")
+                             .select("id", F.coalesce("c0", "id").alias("comp")))
     for _ in range(MAX_ROUNDS):
         nbr = und.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("nc")), "a") \
                  .groupBy(F.col("b").alias("id")).agg(F.min("nc").alias("nc"))

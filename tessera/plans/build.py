@@ -58,9 +58,6 @@ def keyword_clusters(reduced: DataFrame, p: Params) -> DataFrame:
     """(keyword, cluster) with the chosen method."""
     if p.method == "KMeans":
         return CL.kmeans(reduced, "keyword", "r", k=p.k).select("keyword", "cluster")
-    if p.method == "HDBSCAN":
-        from ..operators import density
-        return density.hierarchy_clusters(reduced, "keyword", "r", min_cluster_size=p.min_samples)
     return CL.dbscan(reduced, "keyword", "r", eps=p.eps, min_samples=p.min_samples, metric="cosine")
 
 

@@ -125,3 +125,14 @@ def test_reduction_shapes(spark):
     assert {len(r["r"]) for r in red3.collect()} == {3}
     km = CL.kmeans(df, "id", "v", k=10)
     assert km.count() == 100 and km.select("cluster").distinct().count() <= 10
+
+
+def test_salted_cells_give_same_pairs(spark):
+    rng = np.random.default_rng(3)
+    pts = rng.normal(0, 0.3, size=(120, 3))
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id LONG, v ARRAY<DOUBLE>")
+    plain = {(r["a"], r["b"]) for r in G.radius_pairs(df, "id", "v", 0.4).collect()}
+    salted = {(r["a"], r["b"]) for r in G.radius_pairs(df, "id", "v", 0.4, max_cell_rows=5).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    brute = {(i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.4}
+    assert plain == salted == brute
