@@ -77,9 +77,20 @@ def dbscan(items: DataFrame, key: str, vec: str, eps: float = 0.2, min_samples:
             .select(F.col("id").alias(key), F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster")))
 
 
-def kmeans(items: DataFrame, key: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
-    """(key, cluster) from MLlib KMeans; rows are sorted by key first so the
-    same input and partition count give the same model."""
+def kmeans_fit(items: DataFrame, key: str, vec: str, k: int = 10, seed: int = 42):
+    """(labels (key, cluster), fitted MLlib model). Rows are sorted by key
+    first so the same input and partition count give the same model."""
     x = items.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("x")).orderBy(key)
     model = KMeans(k=int(k), seed=int(seed), featuresCol="x", predictionCol="cluster").fit(x)
+    return model.transform(x).select(key, F.col("cluster").cast("int")), model
+
+
+def kmeans(items: DataFrame, key: str, vec: str, k: int = 10, seed: int = 42) -> DataFrame:
+    return kmeans_fit(items, key, vec, k, seed)[0]
+
+
+def kmeans_assign(model, items: DataFrame, key: str, vec: str) -> DataFrame:
+    """Nearest centre of a fitted model for new vectors (k centres live in the
+    model; no pair search)."""
+    x = items.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("x"))
     return model.transform(x).select(key, F.col("cluster").cast("int"))

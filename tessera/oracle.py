@@ -119,9 +119,10 @@ def with_(*ctes: str) -> str:
     return head + body.lstrip().lstrip(",")
 
 
-def keywords_sql(use_mmr: bool = True, thresholded: bool = True) -> str:
+def keywords_sql(use_mmr: bool = True, thresholded: bool = True, source: str = "documents",
+                 id_col: str = "doc_id", text_col: str = "text") -> str:
     """CTE chain ending in ``kw`` (doc_id, keyword, score, rank)."""
-    base = corpus_ctes() + candidate_ctes()
+    base = corpus_ctes(source, id_col, text_col) + candidate_ctes()
     if use_mmr:
         chain = base + mmr_ctes()
         src = "mmr"

@@ -43,6 +43,7 @@ class Params:
 @dataclass
 class Built:
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    model: object | None = None  # fitted MLlib model of the clusterer, when it has one
 
     def __getitem__(self, k: str) -> DataFrame:
         return self.tables[k]
@@ -54,11 +55,11 @@ def _check(p: Params) -> None:
     CL.check_method(p.method)
 
 
-def keyword_clusters(reduced: DataFrame, p: Params) -> DataFrame:
-    """(keyword, cluster) with the chosen method."""
+def keyword_clusters(reduced: DataFrame, p: Params):
+    """((keyword, cluster), fitted model or None) with the chosen method."""
     if p.method == "KMeans":
-        return CL.kmeans(reduced, "keyword", "r", k=p.k).select("keyword", "cluster")
-    return CL.dbscan(reduced, "keyword", "r", eps=p.eps, min_samples=p.min_samples, metric="cosine")
+        return CL.kmeans_fit(reduced, "keyword", "r", k=p.k)
+    return CL.dbscan(reduced, "keyword", "r", eps=p.eps, min_samples=p.min_samples, metric="cosine"), None
 
 
 def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None) -> Built:
@@ -76,7 +77,8 @@ def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None)
         matrix = R.projection_matrix(kvec.sparkSession, k=p.dims)
         reduced = R.reduce_projection(kvec, "keyword", "v", p.dims)
     reduced = cut_lineage(reduced)
-    kc = cut_lineage(keyword_clusters(reduced, p))
+    kc, model = keyword_clusters(reduced, p)
+    kc = cut_lineage(kc)
     labels = L.class_tfidf_labels(kc)
     if replies is not None:
         labels = L.parse_replies(replies, labels)
@@ -93,7 +95,7 @@ def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None)
         "topic_keyword": tkw, "topic_table": tt, "topic_vectors": cut_lineage(tvec), "reducer": matrix,
         "cluster_model": core, "term_stats": corpus.stats,
         "token_vectors": corpus.token_vectors(),
-    })
+    }, model)
 
 
 def collapse_built(b: Built, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -124,6 +126,8 @@ def build_topics(corpus: Corpus, scenario: str, p: Params | None = None, root: s
     if save:
         root = root or ST.default_root(spark)
         ST.save({n: b[n] for n in ST.REQUIRED}, root, scenario)
+        if b.model is not None:
+            b.model.write().overwrite().save(ST.model_path(root, scenario))
     return merged.withColumn("scenario", F.lit(scenario)), b
 
 

@@ -147,6 +147,13 @@ def q_doc_keywords(spark, sf):
     return corpus(spark, sf).keywords()
 
 
+@register("conversation_keywords",
+          O.with_(",\nconv AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)",
+                  "," + O.keywords_sql(source="conv", id_col="conv_id")) + "\nSELECT * FROM kw")
+def q_conversation_keywords(spark, sf):
+    return Corpus(S.read_conversations(spark, sf)).keywords()
+
+
 @register("keyword_vocabulary",
           O.with_(O.keywords_sql()) + "\nSELECT keyword, count(DISTINCT doc_id)::BIGINT AS n_documents FROM kw GROUP BY keyword")
 def q_vocabulary(spark, sf):
@@ -576,7 +583,7 @@ def q_predict_clusters(spark, sf):
     kvec = V.phrase_vectors(vocab.select("keyword", F.col("keyword").alias("phrase")), "keyword",
                             t["term_stats"], t["token_vectors"])
     red = R.reduce_with(kvec, "keyword", "v", t["reducer"])
-    return PR.nearest_cluster(red, t["cluster_model"], 0.2)
+    return PR.assign_clusters(spark, red, t, root, "flagship", 0.2)
 
 
 @register("reduce_new", None)

@@ -35,3 +35,13 @@ def attach_vectors(items: DataFrame, vectors: DataFrame, key: str, vec_key: str
     vectors arrive as ARRAY<DOUBLE> named ``v``."""
     vec = vectors.select(F.col(vec_key).alias(key), F.col(vec_col).cast("array<double>").alias("v"))
     return items.join(vec, key)
+
+
+def read_conversations(spark: SparkSession, sf_dir: str, name: str = "conversations") -> DataFrame:
+    """A conversation as one document: its turns' text joined by newlines in
+    turn order. One group per conversation, bounded by its own turns."""
+    turns = table(spark, sf_dir, name)
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return (turns.groupBy("conv_id")
+            .agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["text"])).alias("text"))
+            .select(F.col("conv_id").alias("doc_id"), "text"))

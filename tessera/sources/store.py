@@ -27,6 +27,11 @@ def _path(root: str, name: str, scenario: str) -> str:
     return os.path.join(root, name, f"scenario={scenario}")
 
 
+def model_path(root: str, scenario: str) -> str:
+    """Where a fitted MLlib clustering model of the scenario is saved."""
+    return _path(root, "clusterer", scenario)
+
+
 def save(tables: dict[str, DataFrame], root: str, scenario: str) -> None:
     """Overwrite each table of the scenario."""
     for name, df in tables.items():
