@@ -60,22 +60,27 @@ def candidate_rows(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
 
     ``m`` is the candidate's token multiset sorted by token, each entry
     carrying idf and the document weight tf·idf; with at most 3 entries every
-    measure is a fixed scalar expression inside whole-stage codegen. The gram
-    arrays are built in the row and exploded; de-duplication and the later
-    per-document collect group on doc_id, which the input is already hash
-    partitioned by, so neither adds a shuffle."""
+    measure is a fixed scalar expression inside whole-stage codegen. Distinct
+    grams are found inside the row and exploded; the later per-document
+    collect groups on doc_id, which the input is already hash partitioned by,
+    so it adds no shuffle."""
     n = int(n_max)
     parts = []
     for k in range(1, n + 1):
         words = ", ".join(f"seq[i + {j}].token" for j in range(k))
         parts.append(
             f"IF(size(seq) >= {k}, transform(sequence(0, size(seq) - {k}), i -> named_struct("
-            f"'keyword', concat_ws(' ', {words}), 'm', slice(seq, i + 1, {k}))), array())")
-    grams = sequences.selectExpr("doc_id", "dnorm", f"flatten(array({', '.join(parts)})) AS g")
-    rows = (grams.select("doc_id", "dnorm", F.explode_outer("g").alias("x")).where(F.col("x").isNotNull())
-            .select("doc_id", "dnorm", F.col("x.keyword").alias("keyword"), F.col("x.m").alias("m"))
-            .dropDuplicates(["doc_id", "keyword"])
-            .withColumn("m", F.sort_array("m")))
+            f"'keyword', concat_ws(' ', {words}), 'i', i, 'n', {k})), array())")
+    # Distinct candidates inside the row: ``sort_array`` (codegen'd natural
+    # order) on small (keyword, start, length) structs, keep the first of equal
+    # keywords, and only then slice out each candidate's token multiset.
+    g0 = sequences.selectExpr("doc_id", "dnorm", "seq", f"sort_array(flatten(array({', '.join(parts)}))) AS g0")
+    g1 = g0.selectExpr(
+        "doc_id", "dnorm",
+        "transform(filter(g0, (x, j) -> j = 0 OR x.keyword != g0[j - 1].keyword), "
+        "x -> named_struct('keyword', x.keyword, 'm', sort_array(slice(seq, x.i + 1, x.n)))) AS g")
+    rows = (g1.select("doc_id", "dnorm", F.explode_outer("g").alias("x")).where(F.col("x").isNotNull())
+            .select("doc_id", "dnorm", F.col("x.keyword").alias("keyword"), F.col("x.m").alias("m")))
     rows = rows.selectExpr("doc_id", "keyword", "m", "dnorm", f"sqrt({_pairsum('m', 'm')}) AS cnorm")
     return rows.selectExpr("doc_id", "keyword", "m", "cnorm",
                            f"IF(dnorm > 0D, {_dot('m')} / (cnorm * dnorm), 0D) AS rel")
