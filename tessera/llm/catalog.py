@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, repetition
 
 REGISTRY = {
     "op2_exact_dedup": (exact_dedup.op2_exact_dedup, exact_dedup.ORACLE),
+    "op9_repetition": (repetition.op9_repetition, None),
 }
