@@ -47,7 +47,7 @@ def test_every_alignment(spark):
     """A passage of exactly 50 words (found) or 49 words (not) at all offsets."""
     p50, p49 = word_text(11, 50), word_text(12, 49)
     rows = [(0, p50 + " " + word_text(13, 40) + " " + p49)]
-    rows += [(i + 1, f"{word_text(100 + i, i)} {p50} {word_text(200 + i, i % 7)} {p49} end{i}") for i in range(40)]
+    rows += [(i + 1, f"{word_text(100 + i, i)} {p50} {word_text(200 + i, i % 7 + 1)} {p49} end{i}") for i in range(40)]
     got = check(X.C.store(spark.createDataFrame(rows, "doc_id long, text string"), "aligned"))
     assert sum(r[2] for r in got) == 40 * 50
 
