@@ -7,9 +7,8 @@ blocks, G5).
   neighbouring cells, the sides meet on the cell key and an exact distance
   filter finishes. Projecting onto coordinates never lengthens a distance, so
   no pair is lost. There is no cross product: the join key is the cell.
-* ``connected_components``: min-label propagation with pointer jumping; each
-  round is one join + group-by, the loop stops when a count of changed labels
-  is 0, and lineage is cut in the shared checkpoint folder.
+* ``connected_components``: alternating large-star and small-star steps, until
+  a round changes no edge; lineage is cut in the shared checkpoint folder.
 * ``leader_groups``: the greedy "earliest ungrouped topic leads, later similar
   ungrouped topics join it" rule, computed as the lexicographically-first
   maximal independent set in parallel rounds (Blelloch, Fineman, Shun 2012).
@@ -25,9 +24,6 @@ from pyspark.sql import functions as F
 from ..functions import vectors as VF
 from ..session import cut_lineage
 
-MAX_ROUNDS = 200
-
-
 # Rows of one grid cell handled by one task before the cell is split (salted).
 MAX_CELL_ROWS = 50_000
 
@@ -95,36 +91,36 @@ def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_di
             .where(F.col("cosine") >= F.lit(float(threshold))))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id",
-                         init: DataFrame | None = None) -> DataFrame:
+def _checksum(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """(id, comp) where comp is the smallest id in the node's component.
-    ``edges`` has columns (a, b), undirected. ``init`` (id, comp) may give
-    starting labels that are already component members (e.g. the components of
-    a sub-graph); they only speed up convergence."""
-    und = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = und.where(F.col("a") != F.col("b")).distinct()
-    und = cut_lineage(und)
+    ``edges`` has columns (a, b), undirected.
+
+    Alternates the large-star and small-star steps of Kiveris et al. (2014): each
+    links neighbours to the smallest id around a node, so distances at least
+    halve and a path of n nodes needs O(log² n) rounds at most. The loop ends
+    when a round changes no edge; every component is then a star around its
+    smallest id. The minimum of each node is written before the join that uses
+    it, so the join reads two shuffles and a hub's rows can be split."""
+    pair = lambda hi, lo: [F.col(hi).alias("a"), F.col(lo).alias("b")]
+    links = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = _checksum(links)
+    while state[0]:
+        both = links.union(links.select(*pair("b", "a")))
+        low = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = both.join(low, "a").where("b > a").select(*pair("b", "m")).distinct()
+        large = cut_lineage(large)
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
+        moved = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        links = cut_lineage(large.join(low, "a").select(moved.alias("a"), F.col("m").alias("b")).distinct())
+        before, state = state, _checksum(links)
+        if state == before:
+            break
     ids = nodes.select(F.col(node).alias("id")).distinct()
-    if init is None:
-        labels = cut_lineage(ids.withColumn("comp", F.col("id")))
-    else:
-        labels = cut_lineage(ids.join(init.select("id", F.col("comp").alias("c0")), "id", "left")
-                             .select("id", F.coalesce("c0", "id").alias("comp")))
-    for _ in range(MAX_ROUNDS):
-        nbr = und.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("nc")), "a") \
-                 .groupBy(F.col("b").alias("id")).agg(F.min("nc").alias("nc"))
-        hop = labels.join(nbr, "id", "left").select(
-            "id", F.least(F.col("comp"), F.coalesce(F.col("nc"), F.col("comp"))).alias("comp"))
-        # pointer jumping: adopt the label of one's label
-        jump = hop.join(hop.select(F.col("id").alias("comp"), F.col("comp").alias("c2")), "comp", "left") \
-                  .select("id", F.least(F.col("comp"), F.coalesce(F.col("c2"), F.col("comp"))).alias("comp"))
-        new = cut_lineage(jump)
-        changed = new.join(labels.select("id", F.col("comp").alias("old")), "id") \
-                     .where(F.col("comp") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            return labels
-    raise RuntimeError("connected components did not converge")
+    return ids.join(links.withColumnsRenamed({"a": "id", "b": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def leader_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", order: str = "rank") -> DataFrame:
@@ -134,7 +130,8 @@ def leader_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", order: s
     Same result as the sequential greedy loop: a node leads when no earlier
     leader is its neighbour; a non-leader belongs to its earliest neighbouring
     leader. A round decides every node whose earlier neighbours are all
-    decided, so rounds ≈ longest chain of dependent decisions."""
+    decided, so rounds ≈ longest chain of dependent decisions. Only edges into
+    undecided nodes from nodes that may lead stay in the loop."""
     rk = nodes.select(F.col(node).alias("id"), F.col(order).alias("o"))
     e = (edges.select("a", "b").join(rk.withColumnRenamed("id", "a").withColumnRenamed("o", "oa"), "a")
          .join(rk.withColumnRenamed("id", "b").withColumnRenamed("o", "ob"), "b"))
@@ -144,23 +141,21 @@ def leader_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", order: s
                    F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     fwd = cut_lineage(fwd)
     state = cut_lineage(rk.withColumn("st", F.lit("U")))
-    for _ in range(MAX_ROUNDS):
-        info = (fwd.join(state.select(F.col("id").alias("p"), F.col("st").alias("pst")), "p")
+    live = fwd
+    while not state.where(F.col("st") == "U").isEmpty():
+        # each round decides at least the earliest undecided node, so the loop ends
+        info = (live.join(state.select(F.col("id").alias("p"), F.col("st").alias("pst")), "p")
                 .groupBy("id").agg(F.max((F.col("pst") == "L").cast("int")).alias("has_l"),
                                    F.max((F.col("pst") == "U").cast("int")).alias("has_u")))
-        new = state.join(info, "id", "left").select(
+        state = cut_lineage(state.join(info, "id", "left").select(
             "id", "o",
             F.when(F.col("st") != "U", F.col("st"))
              .when(F.coalesce(F.col("has_l"), F.lit(0)) == 1, F.lit("M"))
              .when(F.coalesce(F.col("has_u"), F.lit(0)) == 0, F.lit("L"))
-             .otherwise(F.lit("U")).alias("st"))
-        new = cut_lineage(new)
-        left = new.where(F.col("st") == "U").count()
-        state = new
-        if left == 0:
-            break
-    else:
-        raise RuntimeError("leader groups did not converge")
+             .otherwise(F.lit("U")).alias("st")))
+        open_ids = state.where(F.col("st") == "U").select("id")
+        not_members = state.where(F.col("st") != "M").select(F.col("id").alias("p"))
+        live = cut_lineage(live.join(open_ids, "id", "left_semi").join(not_members, "p", "left_semi"))
     leaders = state.where(F.col("st") == "L").select(F.col("id").alias("p"), F.col("o").alias("lo"))
     firsts = (fwd.join(leaders, "p")
               .groupBy("id").agg(F.min(F.struct("lo", "p")).alias("best"))

@@ -53,7 +53,7 @@ def test_leader_groups_not_transitive(spark):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_leader_groups_equal_sequential_greedy(spark, seed):
     rnd = random.Random(seed)
-    n = 40
+    n = 24
     order = list(range(n))
     rnd.shuffle(order)
     edges = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(70)}
@@ -136,3 +136,21 @@ def test_salted_cells_give_same_pairs(spark):
     d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
     brute = {(i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.4}
     assert plain == salted == brute
+
+
+@pytest.mark.parametrize("n", [17, 1000])
+def test_components_of_a_zigzag_path(spark, n):
+    """0, n-1, 1, n-2, …: a path on which labels walk one hop a round would need n rounds."""
+    order = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    nodes = spark.range(n + 1)
+    got = {r["id"]: r["comp"] for r in G.connected_components(nodes, edges).collect()}
+    assert got == {i: 0 for i in range(n)} | {n: n}
+
+
+def test_leaders_of_a_long_chain(spark):
+    n = 24
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    nodes = spark.range(n).selectExpr("id", "id AS rank")
+    got = {r["id"]: r["leader"] for r in G.leader_groups(nodes, edges).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
