@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-SLICE_BYTES = 4 << 20  # text bytes that one numpy pass works on; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # text bytes that one numpy pass works on; a longer text is a slice of its own
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -138,6 +138,20 @@ def code_points(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return (total[offs[1:]] - total[offs[:-1]]).astype(np.int64)
 
 
+def joined(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+    """The given words of every row joined by one space, as bytes and row offsets."""
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    row = np.searchsorted(offs, starts, side="right") - 1
+    gaps = ends[:-1][row[1:] == row[:-1]]  # another word of the row follows, so this byte is its own
+    out = data.copy()
+    out[gaps] = 32
+    keep[gaps] = True
+    return out[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[offs].tolist()
+
+
 def row_of(offs: np.ndarray) -> np.ndarray:
     """Row number of every element, from row offsets."""
     return np.repeat(np.arange(len(offs) - 1), np.diff(offs))

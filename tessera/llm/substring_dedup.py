@@ -92,20 +92,17 @@ def _marked(docs: DataFrame, window: int, shared) -> DataFrame:
             number = rows.column("_row").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [rows.column("_row"), pa.array(C.mix(number).astype(np.int64)), rows.column("doc_id"), pa.array(np.diff(s.at).astype(np.int64)),
-                 pa.array([_joined(s, a, b, None) for a, b in zip(s.at[:-1], s.at[1:])], pa.string()),
+                 _hashes(s, offs, slice(None)),
                  pa.ListArray.from_arrays(per_row, pa.array(h)), pa.ListArray.from_arrays(per_row, pa.array(place))],
                 ["_row", "rh", "doc_id", "n_words", "sha", "h", "p"])
     return docs.select("_row", "doc_id", "text").mapInArrow(
         run, "_row long, rh long, doc_id long, n_words long, sha string, h array<long>, p array<int>")
 
 
-def _joined(s: _Slice, a: int, b: int, gone: np.ndarray | None) -> str:
-    """SHA-256 of the words a..b that stay, joined by one space."""
-    starts, ends = s.starts[a:b], s.ends[a:b]
-    if gone is not None:
-        starts, ends = starts[~gone], ends[~gone]
-    raw = s.data
-    return hashlib.sha256(b" ".join([raw[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist())])).hexdigest()
+def _hashes(s: _Slice, offs: np.ndarray, kept: np.ndarray | slice) -> pa.Array:
+    """SHA-256 of each row's words that stay, joined by one space."""
+    raw, at = C.joined(s.data, offs, s.starts[kept], s.ends[kept])
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string())
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
@@ -146,7 +143,7 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
             total = np.concatenate([[0], np.cumsum(gone)])
             yield pa.RecordBatch.from_arrays(
                 [rows.column("_row"), pa.array(total[s.at[1:]] - total[s.at[:-1]]),
-                 pa.array([_joined(s, a, b, gone[a:b]) for a, b in zip(s.at[:-1], s.at[1:])], pa.string())],
+                 _hashes(s, offs, ~gone)],
                 ["_row", "n_removed", "kept_sha"])
     return texts.select("_row", "text", "i").mapInArrow(run, "_row long, n_removed long, kept_sha string")
 
