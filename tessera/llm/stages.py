@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dart_minhash as DM
 from . import exact_dedup as ED
 from .common import numbered
 
@@ -23,3 +24,8 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return _without(docs, ED.exact_dedup(docs).where("NOT kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates one document stays."""
+    return _without(docs, DM.near_dedup(docs).where("NOT kept"))
