@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, exact_dedup, repetition, substring_dedup
+from . import dart_minhash, exact_dedup, factorization, repetition, substring_dedup
 
 REGISTRY = {
     "op1_dart_minhash": (dart_minhash.op1_dart_minhash, None),
     "op2_exact_dedup": (exact_dedup.op2_exact_dedup, exact_dedup.ORACLE),
+    "op3_factorization": (factorization.op3_factorization, None),
     "op4_substring_dedup": (substring_dedup.op4_substring_dedup, None),
     "op9_repetition": (repetition.op9_repetition, None),
 }

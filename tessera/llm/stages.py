@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import dart_minhash as DM
 from . import exact_dedup as ED
-from .common import numbered
+from . import factorization as FM
+from .common import numbered, table
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -21,6 +22,11 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return numbered(docs, name).join(dropped.withColumnRenamed("_row", name).select(name), name, "left_anti").drop(name)
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of sf_dir, rejects go."""
+    return FM.accepted(docs, FM.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return _without(docs, ED.exact_dedup(docs).where("NOT kept"))
