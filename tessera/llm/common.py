@@ -3,6 +3,7 @@ in the shared folder, and vectorised tokenisation of Arrow text inside tasks."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Nothing refers to the job's shuffles any more; Spark deletes their files once
+    # the driver's garbage is collected, which otherwise may come much later.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,9 +8,12 @@ also starts in a document with a smaller id.
    offset below 31 falls on cover positions in both texts, so two equal windows
    of 20 + 31 - 1 = 50 words always share an anchor inside them.
 2. Anchors found in two documents or more mark the only places where an equal
-   window can be; everything else leaves the job here.
-3. Extension: the 50-word windows around marked anchors get a 128-bit hash, the
-   smallest id of each is aggregated, and windows meet it in a join.
+   window can be; everything else leaves the job here. A document can lose words
+   only around anchors that a smaller id has too, and can make a larger id lose
+   words only around anchors that a larger id has.
+3. Extension: the 50-word windows around the latter anchors get a 128-bit hash
+   and the smallest id of each is aggregated; the windows around the former meet
+   it in a join.
 4. Only texts with a marked anchor move to their windows.
 
 Passages that many documents share are reduced by partial aggregation; the joins
@@ -89,14 +92,13 @@ def _marked(docs: DataFrame, window: int, shared) -> DataFrame:
             i, h = i[ok], h[ok]
             per_row = np.searchsorted(s.row[i], np.arange(len(offs))).astype(np.int32)
             place = (i - s.at[s.row[i]]).astype(np.int32)
-            number = rows.column("_row").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [rows.column("_row"), pa.array(C.mix(number).astype(np.int64)), rows.column("doc_id"), pa.array(np.diff(s.at).astype(np.int64)),
+                [rows.column("_row"), rows.column("doc_id"), pa.array(np.diff(s.at).astype(np.int64)),
                  _hashes(s, offs, slice(None)),
                  pa.ListArray.from_arrays(per_row, pa.array(h)), pa.ListArray.from_arrays(per_row, pa.array(place))],
-                ["_row", "rh", "doc_id", "n_words", "sha", "h", "p"])
+                ["_row", "doc_id", "n_words", "sha", "h", "p"])
     return docs.select("_row", "doc_id", "text").mapInArrow(
-        run, "_row long, rh long, doc_id long, n_words long, sha string, h array<long>, p array<int>")
+        run, "_row long, doc_id long, n_words long, sha string, h array<long>, p array<int>")
 
 
 def _hashes(s: _Slice, offs: np.ndarray, kept: np.ndarray | slice) -> pa.Array:
@@ -105,14 +107,14 @@ def _hashes(s: _Slice, offs: np.ndarray, kept: np.ndarray | slice) -> pa.Array:
     return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string())
 
 
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, d, _row, i) of every window that holds a marked anchor (places p)."""
+def _windows(texts: DataFrame, window: int, places: str) -> DataFrame:
+    """(w1, w2, d, _row, i) of every window that holds an anchor at one of the places."""
     def run(batches):
         one, two = C.Rolling(4), C.Rolling(5)
         size = window - PERIOD + 1
         for rows, data, offs in C.text_slices(batches):
             s = _Slice(data, offs, one)
-            lists = rows.column("p")
+            lists = rows.column(places)
             row = C.row_of(lists.offsets.to_numpy())
             p = lists.flatten().to_numpy() + s.at[row]
             edge = np.zeros(len(s.starts) + 1, dtype=np.int64)
@@ -125,7 +127,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 [pa.array(one.ranges(s.hash, i, i + window).astype(np.int64)), pa.array(two.ranges(second, i, i + window).astype(np.int64)),
                  pa.array(rows.column("d").to_numpy()[s.row[i]]), pa.array(rows.column("_row").to_numpy()[s.row[i]]),
                  pa.array((i - s.at[s.row[i]]).astype(np.int32))], ["w1", "w2", "d", "_row", "i"])
-    return texts.mapInArrow(run, "w1 long, w2 long, d long, _row long, i int")
+    return texts.where(F.size(places) > 0).select("_row", "d", "text", places).mapInArrow(run, "w1 long, w2 long, d long, _row long, i int")
 
 
 def _removed(texts: DataFrame, window: int) -> DataFrame:
@@ -148,6 +150,11 @@ def _removed(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("_row", "text", "i").mapInArrow(run, "_row long, n_removed long, kept_sha string")
 
 
+def _mixed(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(C.mix(b.column(0).to_numpy()).astype(np.int64))], ["rh"])
+
+
 def _filtered(docs: DataFrame, rows) -> DataFrame:
     """Rows whose number may be in the filter."""
     def run(batches):
@@ -161,17 +168,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < PERIOD or not is_cover(COVER, PERIOD):
         raise ValueError("a window must be as long as the cover's period at least")
     docs = C.numbered(C.id_text(docs)).withColumn("d", F.coalesce("doc_id", F.lit(LAST)))
-    shared = C.store(_anchors(docs, window).groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"), "anchors")
+    shared = C.store(_anchors(docs, window).groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi"), "anchors")
     base = C.store(_marked(docs, window, bit_filter(shared, "h", shared.count())), "marked")
-    places = (base.where(F.size("h") > 0).select("_row", "rh", F.explode(F.arrays_zip("h", "p")).alias("a"))
-              .select("_row", "rh", "a.h", "a.p").join(shared, "h", "left_semi")
-              .groupBy("_row", "rh").agg(F.sort_array(F.collect_list("p")).alias("p")))
-    places = C.store(places, "places")
-    texts = C.store(_filtered(docs.select("_row", "d", "text"), bit_filter(places, "rh", places.count()))
-                    .join(places.select("_row", "p"), "_row"), "texts")
-    windows = _windows(texts, window)
-    first = C.store(windows.groupBy("w1", "w2").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").drop("hi"), "windows")
-    hits = windows.join(first, ["w1", "w2"]).where("d > lo").groupBy("_row").agg(F.collect_list("i").alias("i"))
+    marked = (base.where(F.size("h") > 0).select("_row", F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.explode(F.arrays_zip("h", "p")).alias("a"))
+              .select("_row", "d", "a.h", "a.p").join(shared, "h"))
+    places = C.store(marked.groupBy("_row").agg(F.collect_list(F.when(F.col("hi") > F.col("d"), F.col("p"))).alias("gives"),
+                                                F.collect_list(F.when(F.col("lo") < F.col("d"), F.col("p"))).alias("takes")), "places")
+    mixed = places.select("_row").mapInArrow(_mixed, "rh long")
+    texts = C.store(_filtered(docs.select("_row", "d", "text"), bit_filter(mixed, "rh", places.count())).join(places, "_row"), "texts")
+    first = C.store(_windows(texts, window, "gives").groupBy("w1", "w2").agg(F.min("d").alias("lo")), "windows")
+    hits = _windows(texts, window, "takes").join(first, ["w1", "w2"]).where("d > lo").groupBy("_row").agg(F.collect_list("i").alias("i"))
+    hits = C.store(hits, "hits")
     cut = _removed(texts.select("_row", "text").join(hits, "_row"), window)
     return (base.select("_row", "doc_id", "n_words", "sha").join(cut, "_row", "left")
             .select("_row", "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
