@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, exact_dedup, factorization, repetition, substring_dedup, url_filter
+from . import dart_minhash, exact_dedup, factorization, mixing, repetition, substring_dedup, url_filter
 
 REGISTRY = {
     "op1_dart_minhash": (dart_minhash.op1_dart_minhash, None),
     "op2_exact_dedup": (exact_dedup.op2_exact_dedup, exact_dedup.ORACLE),
     "op3_factorization": (factorization.op3_factorization, None),
     "op4_substring_dedup": (substring_dedup.op4_substring_dedup, None),
+    "op5_mixing": (mixing.op5_mixing, mixing.ORACLE),
     "op9_repetition": (repetition.op9_repetition, None),
     "op10_url_filter": (url_filter.op10_url_filter, url_filter.ORACLE),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import dart_minhash as DM
 from . import exact_dedup as ED
 from . import factorization as FM
+from . import mixing as MX
 from .common import numbered, table
 
 
@@ -35,3 +36,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates one document stays."""
     return _without(docs, DM.near_dedup(docs).where("NOT kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents with the target weights of sources, languages and topics."""
+    return MX.sample(docs)
