@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, exact_dedup, factorization, mixing, repetition, substring_dedup, url_filter
+from . import dart_minhash, exact_dedup, factorization, mixing, pieces, repetition, substring_dedup, url_filter
 
 REGISTRY = {
     "op1_dart_minhash": (dart_minhash.op1_dart_minhash, None),
@@ -10,6 +10,7 @@ REGISTRY = {
     "op3_factorization": (factorization.op3_factorization, None),
     "op4_substring_dedup": (substring_dedup.op4_substring_dedup, None),
     "op5_mixing": (mixing.op5_mixing, mixing.ORACLE),
+    "op6_pieces": (pieces.op6_pieces, None),
     "op9_repetition": (repetition.op9_repetition, None),
     "op10_url_filter": (url_filter.op10_url_filter, url_filter.ORACLE),
 }

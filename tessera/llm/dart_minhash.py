@@ -48,7 +48,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 PIVOT_GROWTH = 8
 
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_GOLD, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -65,12 +65,12 @@ def darts(element: np.ndarray, weight: np.ndarray, limit: np.ndarray):
     while len(who):
         low, high = (0.0, 1.0) if strip == 0 else (2.0 ** (strip - 1), 2.0 ** strip)
         who = who[weight[who] > low]
-        seed = C.mix(element[who] + _GOLD * np.uint64(strip + 1))
+        seed = C.mix(element[who] + np.uint64((int(_GOLD) * (strip + 1)) & _ALL))
         rank = np.zeros(len(who))
         live, n = who, 0
         while len(live):
             n += 1
-            dart = C.mix(seed + _GOLD * np.uint64(n))
+            dart = C.mix(seed + np.uint64((int(_GOLD) * n) & _ALL))
             rank = rank - np.log(_unit(dart)) / (high - low)
             ok = rank < limit[live]
             live, seed, rank, dart = live[ok], seed[ok], rank[ok], dart[ok]

@@ -12,6 +12,7 @@ from . import dart_minhash as DM
 from . import exact_dedup as ED
 from . import factorization as FM
 from . import mixing as MX
+from . import pieces as PC
 from .common import numbered, table
 
 
@@ -41,3 +42,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents with the target weights of sources, languages and topics."""
     return MX.sample(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their sampled piece ids and the number of these (columns
+    piece_ids and n_pieces, with an underscore more where docs has such a name)."""
+    names = []
+    for name in ("piece_ids", "n_pieces"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    return PC.encode(docs, PC.load(), ids=names[0], count=names[1])
