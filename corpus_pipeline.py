@@ -9,7 +9,11 @@ from tessera.llm import stages as S
 from tessera.llm.common import store, table
 
 STAGES = [
+    ("quality classifier", S.quality),
     ("exact dedup", S.exact),
+    ("near dedup", S.near),
+    ("mixing", S.mixing),
+    ("pieces", S.pieces),
 ]
 
 ORACLE_SQL = None  # a trained classifier and hashed signatures have no SQL form
