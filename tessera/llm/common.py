@@ -67,13 +67,13 @@ def raw_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) in slices of about SLICE_BYTES, whole texts only."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) in slices of about ``size`` bytes, whole texts only."""
     for batch in batches:
         data, offs = raw_text(batch.column(column))
         lo, n = 0, batch.num_rows
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SLICE_BYTES, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, side="right")) - 1)
             yield batch.slice(lo, hi - lo), data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
             lo = hi
 
