@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff_lm, dart_minhash, exact_dedup, factorization, mixing, pieces, repetition, substring_dedup, url_filter
+from . import backoff_lm, dart_minhash, exact_dedup, factorization, mixing, pieces, repetition, secrets, substring_dedup, url_filter
 
 REGISTRY = {
     "op1_dart_minhash": (dart_minhash.op1_dart_minhash, None),
@@ -11,6 +11,7 @@ REGISTRY = {
     "op4_substring_dedup": (substring_dedup.op4_substring_dedup, None),
     "op5_mixing": (mixing.op5_mixing, mixing.ORACLE),
     "op6_pieces": (pieces.op6_pieces, None),
+    "op7_secrets": (secrets.op7_secrets, None),
     "op8_backoff_lm": (backoff_lm.op8_backoff_lm, backoff_lm.ORACLE),
     "op9_repetition": (repetition.op9_repetition, None),
     "op10_url_filter": (url_filter.op10_url_filter, url_filter.ORACLE),
