@@ -8,7 +8,7 @@ blocks, G5).
   filter finishes. Projecting onto coordinates never lengthens a distance, so
   no pair is lost. There is no cross product: the join key is the cell.
 * ``connected_components``: alternating large-star and small-star steps, until
-  a round changes no edge; lineage is cut in the shared checkpoint folder.
+  all components are stars; each step is a table in the shared folder.
 * ``leader_groups``: the greedy "earliest ungrouped topic leads, later similar
   ungrouped topics join it" rule, computed as the lexicographically-first
   maximal independent set in parallel rounds (Blelloch, Fineman, Shun 2012).
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VF
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 # Rows of one grid cell handled by one task before the cell is split (salted).
 MAX_CELL_ROWS = 50_000
@@ -91,34 +91,33 @@ def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_di
             .where(F.col("cosine") >= F.lit(float(threshold))))
 
 
-def _checksum(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node of (a, b) has one link at most and no link leads to a node with a link."""
+    ends = links.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        links.select("b", F.lit(0), F.lit(1)))
+    per = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per.where("out > 1 OR out > 0 AND into > 0").isEmpty()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """(id, comp) where comp is the smallest id in the node's component.
     ``edges`` has columns (a, b), undirected.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each
-    links neighbours to the smallest id around a node, so distances at least
-    halve and a path of n nodes needs O(log² n) rounds at most. The loop ends
-    when a round changes no edge; every component is then a star around its
-    smallest id. The minimum of each node is written before the join that uses
-    it, so the join reads two shuffles and a hub's rows can be split."""
-    pair = lambda hi, lo: [F.col(hi).alias("a"), F.col(lo).alias("b")]
-    links = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _checksum(links)
-    while state[0]:
-        both = links.union(links.select(*pair("b", "a")))
-        low = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-        large = both.join(low, "a").where("b > a").select(*pair("b", "m")).distinct()
-        large = cut_lineage(large)
-        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) on
+    links from larger to smaller ids. Large star: a link to b goes to b's smallest
+    smaller neighbour instead. Small star: a node's smaller neighbours, and the
+    node, are linked to the smallest of them. Distances at least halve, so a path
+    of n nodes needs O(log² n) rounds at most; the loop ends when all components
+    are stars around their smallest id. What a join reads is stored first, so a
+    hub's links arrive in a shuffle that Spark may split."""
+    links = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _are_stars(links):
+        low = stored(links.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = links.join(low.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
-        links = cut_lineage(large.join(low, "a").select(moved.alias("a"), F.col("m").alias("b")).distinct())
-        before, state = state, _checksum(links)
-        if state == before:
-            break
+        links = stored(large.join(low, "a").select(moved.alias("a"), F.col("m").alias("b")).distinct(), "links")
     ids = nodes.select(F.col(node).alias("id")).distinct()
     return ids.join(links.withColumnsRenamed({"a": "id", "b": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 

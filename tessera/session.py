@@ -4,8 +4,10 @@ iterative operators."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +27,14 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tessera",
+def get_session(master: str = "local[*]", shuffle_partitions: int | None = None, app: str = "tessera",
                 extra: dict | None = None) -> SparkSession:
+    """A session with DEFAULT_CONF. The number of shuffle partitions is left to the
+    cluster's configuration unless given, as tests and the bench do."""
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -50,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -63,5 +70,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is
+    cut, columns stay prunable, a lost executor costs no recomputation, and a later
+    join shuffles the table anew, so that Spark may split it where a key is hot.
+
+    Nothing refers to the job's shuffles any more; Spark deletes their files once
+    the driver's garbage is collected, which otherwise may come much later."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -30,7 +30,7 @@ def norm(df: pd.DataFrame) -> list:
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 and os.path.isdir(sys.argv[1]) else "/root/testdata/sf0.01"
     names = [a for a in sys.argv[1:] if not os.path.isdir(a)]
-    spark = get_session("local[8]")
+    spark = get_session("local[8]", shuffle_partitions=8)
     con = duckdb.connect()
     for t in TABLES:
         p = f"{sf}/{t}.parquet"
