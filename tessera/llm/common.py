@@ -3,8 +3,6 @@ in the shared folder, and vectorised tokenisation of Arrow text inside tasks."""
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 
 SLICE_BYTES = 1 << 20  # text bytes that one numpy pass works on; a longer text is a slice of its own
 
@@ -22,17 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is
-    cut, columns stay prunable, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Nothing refers to the job's shuffles any more; Spark deletes their files once
-    # the driver's garbage is collected, which otherwise may come much later.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+store = stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
