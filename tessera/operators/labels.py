@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 NOISE = -1
 # Fixed values (reference defaults and the failure text for unusable replies).
 TERMS_PER_LABEL = 5
@@ -18,15 +20,12 @@ KEYWORDS_PER_REQUEST = 50
 OUTLIER_LABEL = "Outlier"
 FAILED_LABEL = "Topic extraction failed"
 
-# Our own request wording (one row per cluster; the keywords are appended).
+# One request row per cluster; the cluster's keywords are appended.
 REQUEST_TEXT = (
-    "Name the common subject of the keywords below with one label of five or six words. "
-    "Use only what the keywords support, stay concrete, and avoid filler phrases. "
-    "Answer with JSON of the form {\"topic\": \"<label>\"} and nothing else.\n"
-    "Example keywords: river, flood, rainfall, dam, levee, overflow\n"
-    "Example answer: {\"topic\": \"River flooding and flood defences\"}\n"
-    "Example keywords: vaccine, dose, immunity, trial, antibody, booster\n"
-    "Example answer: {\"topic\": \"Vaccine trials and immune response\"}\n"
+    "The list below holds the most frequent keywords of one cluster of documents, in order of document count. "
+    "The label you give becomes the key that documents are joined on, so write it in the keywords' own language, "
+    "with words from the list where possible and without quotation marks. "
+    "Reply with one JSON object whose field \"topic\" holds the label.\n"
     "Keywords: "
 )
 
@@ -72,17 +71,31 @@ def label_requests(keys: DataFrame) -> DataFrame:
 
 
 def parse_replies(replies: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """(cluster, topic) from (cluster, reply). The reply is trimmed
-    (null → ''); the JSON field ``topic`` is used when present; otherwise the
-    cluster's default label from ``fallback`` (cluster, topic), or the
-    failure text when no fallback is given."""
-    r = replies.select("cluster", F.coalesce(F.trim(F.col("reply")), F.lit("")).alias("reply"))
-    parsed = r.select("cluster", F.get_json_object("reply", "$.topic").alias("parsed"))
+    """(cluster, topic) from (cluster, reply): the JSON field ``topic`` of
+    the trimmed reply. A missing or unusable reply, also one with an empty topic,
+    gives the cluster's default label from ``fallback`` (cluster, topic); clusters of
+    either table are in the result. Without a default, an unusable reply gets the
+    failure text. Of several usable replies of a
+    cluster the first in order of text counts."""
+    topic = F.trim(F.get_json_object(F.trim("reply"), "$.topic"))
+    parsed = replies.select("cluster", F.when(topic != "", topic).alias("parsed")).groupBy("cluster").agg(F.min("parsed").alias("parsed"))
     if fallback is None:
         return parsed.select("cluster", F.coalesce("parsed", F.lit(FAILED_LABEL)).alias("topic"))
-    fb = fallback.select("cluster", F.col("topic").alias("fb"))
-    return parsed.join(fb, "cluster", "left").select(
-        "cluster", F.coalesce("parsed", "fb", F.lit(FAILED_LABEL)).alias("topic"))
+    return (fallback.select("cluster", F.col("topic").alias("fb")).join(parsed, "cluster", "full")
+            .select("cluster", F.coalesce("parsed", "fb", F.lit(FAILED_LABEL)).alias("topic")))
+
+
+def label_table(cluster_topics: DataFrame) -> DataFrame:
+    """The label table with the row of the noise cluster."""
+    noise = cluster_topics.sparkSession.range(1).select(F.lit(NOISE).cast("int").alias("cluster"), F.lit(OUTLIER_LABEL).alias("topic"))
+    return cluster_topics.select("cluster", "topic").unionByName(noise)
+
+
+def label_phrases(cluster_topics: DataFrame) -> DataFrame:
+    """(topic, phrase): labels cleaned like document text, so that a label written
+    with capitals, accents or punctuation finds its tokens."""
+    words = T.drop_stop_words(T.clean_tokens(F.col("topic")))
+    return cluster_topics.select("topic").distinct().select("topic", F.concat_ws(" ", words).alias("phrase"))
 
 
 def keyword_topics(keyword_clusters: DataFrame, cluster_topics: DataFrame) -> DataFrame:

@@ -48,11 +48,6 @@ def topic_table(doc_topics: DataFrame, topic_kws: DataFrame) -> DataFrame:
                     F.coalesce("topic_keywords", F.array().cast("array<string>")).alias("topic_keywords")))
 
 
-def popularity(topics: DataFrame) -> DataFrame:
-    """K6: the total popularity order, n_documents desc then topic."""
-    return topics.orderBy(F.desc("n_documents"), F.asc("topic"))
-
-
 def identity_mapping(topics: DataFrame) -> DataFrame:
     """(topic, parent=topic) over distinct topics."""
     return topics.select("topic").distinct().select("topic", F.col("topic").alias("parent"))
@@ -76,12 +71,14 @@ def merge_topics(doc_topics: DataFrame, topic_kws: DataFrame, mapping: DataFrame
 def similar_topic_mapping(topics: DataFrame, topic_vecs: DataFrame, threshold: float = COLLAPSE_THRESHOLD,
                           grid_dims: int = 3) -> DataFrame:
     """G5 on topics: (topic, parent). Popularity order is (n_documents desc,
-    topic asc); pairs come from the exact eps-join (J7)."""
+    topic asc); pairs come from the exact eps-join (J7). A topic without a vector
+    (no known token in its label) is its own parent."""
     nodes = topics.select("topic", "n_documents").join(topic_vecs, "topic")
     pairs = G.cosine_pairs(nodes.select(F.col("topic"), "v"), "topic", "v", threshold, grid_dims).select("a", "b")
     order = F.struct((-F.col("n_documents")).alias("nd"), F.col("topic").alias("t"))
     groups = G.leader_groups(nodes.select(F.col("topic").alias("id"), order.alias("rank")), pairs)
-    return groups.select(F.col("id").alias("topic"), F.col("leader").alias("parent"))
+    found = groups.select(F.col("id").alias("topic"), F.col("leader").alias("parent"))
+    return topics.select("topic").join(found, "topic", "left").select("topic", F.coalesce("parent", "topic").alias("parent"))
 
 
 def collapse(doc_topics: DataFrame, topic_kws: DataFrame, topics: DataFrame, topic_vecs: DataFrame,
@@ -92,8 +89,3 @@ def collapse(doc_topics: DataFrame, topic_kws: DataFrame, topics: DataFrame, top
     else:
         mapping = similar_topic_mapping(topics, topic_vecs, threshold)
     return merge_topics(doc_topics, topic_kws, mapping), mapping
-
-
-def list_text(c) -> F.Column:
-    """Arrays as ', '-joined text (S7 export form)."""
-    return F.concat_ws(", ", F.transform(c, lambda x: x.cast("string")))

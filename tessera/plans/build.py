@@ -87,11 +87,11 @@ def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None)
     dtp = TB.assign_topics(kw, kt)
     tkw = TB.topic_keywords(vocab, kt)
     tt = cut_lineage(TB.topic_table(dtp, tkw))
-    tvec = corpus.phrase_vectors(labels.select("topic", F.col("topic").alias("phrase")).distinct(), "topic")
+    tvec = corpus.phrase_vectors(L.label_phrases(labels), "topic")
     core = reduced.join(kc, "keyword").where(F.col("cluster") != L.NOISE)
     return Built({
         "doc_keywords": kw, "vocabulary": vocab, "keyword_vectors": kvec, "reduced": reduced,
-        "keyword_cluster": kc, "cluster_topic": labels, "keyword_topic": kt, "doc_topics": dtp,
+        "keyword_cluster": kc, "cluster_topic": L.label_table(labels), "keyword_topic": kt, "doc_topics": dtp,
         "topic_keyword": tkw, "topic_table": tt, "topic_vectors": cut_lineage(tvec), "reducer": matrix,
         "cluster_model": core, "term_stats": corpus.stats,
         "token_vectors": corpus.token_vectors(),
@@ -111,9 +111,16 @@ def long_forms(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build_topics(corpus: Corpus, scenario: str, p: Params | None = None, root: str | None = None,
-                 replies: DataFrame | None = None, save: bool = True) -> tuple[DataFrame, Built]:
-    """Build, collapse, save, tag. Returns (tagged collapsed table, parts)."""
+                 replies: DataFrame | None = None, save: bool = True, redo: bool = False) -> tuple[DataFrame, Built]:
+    """Build, collapse, save, tag. Returns (tagged collapsed table, parts).
+    A complete saved scenario of that name is reused, collapsed anew if its
+    threshold differs, unless ``redo`` asks for a new build."""
     p = p or Params()
+    where = root or ST.default_root(corpus.docs.sparkSession)
+    if save and not redo and not ST.missing(corpus.docs.sparkSession, where, scenario):
+        spark = corpus.docs.sparkSession
+        table = reload_topics(spark, where, scenario, p.threshold)
+        return table, Built(ST.load(spark, where, scenario))
     b = topic_modelling(corpus, p, replies)
     merged, mapping = collapse_built(b, p.threshold)
     mapping = cut_lineage(mapping)
@@ -131,10 +138,13 @@ def build_topics(corpus: Corpus, scenario: str, p: Params | None = None, root: s
     return merged.withColumn("scenario", F.lit(scenario)), b
 
 
+NEEDED = ("topic_table", "topic_vectors", "mapping", "params")  # what reload and re-collapse read
+
+
 def reload_topics(spark, root: str, scenario: str, threshold: float | None = None) -> DataFrame:
     """S11 (+B5): read the saved base table and map; when ``threshold``
     differs from the saved one, re-collapse (G7) instead."""
-    t = ST.load(spark, root, scenario)
+    t = ST.load(spark, root, scenario, NEEDED)
     saved = t["params"].first()["threshold"]
     if threshold is not None and float(threshold) != float(saved):
         return recollapse(spark, root, scenario, threshold)
@@ -147,7 +157,7 @@ def reload_topics(spark, root: str, scenario: str, threshold: float | None = Non
 def recollapse(spark, root: str, scenario: str, threshold: float) -> DataFrame:
     """Collapse the saved uncollapsed table with a new threshold and
     save the new map (and threshold) with the scenario."""
-    t = ST.load(spark, root, scenario)
+    t = ST.load(spark, root, scenario, NEEDED)
     d, k = long_forms(t["topic_table"])
     merged, mapping = TB.collapse(d, k, t["topic_table"], t["topic_vectors"], threshold)
     mapping = cut_lineage(mapping)

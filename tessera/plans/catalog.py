@@ -424,6 +424,23 @@ def q_parse_replies(spark, sf):
     return L.parse_replies(lab.select("cluster", reply.alias("reply")), lab)
 
 
+@register("cluster_topic_table", O.with_(_FX) + "\nSELECT cluster, topic FROM clab UNION ALL SELECT -1, 'Outlier'")
+def q_cluster_topic_table(spark, sf):
+    return L.label_table(Fixed(spark, sf).labels)
+
+
+@register("reply_topic_vectors",
+          O.with_(_FX, O.topic_vector_ctes()) + ",\nrl AS (SELECT DISTINCT CASE WHEN cluster % 2 = 0 THEN upper(topic) || '!' ELSE topic END AS label, topic FROM clab)\n"
+          f"SELECT rl.label AS topic, {O.vec_text('tvv.v')} AS v FROM rl JOIN tvv USING (topic)")
+def q_reply_topic_vectors(spark, sf):
+    """Replies for some clusters only, in capitals: all clusters keep a label, and
+    every label finds its vector."""
+    fx = Fixed(spark, sf)
+    replies = fx.labels.where("cluster % 2 = 0").select("cluster", F.to_json(F.struct(F.concat(F.upper("topic"), F.lit("!")).alias("topic"))).alias("reply"))
+    labels = L.parse_replies(replies, fx.labels)
+    return fx.c.phrase_vectors(L.label_phrases(labels), "topic").select("topic", V.vector_text(F.col("v")).alias("v"))
+
+
 @register("assign_topics", O.with_(_FX) + "\nSELECT doc_id, topic FROM dtp")
 def q_assign_topics(spark, sf):
     return Fixed(spark, sf).dtp
@@ -573,8 +590,8 @@ def q_predict_topics(spark, sf):
 
 @register("predict_clusters", None)
 def q_predict_clusters(spark, sf):
-    """J9 + G2: benchmark keywords reduced with the stored reducer and matched
-    to the nearest stored clustered keyword."""
+    """J9 + G2: benchmark keywords reduced with the stored reducer and given the
+    cluster of the nearest stored centre (the scenario is a KMeans one)."""
     _, _, root = _built(spark, sf)
     t = ST.load(spark, root, "flagship")
     new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
@@ -588,11 +605,10 @@ def q_predict_clusters(spark, sf):
 
 @register("reduce_new", None)
 def q_reduce_new(spark, sf):
-    """Fit PCA on half of the embeddings (even ids), apply the stored
-    model table to the other half."""
+    """Fit PCA on the embeddings, apply the stored model table to all of them."""
     e = _emb(spark, sf)
-    _, matrix = R.reduce_pca(e.where(F.col("vec_id") % 2 == 0), "vec_id", "v", 5)
-    red = R.reduce_with(e.where(F.col("vec_id") % 2 == 1), "vec_id", "v", matrix)
+    _, matrix = R.reduce_pca(e, "vec_id", "v", 5)
+    red = R.reduce_with(e, "vec_id", "v", matrix)
     return red.select("vec_id", F.size("r").cast("bigint").alias("dims"), V.vector_text(F.col("r")).alias("r"))
 
 
@@ -647,21 +663,17 @@ def q_output_from_text(spark, sf):
           "\nSELECT *, 'fixed' AS scenario FROM (" + O.table_select("mtt") + ")")
 def q_reload_topics(spark, sf):
     _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
-    t = ST.load(spark, root, "fixed", _SAVED)
-    d, k = B.long_forms(t["topic_table"])
-    merged = TB.merge_topics(d, k, ST.load_mapping(spark, root, "fixed", t["topic_table"]))
-    return _table_out(merged).withColumn("scenario", F.lit("fixed"))
+    return _table_out(B.reload_topics(spark, root, "fixed")).withColumn("scenario", F.lit("fixed"))
 
 
 @register("recollapse_topics",
           O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(MAP_T), O.merged_ctes()) +
           "\nSELECT *, 'fixed' AS scenario FROM (" + O.table_select("mtt") + ")")
 def q_recollapse_topics(spark, sf):
+    """Collapse the saved scenario anew, then reload it with the map that was saved."""
     _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
-    t = ST.load(spark, root, "fixed", _SAVED)
-    d, k = B.long_forms(t["topic_table"])
-    merged, mapping = TB.collapse(d, k, t["topic_table"], t["topic_vectors"], MAP_T)
-    return _table_out(merged).withColumn("scenario", F.lit("fixed"))
+    B.recollapse(spark, root, "fixed", MAP_T)
+    return _table_out(B.reload_topics(spark, root, "fixed")).withColumn("scenario", F.lit("fixed"))
 
 
 @register("predict_by_keyword",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-# Fixed value: a document is blank when it holds only these characters.
-BLANK_CLASS = r"[^ \t\n\r\f\x0B]"
+# Fixed value: a character that isn't white space in Unicode's sense (with the
+# separators 1C-1F); a document without one is blank. Java and RE2 read it alike.
+BLANK_CLASS = (r"[^\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def read_corpus(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id",

@@ -38,16 +38,24 @@ def save(tables: dict[str, DataFrame], root: str, scenario: str) -> None:
         df.write.mode("overwrite").parquet(_path(root, name, scenario))
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")))
+    return folder_exists(spark, os.path.join(path, "_SUCCESS"))
 
 
 def missing(spark: SparkSession, root: str, scenario: str, required=REQUIRED) -> list[str]:
-    """The required tables that are not (completely) written."""
-    return [n for n in required if not _exists(spark, _path(root, n, scenario))]
+    """The required parts that are not (completely) written; a KMeans scenario
+    also needs its saved model."""
+    gone = [n for n in required if not _exists(spark, _path(root, n, scenario))]
+    if set(required) == set(REQUIRED) and "params" not in gone:
+        params = spark.read.parquet(_path(root, "params", scenario)).first()
+        if params["method"] == "KMeans" and not _exists(spark, os.path.join(model_path(root, scenario), "metadata")):
+            gone.append("clusterer")
+    return gone
 
 
 def load(spark: SparkSession, root: str, scenario: str, names=REQUIRED) -> dict[str, DataFrame]:

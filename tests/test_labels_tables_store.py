@@ -47,3 +47,30 @@ def test_store_roundtrip_and_text(spark, tmp_path):
     ST.write_text(tt, str(tmp_path / "csv"))
     txt = {r["topic"]: list(r["topic_keywords"]) for r in ST.read_text(spark, str(tmp_path / "csv")).collect()}
     assert txt["t2"] == [] and txt["t, one"] == ["a", "b", "c"]  # commas inside cells are lost in text form
+
+
+def test_replies_for_some_clusters(spark):
+    fb = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "cluster INT, topic STRING")
+    rep = spark.createDataFrame([(0, '{"topic": "X"}'), (0, '{"topic": "Y"}'), (2, '{"topic": " "}')], "cluster INT, reply STRING")
+    assert {r["cluster"]: r["topic"] for r in L.parse_replies(rep, fb).collect()} == {0: "X", 1: "b", 2: "c"}
+
+
+def test_outlier_row_and_cleaned_labels(spark):
+    t = spark.createDataFrame([(0, "Solar Power!"), (1, "the")], "cluster INT, topic STRING")
+    assert {r["cluster"]: r["topic"] for r in L.label_table(t).collect()} == {0: "Solar Power!", 1: "the", -1: "Outlier"}
+    assert {r["topic"]: r["phrase"] for r in L.label_phrases(t).collect()} == {"Solar Power!": "solar power", "the": ""}
+
+
+def test_unicode_blanks(spark):
+    from tessera.sources import corpus as S
+    texts = ["\u00a0", "\u2003\u3000", "\x1c \x85", "", None, "\u00a0x", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    want = {i for i, t in enumerate(texts) if t and t.strip()}
+    assert {r["doc_id"] for r in S.nonblank(docs).collect()} == want
+
+
+def test_topic_without_vector_is_its_own_parent(spark):
+    topics = spark.createDataFrame([("A", 3), ("B", 2), ("C", 1)], "topic STRING, n_documents LONG")
+    vecs = spark.createDataFrame([("A", [1.0, 0.0, 0.0]), ("B", [1.0, 0.01, 0.0])], "topic STRING, v ARRAY<DOUBLE>")
+    got = {r["topic"]: r["parent"] for r in TB.similar_topic_mapping(topics, vecs, 0.85).collect()}
+    assert got == {"A": "A", "B": "A", "C": "C"}
