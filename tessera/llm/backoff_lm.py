@@ -12,13 +12,13 @@ left to right, from the state "start of text" to the token "end", and its arc
 weights add up.
 
 The automaton is as large as the corpus and is never in one place. Texts are read
-in slices of about 2 MB. A slice sends the distinct n-grams of its texts, with
+in slices of about a million tokens. A slice sends the distinct n-grams of its texts, with
 their training counts, to shards by hash: an n-gram leaves a slice once however
 often it occurs there, so a token with a third of all occurrences is one key a
 slice. A shard adds up its counts and answers every slice with the totals of its
 keys, in their order. A second job meets the answers with the slices' token
 sequences (as numbers of those keys), which makes the slice's own part of the
-automaton, and reads the texts through it. Shards are made for about 32 MB of text
+automaton, and reads the texts through it. Shards are made for about 16 MB of text
 each, so they don't grow with the corpus. Keys are 64-bit hashes.
 
 Rows: null text is the empty text, which has the one token "end"; a null id is
@@ -32,44 +32,64 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 ORDER, MU, FOLDS, ADD = 2, 2.0, 10, 0.1
-SLICE, SHARD_BYTES = 2 << 20, 32 << 20
+SLICE_TOKENS, SHARD_BYTES = 1 << 20, 16 << 20
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
 PARTS = "batch long, level int, shard int, parts array<binary>"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Bytes of an integer array by significance, which Spark's codec shrinks well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """An integer array, compressed by significance of its bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _unpack(raw, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    flat = np.frombuffer(raw, dtype=np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(raw)), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-class Slice:
-    """Token sequences of a slice: for each level n, the positions at which an
-    n-gram ends, the slice's distinct n-grams in order, and their numbers there."""
+def token_runs(batches, limit: int = SLICE_TOKENS):
+    """(doc ids, held out, token keys, row offsets, first row number) of slices of
+    about ``limit`` tokens, with the start and the end of each text."""
+    roll = C.Rolling(8)
+    rows_of, seqs, ats, n = [], [], [np.zeros(1, np.int64)], 0
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, roll: C.Rolling, order: int):
+    def run():
+        table = pa.Table.from_batches(rows_of).select(["_row", "doc_id", "held_out"]).combine_chunks()
+        return table, np.concatenate(seqs), np.concatenate(ats)
+    for rows, data, offs in C.text_slices(batches):
         low = C.lower_ascii(data)
         starts, ends, at = C.words(low, offs)
-        rows = len(offs) - 1
-        self.at = at + 2 * np.arange(rows + 1)  # with the start and the end of each text
-        seq = np.empty(self.at[-1], dtype=np.uint64)
-        seq[self.at[:-1]] = START
-        seq[self.at[1:] - 1] = END
+        at2 = at + 2 * np.arange(len(offs))
+        seq = np.empty(at2[-1], dtype=np.uint64)
+        seq[at2[:-1]] = START
+        seq[at2[1:] - 1] = END
         seq[np.arange(len(starts)) + 2 * C.row_of(at) + 1] = roll.words(low, starts, ends)
-        self.row = C.row_of(self.at)
-        inner = np.arange(len(seq)) - self.at[self.row]
+        rows_of.append(rows.select(["_row", "doc_id", "held_out"]))
+        seqs.append(seq)
+        ats.append(at2[1:] + n)
+        n += len(seq)
+        if n >= limit:
+            yield run()
+            rows_of, seqs, ats, n = [], [], [np.zeros(1, np.int64)], 0
+    if rows_of:
+        yield run()
+
+
+class Slice:
+    """N-grams of a slice: for each level n, the positions at which an n-gram ends,
+    the slice's distinct n-grams in order, and their numbers there."""
+
+    def __init__(self, seq: np.ndarray, at: np.ndarray, order: int):
+        self.row = C.row_of(at)
+        inner = np.arange(len(seq)) - at[self.row]
         key = seq
         self.levels = []
         for n in range(1, order + 1):
@@ -88,20 +108,19 @@ def _shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
 def _requests(docs: DataFrame, order: int, shards: int) -> DataFrame:
     """One row for each slice, level and shard: keys and training counts."""
     def run(batches):
-        roll = C.Rolling(8)
-        for rows, data, offs in C.text_slices(batches, size=SLICE):
-            s = Slice(data, offs, roll, order)
-            train = ~rows.column("held_out").to_numpy(zero_copy_only=False)
-            batch = rows.column("_row")[0].as_py()
+        for rows, seq, at in token_runs(batches):
+            s = Slice(seq, at, order)
+            train = ~rows.column("held_out").to_numpy()
             out = []
-            for n, (at, keys, number) in enumerate(s.levels, 1):
-                count = np.bincount(number, weights=train[s.row[at]], minlength=len(keys)).astype(np.uint32)
+            for n, (ends_at, keys, number) in enumerate(s.levels, 1):
+                count = np.bincount(number, weights=train[s.row[ends_at]], minlength=len(keys)).astype(np.uint32)
                 edge = _shard_edges(keys, shards)
                 for k in np.flatnonzero(np.diff(edge)).tolist():
                     part = keys[edge[k]:edge[k + 1]]
-                    out.append((batch, n, k, [_pack(np.diff(part, prepend=np.uint64(0))), _pack(count[edge[k]:edge[k + 1]])]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary())))],
-                                             ["batch", "level", "shard", "parts"])
+                    out.append((n, k, [_pack(np.diff(part, prepend=np.uint64(0))), _pack(count[edge[k]:edge[k + 1]])]))
+            level, shard, parts = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array([rows.column("_row")[0].as_py()] * len(out), pa.int64()), pa.array(level, pa.int32()),
+                                              pa.array(shard, pa.int32()), pa.array(parts, pa.list_(pa.binary()))], ["batch", "level", "shard", "parts"])
     return docs.mapInArrow(run, PARTS)
 
 
@@ -126,16 +145,16 @@ def _answers(requests: DataFrame) -> DataFrame:
     return requests.groupBy("level", "shard").applyInArrow(run, PARTS + ", tokens long, known long")
 
 
-def _sequences(docs: DataFrame, order: int) -> DataFrame:
-    """One row for each slice: its documents and their token sequences as numbers."""
+def _sequences(docs: DataFrame) -> DataFrame:
+    """One row for each slice: its documents and their token sequences, as the
+    distinct tokens and their numbers."""
     def run(batches):
-        roll = C.Rolling(8)
-        for rows, data, offs in C.text_slices(batches, size=SLICE):
-            s = Slice(data, offs, roll, order)
-            ids = rows.column("doc_id")
-            parts = [_pack(ids.fill_null(0).to_numpy(zero_copy_only=False)), _pack(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)),
-                     _pack(rows.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)), _pack(s.at),
-                     *(_pack(number.astype(np.uint32)) for _, _, number in s.levels)]
+        for rows, seq, at in token_runs(batches):
+            ids = rows.column("doc_id").combine_chunks()
+            distinct, number = np.unique(seq, return_inverse=True)
+            parts = [_pack(ids.fill_null(0).to_numpy()), _pack(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)),
+                     _pack(rows.column("held_out").to_numpy().astype(np.uint8)), _pack(at),
+                     _pack(np.diff(distinct, prepend=np.uint64(0))), _pack(number.astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array([rows.column("_row")[0].as_py()], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()),
                                               pa.array([parts], pa.list_(pa.binary()))], ["batch", "level", "shard", "parts"])
     return docs.mapInArrow(run, PARTS)
@@ -170,11 +189,13 @@ def _scored(groups: DataFrame, order: int, n_train: int, n_known: int, mu: float
         own = parts[found[0][2]]
         ids, none, held = (_unpack(own[i].as_buffer(), t) for i, t in enumerate((np.int64, np.uint8, np.uint8)))
         at = _unpack(own[3].as_buffer(), np.int64)
-        numbers = [_unpack(own[3 + n].as_buffer(), np.uint32) for n in range(1, order + 1)]
+        seq = np.cumsum(_unpack(own[4].as_buffer(), np.uint64), dtype=np.uint64)[_unpack(own[5].as_buffer(), np.uint32)]
+        levels = Slice(seq, at, order).levels
         counts = [np.concatenate([np.zeros(0, np.int64)] + [_unpack(parts[i][0].as_buffer(), np.int64) for lv, _, i in found if lv == n]) for n in range(1, order + 1)]
-        for number, count in zip(numbers, counts):
-            if len(number) and int(number.max()) + 1 != len(count):
+        for (_, keys, _), count in zip(levels, counts):
+            if len(keys) != len(count):
                 raise RuntimeError("a slice and its answers differ; the input changed between two reads")
+        numbers = [number for _, _, number in levels]
         root, path, seen = automaton_weights(at, numbers, counts, n_train, n_known, mu)
         # the start of a text is no token: sum from the position after it
         cut = np.column_stack([at[:-1] + 1, at[1:]]).ravel()[:-1]
@@ -193,7 +214,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, folds: int = FOLD
     shards = max(-(-size // SHARD_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     answers = C.store(_answers(_requests(docs, order, shards)), "answers")
     n_train, n_known = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("known")).first())
-    both = _sequences(docs, order).unionByName(answers.drop("tokens", "known"))
+    both = _sequences(docs).unionByName(answers.drop("tokens", "known"))
     return _scored(both, order, n_train, n_known, mu)
 
 
