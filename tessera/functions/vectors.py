@@ -35,15 +35,3 @@ def l2_normalize(a: Column) -> Column:
 def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"),
                        lambda s, v: s + v)
-
-
-def sign(key: Column, j: int) -> Column:
-    """Random-indexing sign of ``key`` for coordinate ``j``: bit ``j % 4`` of hex
-    digit ``j // 4`` of md5(key), mapped 1 → +1, 0 → -1."""
-    h = F.md5(key.cast("string"))
-    digit = F.instr(F.lit("0123456789abcdef"), F.substring(h, j // 4 + 1, 1)) - 1
-    return F.shiftright(digit, j % 4).bitwiseAND(1) * 2 - 1
-
-
-def vector_from_columns(cols: list[Column]) -> Column:
-    return F.array(*[c.cast("double") for c in cols])

@@ -17,16 +17,16 @@ Arrays are exploded with the ``*_outer`` generators plus a null filter: a
 plain explode lets the optimizer infer ``size(array) > 0`` and push it below
 the projection that builds the array, re-evaluating it per element.
 
-Everything after the one join that attaches each document's weight map runs
-inside the document's row with higher-order functions: no shuffle per MMR
-round, no Python. A document's candidates are bounded by its own length.
+Candidates are scored as rows with built-in expressions; the MMR rounds run over
+one document's candidate arrays in an Arrow-batched pandas UDF, without a shuffle
+per round. A document's candidates are bounded by its own length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -49,11 +49,6 @@ def _dot(m: str) -> str:
     return "(" + " + ".join(f"coalesce(get({m}, {j}).idf * get({m}, {j}).wd, 0D)" for j in range(3)) + ")"
 
 
-def _sim(x: str, y: str) -> str:
-    """Cosine of two candidates' bags (their norms are never 0: idf ≥ 1)."""
-    return f"({_pairsum(f'{x}.m', f'{y}.m')} / ({x}.cnorm * {y}.cnorm))"
-
-
 def candidate_rows(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
     """K1 as rows: doc_id, keyword, m, cnorm, rel — one row per distinct
     candidate of a document.
@@ -86,9 +81,8 @@ def candidate_rows(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
                            f"IF(dnorm > 0D, {_dot('m')} / (cnorm * dnorm), 0D) AS rel")
 
 
-def score_candidates(sequences: DataFrame, n_max: int = NGRAM_MAX) -> DataFrame:
+def candidate_arrays(rows: DataFrame) -> DataFrame:
     """doc_id, cands ARRAY<STRUCT<keyword, m, cnorm, rel>> sorted by keyword."""
-    rows = candidate_rows(sequences, n_max)
     return rows.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("keyword", "m", "cnorm", "rel"))).alias("cands"))
 
@@ -181,14 +175,6 @@ def explode_keywords(kws_df: DataFrame) -> DataFrame:
                     (F.col("pos") + 1).cast("int").alias("rank")))
 
 
-def threshold_long(scored: DataFrame, divisor: float = THRESHOLD_DIVISOR,
-                   key: str = "doc_id") -> DataFrame:
-    """P9 on a long (doc_id, keyword, score) table: window max per document."""
-    w = Window.partitionBy(key)
-    return (scored.withColumn("_max", F.max("score").over(w))
-            .where(F.col("score") > F.col("_max") / divisor).drop("_max"))
-
-
 def vocabulary(doc_keywords: DataFrame) -> DataFrame:
     """A1: distinct keywords with their document count."""
     return doc_keywords.groupBy("keyword").agg(F.countDistinct("doc_id").alias("n_documents"))
@@ -199,11 +185,3 @@ def keyword_lists(doc_keywords: DataFrame) -> DataFrame:
     return (doc_keywords.groupBy("doc_id")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("_k"))
             .select("doc_id", F.transform("_k", lambda x: x["keyword"]).alias("keywords")))
-
-
-def extract_keywords(sequences: DataFrame, *, use_mmr: bool = True,
-                     top_n: int = TOP_N, diversity: float = DIVERSITY, n_max: int = NGRAM_MAX) -> DataFrame:
-    """K4: thresholded keywords per document, long form (doc_id, keyword, score, rank)."""
-    scored = score_candidates(sequences, n_max)
-    arr = mmr_array(scored, top_n, diversity) if use_mmr else top_n_array(scored, top_n)
-    return explode_keywords(threshold_array(arr))

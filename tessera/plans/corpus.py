@@ -1,14 +1,12 @@
 """A document table and the derived frames every later stage reads.
 
 Each property is a lazily built DataFrame; nothing runs until an action. Frames
-used by several later stages can be persisted with ``persist()`` (memory and
-disk; a lost executor's blocks are recomputed from the short lineage)."""
+used by several later stages can be materialised in the shared folder."""
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,6 @@ class Corpus:
         self._foreign = stats is not None
         if stats is not None:
             self.__dict__["stats"] = stats
-        self._persisted: list[DataFrame] = []
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -61,8 +58,7 @@ class Corpus:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return self.candidates.groupBy("doc_id").agg(
-            F.sort_array(F.collect_list(F.struct("keyword", "m", "cnorm", "rel"))).alias("cands"))
+        return K.candidate_arrays(self.candidates)
 
     def keywords(self, use_mmr: bool = True, thresholded: bool = True, top_n: int = K.TOP_N,
                  diversity: float = K.DIVERSITY) -> DataFrame:
@@ -93,15 +89,3 @@ class Corpus:
         for n in names:
             self.__dict__[n] = cut_lineage(getattr(self, n))
         return self
-
-    def persist(self, *names: str) -> "Corpus":
-        for n in names:
-            df = getattr(self, n).persist(StorageLevel.MEMORY_AND_DISK)
-            self.__dict__[n] = df
-            self._persisted.append(df)
-        return self
-
-    def unpersist(self) -> None:
-        for df in self._persisted:
-            df.unpersist()
-        self._persisted.clear()

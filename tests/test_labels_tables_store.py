@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from tessera.operators import labels as L
 from tessera.operators import tables as TB
 from tessera.sources import store as ST

@@ -31,12 +31,15 @@ def test_stop_words_bridge(spark):
     assert "river bank" in grams and "and" not in " ".join(grams).split()
 
 
-def _scored(spark, rows):
-    return spark.createDataFrame(rows, "doc_id LONG, keyword STRING, score DOUBLE")
+def _kept(spark, rows):
+    """Rows that the threshold of the product path keeps."""
+    scored = spark.createDataFrame(rows, "doc_id LONG, keyword STRING, score DOUBLE")
+    lists = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("keyword", "score"))).alias("kws"))
+    return K.explode_keywords(K.threshold_array(lists)).collect()
 
 
 def test_threshold_reference_case(spark):
-    kept = K.threshold_long(_scored(spark, [(0, "topic1", 0.9), (0, "topic2", 0.1)])).collect()
+    kept = _kept(spark, [(0, "topic1", 0.9), (0, "topic2", 0.1)])
     assert [r["keyword"] for r in kept] == ["topic1"]
 
 
@@ -44,7 +47,7 @@ def test_threshold_edges(spark):
     rows = [(1, "a", 0.9), (1, "b", 0.3),            # exactly max/3 is dropped
             (2, "c", -0.2), (2, "d", -0.5),          # negative maximum keeps nothing
             (3, "e", 0.5), (3, "f", 0.5)]            # ties both kept
-    kept = sorted((r["doc_id"], r["keyword"]) for r in K.threshold_long(_scored(spark, rows)).collect())
+    kept = sorted((r["doc_id"], r["keyword"]) for r in _kept(spark, rows))
     assert kept == [(1, "a"), (3, "e"), (3, "f")]
 
 
