@@ -17,13 +17,25 @@ similarity of the shingles must be 0.8 or more.
 
 * Texts with the same shingle set are one class member from the start (one
   aggregation); only representatives enter the bands.
-* In a bucket (equal band), members are compared with pivots of the bucket, not
-  with one another: first with one pivot, the member with the most rows in
-  shared buckets. Verified pairs are joined into components. A bucket whose
-  members are all in one component is done. The others get 8, then 64, … further
-  pivots, compared with members of other components only, until each member was
-  pivot or one component is left. So no link between two members of a bucket is
-  lost, and a large group of copies costs one comparison a member.
+* In a bucket (equal band), members are compared with a pivot of the bucket, the
+  member with the most rows in shared buckets, and not with one another. Verified
+  pairs join their components. First come the buckets of five bands, then those of
+  all bands in which several components are left; members of the pivot's component
+  need no comparison. A large group of copies so costs a few comparisons a member.
+* Buckets that still hold several components are mostly texts that share a passage,
+  or variants of one text that are similar to it only. There all members are
+  compared with the pivot p, and two members a and b can be similar in two ways.
+  Either both hold a shingle that p lacks: they go on to a bucket of the members
+  with that shingle, so without p. (They share 0.8 |a| - |a ∩ p| of them at least,
+  so all of a's but that many less one, in order of hash, are enough as keys.
+  Buckets with the same members become one.) Or their common part lies
+  in p, so that it is no larger than |a ∩ p| and |b ∩ p|; with
+  f(x) = 9/4 |x ∩ p| - |x| this means |b| <= f(a) and |a| <= f(b). As f(x) >= |p|
+  just for x similar to p, one of the two is then smaller than p, and such pairs are
+  few; they are joined by pivot and size class and compared. Buckets of at most FEW
+  members skip this: each is compared with the others of a similar size. This goes
+  on until no bucket holds several components. So no link between two members is
+  lost, and no larger bucket is paired with itself.
 
 Rows: null text has no words; texts without words have the same (empty) shingle
 set and form one class; a text of one to four words has its words as its one
@@ -45,8 +57,7 @@ from . import common as C
 from .bits import bit_filter
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 30, 5
-PIVOT_GROWTH = 8
+BANDS, ROWS, FEW = 30, 5, 32
 
 _GOLD, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
@@ -122,7 +133,7 @@ def _shingles(data: np.ndarray, offs: np.ndarray, roll: C.Rolling, size: int):
 
 
 def band_keys(docs: DataFrame, size: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """(_row, doc_id, same, bands): a fingerprint of the shingle set and one key a band."""
+    """(_row, doc_id, n, same, bands): size and fingerprint of the shingle set, and one key a band."""
     def run(batches):
         roll = C.Rolling(1)
         for part, data, offs in C.text_slices(batches):
@@ -137,9 +148,9 @@ def band_keys(docs: DataFrame, size: int, bands: int, rows: int, weighted: bool)
             edge = np.searchsorted(row, np.arange(n + 1))
             same = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
             lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(key.ravel().astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(same, pa.binary()), lists],
-                                             ["_row", "doc_id", "same", "bands"])
-    return docs.mapInArrow(run, "_row long, doc_id long, same binary, bands array<long>")
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(np.diff(edge)), pa.array(same, pa.binary()), lists],
+                                             ["_row", "doc_id", "n", "same", "bands"])
+    return docs.mapInArrow(run, "_row long, doc_id long, n long, same binary, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, wanted, size: int) -> DataFrame:
@@ -154,58 +165,116 @@ def _shingle_sets(docs: DataFrame, wanted, size: int) -> DataFrame:
     return docs.select("_row", "text").mapInArrow(run, "_row long, set binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sets have a Jaccard similarity of the threshold or more."""
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float, with_keys: bool) -> DataFrame:
+    """Pairs (a, b) with ``linked``, whether the Jaccard similarity of their sets is
+    the threshold or more, and, if asked for, ``common``, the size of their common
+    part, and ``lacking``, the shingles of a that b lacks, as far as needed as keys."""
     def run(batches):
         for batch in batches:
-            ok = []
+            linked, common, keys = [], [], []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                small, large = sorted((len(x), len(y)))
-                if small < threshold * large:  # cannot reach the threshold
-                    ok.append(False)
-                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(common >= threshold * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                n = int((both[1:] == both[:-1]).sum())
+                linked.append(n >= threshold * (len(x) + len(y) - n))
+                if with_keys:
+                    common.append(n)
+                    rest = np.setdiff1d(x, y, assume_unique=True)
+                    must = int(np.ceil(threshold * len(x) - n - 1e-9))
+                    keys.append(rest[:len(rest) - max(must, 1) + 1].astype(np.int64))
+            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())]
+            if with_keys:
+                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                out += [pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "linked", "common", "lacking"][:len(out)])
     return (pairs.join(sets.select(F.col("_row").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("_row").alias("b"), F.col("set").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
-
-
-def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) that connect all similar members of the buckets.
-    ``members`` has (key, _row, weight)."""
-    spark = members.sparkSession
-    nodes = members.select("_row").distinct()
-    links = spark.createDataFrame([], "a long, b long")
-    comps = nodes.select("_row", F.col("_row").alias("comp"))
-    used = spark.createDataFrame([], "key long, _row long")
-    pivots_per_key, live = 1, members
-    while True:
-        now = C.store(live.join(comps, "_row"), "members")
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        live = C.store(now.join(open_keys, "key", "left_semi"), "open")
-        if live.isEmpty():
-            return links
-        rest = live.join(used, ["key", "_row"], "left_anti")
-        part = F.pmod(F.xxhash64("_row", F.lit(pivots_per_key)), F.lit(pivots_per_key))
-        best = F.max(F.struct("weight", (-F.col("_row")).alias("r"), "comp"))
-        pivots = C.store(rest.groupBy("key", part.alias("part")).agg(best.alias("best"))
-                         .select("key", (-F.col("best.r")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "pivots")
-        if pivots.isEmpty():
-            return links
-        pairs = (live.join(pivots, "key").where("comp != pivot_comp")
-                 .select(F.col("_row").alias("a"), F.col("pivot").alias("b")).distinct())
-        found = C.store(_similar(pairs, sets, threshold), "links")
-        links = C.store(links.union(found), "all_links")
-        used = C.store(used.union(pivots.select("key", F.col("pivot").alias("_row"))), "used")
-        comps = connected_components(nodes.withColumnRenamed("_row", "id"), links).select(F.col("id").alias("_row"), "comp")
-        comps = C.store(comps, "comps")
-        pivots_per_key *= PIVOT_GROWTH
-        live = live.select("key", "_row", "weight")
+            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean" + ", common long, lacking array<long>" * with_keys))
+
+
+class _Linker:
+    """Verified links between rows, and the components that they make so far."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float):
+        self.sets, self.threshold, self.links = sets, threshold, None
+        self.comps = nodes.select("_row", F.col("_row").alias("comp"))
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """Members (key, _row, weight, n) of the keys that hold several components, with
+        these. Keys with the same members become one."""
+        now = C.store(members.join(self.comps, "_row"), "members")
+        several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.xxhash64(
+            F.count("*"), F.bit_xor(F.xxhash64("_row")), F.bit_xor(F.xxhash64("_row", F.lit(1)))).alias("same")).where("lo < hi").select("key", "same")
+        return C.store(now.join(several, "key").select(F.col("same").alias("key"), "_row", "weight", "n", "comp").distinct(), "open")
+
+    def pairs(self, members: DataFrame) -> DataFrame:
+        """Members (key, a, ca, na, weight) with the heaviest member (b, cb, nb) of their key."""
+        own = F.struct("_row", "comp", "n")
+        pivots = C.store(members.groupBy("key").agg(F.min_by(own, F.struct(-F.col("weight"), "_row")).alias("p")), "pivots")
+        return members.join(pivots, "key").select("key", F.col("_row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "weight",
+                                                  F.col("p._row").alias("b"), F.col("p.comp").alias("cb"), F.col("p.n").alias("nb"))
+
+    def add(self, found: DataFrame) -> None:
+        found = found.select("a", "b")
+        self.links = found if self.links is None else self.links.union(found)
+        at = lambda x: self.comps.select(F.col("_row").alias(x), F.col("comp").alias("c" + x))
+        joins = C.store(found.join(at("a"), "a").join(at("b"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "joins")
+        if joins.isEmpty():
+            return
+        moved = connected_components(joins.select(F.col("a").alias("id")).union(joins.select("b")), joins)
+        self.comps = C.store(self.comps.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("new")), "comp", "left")
+                             .select("_row", F.coalesce("new", "comp").alias("comp")), "comps")
+
+    def compare(self, pairs: DataFrame) -> None:
+        self.add(C.store(_compared(pairs.distinct(), self.sets, self.threshold, False), "compared").where("linked"))
+
+    def sweep(self, members: DataFrame) -> None:
+        """Compare the members of each key with its pivot."""
+        fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb"))
+        self.compare(self.pairs(self.open(members)).where(fits).select("a", "b"))
+
+    def inside(self, seen: DataFrame) -> DataFrame:
+        """Pairs of members whose common part may lie in their pivot."""
+        ratio = (1 + self.threshold) / self.threshold
+        side = (seen.join(self.comps.withColumnRenamed("_row", "a"), "a")
+                .select("b", "a", "n", "comp", (F.lit(ratio) * F.col("common") - F.col("n") + 1e-6).alias("f"),
+                        F.floor(F.log("n") / F.lit(-np.log(self.threshold))).alias("size_class"))
+                .where(F.col("f") >= F.lit(self.threshold) * F.col("n")))
+        left = side.select("b", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"),
+                           F.col("a").alias("x"), F.col("n").alias("nx"), F.col("f").alias("fx"), F.col("comp").alias("cx"))
+        return left.join(side, ["b", "size_class"]).where((F.col("x") < F.col("a")) & (F.col("cx") != F.col("comp")) & (F.col("n") <= F.col("fx")) & (F.col("nx") <= F.col("f"))).select(
+            F.col("x").alias("a"), F.col("a").alias("b"))
+
+    def finish(self, members: DataFrame) -> None:
+        """Compare the members of each key with its pivot, then those with one another
+        that may be similar nevertheless, until no key holds several components."""
+        live = self.open(members)
+        while not live.isEmpty():
+            few = live.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= FEW).select("key")
+            small = C.store(live.join(few, "key", "left_semi").select("key", "_row", "comp", "n"), "small")
+            other = small.select("key", F.col("_row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+            fits = (F.col("_row") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.lit(self.threshold) * F.greatest("n", "nb"))
+            self.compare(small.join(other, "key").where(fits).select(F.col("_row").alias("a"), "b"))
+            met = C.store(self.pairs(live.join(few, "key", "left_anti")).where("a != b").select("key", "a", "b", F.col("na").alias("n"), "weight"), "met")
+            if met.isEmpty():
+                return
+            pairs = met.select("a", "b", "n").distinct()
+            seen = C.store(_compared(pairs.select("a", "b"), self.sets, self.threshold, True).join(pairs, ["a", "b"]), "compared")
+            self.add(seen.where("linked"))
+            self.compare(self.inside(seen))
+            # a new key's members are some of the old one's, without its pivot, so this ends
+            below = met.join(seen.select("a", "b", "lacking"), ["a", "b"]).select("key", F.col("a").alias("_row"), "weight", "n", F.explode("lacking").alias("s"))
+            live = self.open(below.select(F.xxhash64("key", "s").alias("key"), "_row", "weight", "n"))
+
+
+def _link(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, first_bands: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and components (_row, comp) of members (band, key, _row, weight, n)."""
+    linker = _Linker(nodes, sets, threshold)
+    linker.sweep(members.where(F.col("band") < first_bands).drop("band"))
+    linker.sweep(members.drop("band"))
+    linker.finish(members.drop("band"))
+    return linker.links, linker.comps
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
@@ -217,19 +286,19 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     reps = C.store(keyed.groupBy("same").agg(F.min(order).alias("rep"), F.count("*").alias("copies"))
                    .select("same", F.col("rep.row").alias("rep"), "rep.none", "rep.id", "copies"), "reps")
-    banded = keyed.join(reps.select(F.col("rep").alias("_row")), "_row", "left_semi").select("_row", F.explode("bands").alias("key"))
+    banded = keyed.join(reps.select(F.col("rep").alias("_row")), "_row", "left_semi").select("_row", "n", F.posexplode("bands").alias("band", "key"))
     banded = C.store(banded, "banded")
-    shared = C.store(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = banded.join(shared, "key")
-    weight = members.groupBy("_row").agg(F.sum("n").alias("weight"))
-    members = C.store(members.select("key", "_row").join(weight, "_row"), "bucketed")
+    shared = C.store(banded.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "shared")
+    members = C.store(banded.join(shared, "key"), "shared_members")
+    weight = members.groupBy("_row").agg(F.sum("times").alias("weight"))
+    members = C.store(members.drop("times").join(weight, "_row"), "bucketed")
     nodes = C.store(members.select("_row").distinct(), "nodes")
     mixed = nodes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(C.mix(b.column(0).to_numpy()).astype(np.int64))], ["h"]) for b in it), "h long")
     sets = C.store(_shingle_sets(docs, bit_filter(mixed, "h", nodes.count()), shingle).join(nodes, "_row", "left_semi"), "sets")
-    links = _links(members, sets, threshold)
-    comps = connected_components(reps.select(F.col("rep").alias("id")), links)
+    links, comps = _link(members, nodes, sets, threshold)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    classed = C.store(reps.join(comps.withColumnsRenamed({"id": "rep", "comp": "class"}), "rep").join(degree, "rep", "left"), "classed")
+    classed = C.store(reps.join(comps.withColumnsRenamed({"_row": "rep", "comp": "class"}), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+                      .join(degree, "rep", "left"), "classed")
     best = F.struct(F.col("none"), F.col("id"), F.col("rep").alias("row"))
     classes = C.store(classed.groupBy("class").agg(F.min(best).alias("best"), F.sum("copies").alias("class_size"))
                       .select("class", F.col("best.id").alias("class_id"), F.col("best.row").alias("keep_row"), "class_size"), "classes")
