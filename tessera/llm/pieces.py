@@ -119,53 +119,46 @@ class Encoder:
         return np.flatnonzero(cut[:len(data)])
 
     def lattice(self, data: np.ndarray, a: np.ndarray, b: np.ndarray):
-        """Edges of units data[a:b] as (end, length, piece, upper cdf), sorted by end.
-        Positions count through all units, one more than its bytes for each."""
+        """Lattices of the units data[a:b], longest unit first. Row base[t] + u is the
+        position after t bytes of unit u; of the piece of l bytes that ends there,
+        ``piece[row, l - 1]`` is the number and ``upper[row, l - 1]`` the upper end of
+        its share of the draws."""
         size = b - a
-        base = np.concatenate([[0], np.cumsum(size + 1)])
-        unit = np.repeat(np.arange(len(a)), size)
-        inner = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-        at, stop, place = a[unit] + inner, b[unit], base[unit] + inner
+        longest = int(size[0])
+        count = np.searchsorted(-size, -np.arange(longest + 2), side="right")  # units of t bytes or more
+        base = np.concatenate([[0], np.cumsum(count)])
+        step = np.repeat(np.arange(longest), count[1:longest + 1])
+        unit = np.arange(len(step)) - np.repeat(base[1:longest + 1] - count[0], count[1:longest + 1])
+        at, stop = a[unit] + step, b[unit]
         node = np.zeros(len(at), dtype=np.int32)
-        starts, lengths, pieces = [], [], []
-        n = 0
+        found, n = [], 0
         while len(at):
             n += 1
             node = self.child[node, data[at + n - 1]]
+            live = np.flatnonzero(node)
+            at, stop, step, unit, node = at[live], stop[live], step[live], unit[live], node[live]
             piece = self.piece[node]
-            hit = (node > 0) & (piece >= 0)
-            starts.append(place[hit])
-            lengths.append(np.full(int(hit.sum()), n))
-            pieces.append(piece[hit])
-            go = (node > 0) & (at + n < stop)
-            at, stop, place, node = at[go], stop[go], place[go], node[go]
-        start, length, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, pieces))
-        end = start + length
-        offset = end - np.repeat(base[:-1], size + 1)[end]
-        by = np.lexsort((end, offset))  # units advance together, one byte at a time
-        start, length, piece, end, offset = start[by], length[by], piece[by], end[by], offset[by]
-        alpha = np.zeros(base[-1])
-        upper = np.zeros(len(end))
-        new = np.flatnonzero(np.r_[True, end[1:] != end[:-1]][:len(end)])
-        rounds = np.searchsorted(offset[new], np.arange(1, (int(offset[-1]) if len(offset) else 0) + 2))
-        weight = self.weight[piece]
-        for lo, hi in zip(rounds[:-1].tolist(), rounds[1:].tolist()):
-            groups = new[lo:hi]
-            x, y = groups[0], new[hi] if hi < len(new) else len(end)
-            score = alpha[start[x:y]] + weight[x:y]
-            cut = groups - x
-            top = np.maximum.reduceat(score, cut)
-            n_in = np.diff(np.r_[cut, y - x])
-            mass = np.exp(score - np.repeat(top, n_in))
-            total = np.add.reduceat(mass, cut)
-            alpha[end[groups]] = top + np.log(total)
-            run = np.cumsum(mass)
-            before = np.repeat(run[cut] - mass[cut], n_in)
-            upper[x:y] = (run - before) / np.repeat(total, n_in)
-        last = np.r_[new[1:], len(end)] - 1
-        upper[last[last >= 0]] = 1.0
-        by = np.argsort(end, kind="stable")
-        return end[by], length[by], piece[by], upper[by], base
+            hit = np.flatnonzero(piece >= 0)
+            found.append((base[step[hit] + n] + unit[hit], piece[hit]))
+            more = np.flatnonzero(at + n < stop)
+            at, stop, step, unit, node = at[more], stop[more], step[more], unit[more], node[more]
+        piece = np.full((base[longest + 1], n), -1, dtype=np.int32)
+        upper = np.full((base[longest + 1], n), -np.inf)
+        for k, (row, number) in enumerate(found):
+            piece[row, k] = number
+            upper[row, k] = self.weight[number]
+        alpha = np.zeros(base[longest + 1])
+        for t in range(1, longest + 1):
+            rows, width = slice(base[t], base[t] + count[t]), min(t, n)
+            score = upper[rows, :width]
+            for k in range(width):
+                score[:, k] += alpha[base[t - k - 1]:base[t - k - 1] + count[t]]
+            top = score.max(axis=1)
+            mass = np.cumsum(np.exp(score - top[:, None]), axis=1)
+            alpha[rows] = top + np.log(mass[:, -1])
+            upper[rows, :width] = mass / mass[:, -1:]
+            upper[rows, width:] = 1.0
+        return base, piece, upper
 
     def encode(self, data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids, row offsets) of a sampled segmentation of every row."""
@@ -173,25 +166,24 @@ class Encoder:
             return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
         a = self.units(data, offs)
         b = np.r_[a[1:], len(data)]
-        h = self.roll.words(data, a, b)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        end, length, piece, upper, base = self.lattice(data, a[first], b[first])
-        rank = np.zeros(base[-1] + 1, dtype=np.int64)
-        rank[end] = 1
-        rank = np.cumsum(rank) - 1  # number of each position that edges end in
-        ladder = rank[end] + upper
+        _, first, which = np.unique(self.roll.words(data, a, b), return_index=True, return_inverse=True)
+        order = np.argsort(a[first] - b[first], kind="stable")
+        base, piece, upper = self.lattice(data, a[first][order], b[first][order])
+        place_of = np.empty(len(order), dtype=np.int64)
+        place_of[order] = np.arange(len(order))
         row = np.searchsorted(offs, a, side="right") - 1
         stream = C.mix(C.mix(keys.astype(np.uint64)) + np.uint64(self.seed))
-        place, left, at = b.copy(), b - a, base[which] + (b - a)
+        place, left, unit = b.copy(), b - a, place_of[which]
         row_start, seed = offs[row], stream[row]
         out = np.full(len(data), -1, dtype=np.int64)
         while len(place):
             u = (C.mix(seed + (place - row_start).astype(np.uint64)) >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
-            e = np.searchsorted(ladder, rank[at] + u, side="right")
-            out[place - 1] = piece[e]
-            n = length[e]
-            go = left > n
-            place, left, at, row_start, seed = (place - n)[go], (left - n)[go], (at - n)[go], row_start[go], seed[go]
+            at = base[left] + unit
+            k = (upper[at] <= u[:, None]).sum(axis=1)
+            out[place - 1] = piece[at, k]
+            n = k + 1
+            go = np.flatnonzero(left > n)
+            place, left, unit, row_start, seed = (place - n)[go], (left - n)[go], unit[go], row_start[go], seed[go]
         used = out >= 0
         return self.vocab.ids[out[used]], np.concatenate([[0], np.cumsum(used)])[offs]
 
