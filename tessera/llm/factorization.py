@@ -165,17 +165,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
             at = edge.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("quality"), pa.ListArray.from_arrays(at, pa.array(bucket.astype(np.int32))),
-                 pa.ListArray.from_arrays(at, pa.array(value)),
+                 pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32))),
                  pa.ListArray.from_arrays(np.arange(0, stats.size + 1, N_STATS, dtype=np.int32), pa.array(stats.ravel()))],
                 ["doc_id", "quality", "bucket", "value", "stats"])
     found = (C.id_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
-             .mapInArrow(run, "doc_id long, quality int, bucket array<int>, value array<double>, stats array<double>")
+             .mapInArrow(run, "doc_id long, quality int, bucket array<int>, value array<float>, stats array<double>")
              .groupBy("doc_id").agg(F.min(F.struct("quality", "bucket", "value", "stats")).alias("x"))
-             .select("doc_id", "x.*").toPandas().sort_values("doc_id"))
-    flat = lambda c: np.concatenate([np.zeros(0), *found[c]])
-    edge = np.concatenate([[0], np.cumsum([len(b) for b in found["bucket"]])]).astype(np.int64)
-    stats = flat("stats").reshape(-1, N_STATS)
-    return fit(edge, flat("bucket").astype(np.int64), flat("value"), stats, found["quality"].to_numpy(np.float64))
+             .select("doc_id", "x.*").toArrow().sort_by("doc_id").combine_chunks())
+    if not found.num_rows:
+        return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_STATS)), np.zeros(0))
+    lists = {c: found.column(c).chunk(0) for c in ("bucket", "value", "stats")}
+    edge = lists["bucket"].offsets.to_numpy().astype(np.int64)
+    flat = lambda c: lists[c].flatten().to_numpy()
+    return fit(edge - edge[0], flat("bucket"), flat("value").astype(np.float64), flat("stats").reshape(-1, N_STATS), found.column("quality").to_numpy().astype(np.float64))
 
 
 def scores(machine: Machine, data: np.ndarray, offs: np.ndarray, roll: C.Rolling) -> np.ndarray:
