@@ -1,7 +1,9 @@
 """Near-duplicate documents by DartMinHash.
 
-Elements are the distinct five-word shingles of a text, each with weight
-1 + log2(occurrences). Every element owns a region [0, weight) × [0, ∞) of
+Elements are the distinct five-word shingles of a text, each with weight 1, so
+that bands follow the similarity that decides (``weighted`` gives them the weight
+1 + log2(occurrences); texts that repeat shingles then meet less often than their
+sets are similar). Every element owns a region [0, weight) × [0, ∞) of
 (weight, rank). Darts fall on it as a Poisson process of rate one that depends
 on the element alone: the weight axis is cut into strips [0,1), [1,2), [2,4), …,
 a strip's darts come in order of rank with exponential gaps, and each dart has a
@@ -9,10 +11,11 @@ hashed place in the strip, a hashed coordinate and an identity. A text keeps, of
 the darts inside its regions, the earliest of each coordinate. Darts are thrown
 up to a rank at which about ``k (ln k + 2)`` are expected; a text that leaves a
 coordinate empty goes on at twice the rank. Two texts agree in a coordinate with
-a probability equal to their weighted Jaccard similarity.
+a probability equal to their weighted Jaccard similarity, which is the set
+similarity with weights of 1.
 
-150 coordinates make 30 bands of 5. At similarity 0.8 a pair misses every band
-with probability 7e-6. Candidates are then checked exactly: the set Jaccard
+150 coordinates make 30 bands of 5. At set similarity 0.8 a pair misses every band
+with probability 7e-6, also where texts repeat shingles. Candidates are then checked exactly: the set Jaccard
 similarity of the shingles must be 0.8 or more.
 
 * Texts with the same shingle set are one class member from the start (one
@@ -278,7 +281,7 @@ def _link(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: floa
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
-               weighted: bool = True) -> DataFrame:
+               weighted: bool = False) -> DataFrame:
     """One row per document: _row, doc_id, class_id (smallest doc_id of its class),
     class_size, n_links (verified links of its representative), kept."""
     docs = C.numbered(C.id_text(docs))

@@ -97,3 +97,16 @@ def test_chains_and_hubs(spark):
     rng.shuffle(rows)
     got = check(C.store(spark.createDataFrame(rows, "doc_id long, text string"), "hubs"))
     assert len({r.class_id for r in got}) == 2 + 80
+
+
+def test_repeated_shingles(spark):
+    """Texts against themselves several times over, and against copies with one line
+    repeated often: similar as sets, not by occurrences."""
+    rows = []
+    for i in range(40):
+        base = word_text(3000 + i, 204)
+        line = word_text(4000 + i, 20)
+        rows.append((len(rows), base))
+        rows.append((len(rows), " ".join([base] * (2, 4, 8)[i % 3]) if i % 4 else base + (" " + line) * 1000))
+    got = check(C.store(spark.createDataFrame(rows, "doc_id long, text string"), "repeated"))
+    assert len({r.class_id for r in got}) == 40
