@@ -27,17 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
+def id_text(docs: DataFrame, *more) -> DataFrame:
     """doc_id and text alone, so that further columns can't clash; null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A row number that tells repeated rows apart. It is the same in every job and
-    every retry because the frames it is used on are scans of stored files."""
+    """A row number that tells repeated rows apart, for one job alone: another job may
+    pack the files into other splits and number the rows anew (``numbered_once``)."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered_once(df: DataFrame, name: str = "_row") -> DataFrame:
+    """df with its row numbers, written once, so that every later job reads the same
+    numbers, however many cores there are by then."""
+    return store(numbered(df, name), "numbered")
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

@@ -284,7 +284,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
                weighted: bool = False) -> DataFrame:
     """One row per document: _row, doc_id, class_id (smallest doc_id of its class),
     class_size, n_links (verified links of its representative), kept."""
-    docs = C.numbered(C.id_text(docs))
+    return near_rows(C.numbered_once(C.id_text(docs)), shingle, threshold, bands, rows, weighted)
+
+
+def near_rows(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+              weighted: bool = False) -> DataFrame:
+    """near_dedup of stored rows (_row, doc_id, text)."""
     keyed = C.store(band_keys(docs, shingle, bands, rows, weighted), "bands")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     reps = C.store(keyed.groupBy("same").agg(F.min(order).alias("rep"), F.count("*").alias("copies"))

@@ -111,7 +111,12 @@ def recipes(docs: DataFrame, bad: set[bytes], width: int = 16) -> DataFrame:
 def exact_dedup(docs: DataFrame, fingerprint_bytes: int = 16) -> DataFrame:
     """One row per document: _row, doc_id, keep_id, group_size, kept, text_sha256,
     n_chunks. The row with the most code points, then the smallest doc_id, stays."""
-    docs = C.numbered(C.id_text(docs))
+    # the numbers are made in one job, which stores them with the recipes
+    return exact_rows(C.numbered(C.id_text(docs)), fingerprint_bytes)
+
+
+def exact_rows(docs: DataFrame, fingerprint_bytes: int = 16) -> DataFrame:
+    """exact_dedup of rows (_row, doc_id, text)."""
     done = C.store(recipes(docs, collided(docs, fingerprint_bytes), fingerprint_bytes), "recipes")
     best = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = C.store(done.groupBy("recipe").agg(F.min(best).alias("best"), F.count("*").alias("size")).where("size > 1")

@@ -7,21 +7,25 @@ other, and columns of any name pass through."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import dart_minhash as DM
 from . import exact_dedup as ED
 from . import factorization as FM
 from . import mixing as MX
 from . import pieces as PC
-from .common import numbered, table
+from .common import id_text, numbered_once, table
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose number is in ``dropped`` (column _row)."""
+def _kept(docs: DataFrame, judged) -> DataFrame:
+    """docs without the rows that ``judged`` doesn't keep. It gets (_row, doc_id, text)
+    of the stored and numbered rows, and returns _row and kept."""
     name = "_row"
     while name in docs.columns:
         name += "_"
-    return numbered(docs, name).join(dropped.withColumnRenamed("_row", name).select(name), name, "left_anti").drop(name)
+    whole = numbered_once(docs, name)
+    rows = id_text(whole, F.col(name).alias("_row"))
+    return whole.join(judged(rows).where("NOT kept").select(F.col("_row").alias(name)), name, "left_anti").drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +35,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
-    return _without(docs, ED.exact_dedup(docs).where("NOT kept"))
+    return _kept(docs, ED.exact_rows)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates one document stays."""
-    return _without(docs, DM.near_dedup(docs).where("NOT kept"))
+    return _kept(docs, DM.near_rows)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
