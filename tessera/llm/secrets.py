@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_-]``. Its features
+A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_-]``; or a value of
+SHORT or more characters, punctuation included, that is assigned to a credential's
+name (in quotes also with blanks) or stands in the userinfo of a URL. Its features
 are its length, its character transitions (changes between letters, digits and
 case, and the mix of characters), dictionary coverage (the share of its letters
 inside words that are frequent in the corpus), signs of a path or address around
@@ -10,7 +12,7 @@ the held-out fold; its probability decides.
 The tables hold no labelled findings, so ``labelled`` makes them from two rules of
 thumb that leave many findings open: a quoted run with a digit that is assigned to
 a credential's name is a secret; a run of letters alone, of decimal digits alone,
-or inside an address is none. A table of reviewed findings can be given instead.
+or inside an address is none, unless it is such a value or a part of one. A table of reviewed findings can be given instead.
 
 DataFrame functions and MLlib only. Texts without a candidate stop at the scan;
 dictionary words are counted before the shuffle; features of the text of a
@@ -37,6 +39,13 @@ from . import common as C
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
 SPACE = r"[\x20\x09-\x0D]+"
 NAMES = r"(?i)(token|secret|passw|passphrase|api|key|auth|credential|bearer)"
+SHORT, REST = 6, 64  # characters of a value; words that a quoted value may have
+# A name that a value is assigned to, as the end of the text before the value.
+NAMED = NAMES[:-1].replace("(token", "(?:token") + r"|pwd)[A-Za-z0-9_.\-]*[\"'`)\]]*"
+ASSIGN = r"(?::=|=>|=|:)"
+VALUE = ("([\"'`])(.{%d,}?)\\1" % SHORT, r"([^\s\"'`]{%d,})" % SHORT)  # in quotes, and without
+USERINFO = (r"://[^/\s:@]*:([^/\s]{%d,})@" % SHORT, "://([^/\\s:@]{%d,})@" % SHORT)  # a password, and a token alone
+HINT = f"{CANDIDATE}|{NAMED}\\s*{ASSIGN}|(?i:bearer\\s)|://[^/\\s]*@"
 MIN_DOCS, WORD_MIN, WORD_MAX = 20, 3, 10
 MAX_ROWS, TREES, DEPTH, SEED, FOLDS, CUT = 20_000, 20, 6, 7, 5, 0.5
 SHAPE = ["length", "digits", "upper", "lower", "marks", "hex_only", "distinct", "class_changes", "case_changes", "vowel_changes", "dictionary"]
@@ -45,15 +54,41 @@ FEATURES = SHAPE + AROUND
 KEY = ["doc_id", "line_no", "word_no", "part_no"]
 
 
+def _values():
+    """Values that begin in a word and are assigned to a credential's name, or are in a
+    URL's userinfo, without those that are no more than one of its runs."""
+    word, before, before2, rest = (F.col(x) for x in ("word", "before", "before2", "rest"))
+    first = lambda text, pattern, k: F.regexp_extract(text, pattern, k)
+    pick = lambda text, start: F.when(text.rlike(f"{start}[\"'`]"), first(text, start + VALUE[0], 2)).otherwise(
+        F.regexp_replace(first(text, start + VALUE[1], 1), r"[,;.)\]}>]+$", ""))
+    begins = (before.rlike(f"{NAMED}{ASSIGN}$") | (before.rlike(f"^{ASSIGN}$") & before2.rlike(f"{NAMED}$"))
+              | (before.rlike("^[\"'`]?(?i:bearer)$") & before2.rlike("[=:][\"'`]?$")))
+    begins = begins & ~word.rlike("^[\"'`]?(?i:bearer|basic)[\"'`]?$")  # the scheme, not the value
+    alone = word.rlike(f"^{ASSIGN}[^=]") & before.rlike(f"{NAMED}$")  # name =value
+    own = F.when(word.rlike(f"{NAMED}{ASSIGN}[^=/]"), pick(rest, f"^[^\\s=:]*?{NAMED}{ASSIGN}")).when(alone, pick(rest, f"^{ASSIGN}"))
+    found = F.array(F.when(begins, pick(rest, "^")), own, *[first(word, x, 1) for x in USERINFO])
+    return F.array_distinct(F.filter(found, lambda x: F.length(x) >= SHORT))  # nulls go too
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """Every candidate with its place (line, word, part, from 0) and the words around it."""
-    lines = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CANDIDATE))
-             .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(CANDIDATE)))
+    """Every candidate with its place (line, word, part, from 0) and the words around it.
+    The runs of a word come first, then the values that begin in it. ``credential``:
+    the candidate is such a value or a part of one."""
+    lines = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(HINT))
+             .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(HINT)))
     words = lines.withColumn("w", F.split(F.trim(F.regexp_replace("line", SPACE, " ")), " "))
     near = lambda k: F.coalesce(F.try_element_at("w", F.when(F.col("word_no") + k + 1 > 0, F.col("word_no") + k + 1).otherwise(F.size("w") + 1)), F.lit(""))
-    placed = words.select("doc_id", "line_no", "w", F.posexplode("w").alias("word_no", "word")).where(F.col("word").rlike(CANDIDATE))
-    return placed.select("doc_id", "line_no", "word_no", "word", near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"),
-                         F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("part_no", "candidate"))
+    placed = words.select("doc_id", "line_no", "w", F.posexplode("w").alias("word_no", "word"))
+    placed = placed.select("doc_id", "line_no", "word_no", "word", near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"),
+                           F.concat_ws(" ", F.slice("w", F.col("word_no") + 1, REST)).alias("rest"))
+    context = F.concat_ws(" ", "before2", "before", "word")
+    values = F.when(context.rlike(f"{NAMED}\\s*{ASSIGN}|(?i:bearer\\s)|://[^/\\s]*@"), _values()).otherwise(F.array().cast("array<string>"))
+    placed = (placed.where(F.col("word").rlike(CANDIDATE) | context.rlike(HINT))
+              .withColumn("values", values).withColumn("runs", F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)))
+    parts = F.concat("runs", F.filter("values", lambda v: ~F.array_contains("runs", v)))
+    return (placed.select("*", F.posexplode(parts).alias("part_no", "candidate"))
+            .withColumn("credential", F.exists("values", lambda v: F.contains(v, F.col("candidate"))))
+            .drop("rest", "runs", "values"))
 
 
 def dictionary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -95,7 +130,7 @@ def _around(found: DataFrame) -> DataFrame:
     return found.select(
         "*", flag(word.rlike("[\"'`]")).alias("quoted"), flag(before.rlike("[=:]$") | word.rlike("[=:]")).alias("assigned"),
         flag(context.rlike(NAMES)).alias("named"), F.regexp_count(word, F.lit(r"[/\\]")).cast("double").alias("slashes"),
-        flag(word.rlike("://|@|www[.]")).alias("address"), flag(word.rlike("[A-Za-z0-9][.][A-Za-z0-9]")).alias("dotted"),
+        flag(word.rlike("://|@|www[.]") & ~F.col("credential")).alias("address"), flag(word.rlike("[A-Za-z0-9][.][A-Za-z0-9]")).alias("dotted"),
         F.length(before).cast("double").alias("prev_length"), flag(before.rlike(r"^\p{L}+$")).alias("prev_alpha"),
         F.length(after).cast("double").alias("next_length"), flag(after.rlike(r"^\p{L}+[.,;:!?]*$")).alias("next_alpha"), flag(F.col("word_no") == 0).alias("first_word"))
 
@@ -104,7 +139,7 @@ def labelled(found: DataFrame) -> DataFrame:
     """Findings with ``label`` 1 or 0 where a rule of thumb decides, null elsewhere."""
     candidate = F.col("candidate")
     secret = (F.col("quoted") == 1) & (F.col("assigned") == 1) & (F.col("named") == 1) & candidate.rlike("[0-9]")
-    none = candidate.rlike(r"^[A-Za-z]+$|^[0-9]+$") | (F.col("address") == 1)
+    none = (candidate.rlike(r"^[A-Za-z]+$|^[0-9]+$") | (F.col("address") == 1)) & ~F.col("credential")
     return found.withColumn("label", F.when(none, 0.0).when(secret, 1.0))
 
 

@@ -51,6 +51,26 @@ def test_messy(spark, messy, nothing):
     assert X.scan(messy).count() == len(brute([(r.doc_id, r.text) for r in messy.collect()]))
 
 
+def test_short_punctuated_and_embedded(spark):
+    """Values of credential names and of URLs, which no long run holds."""
+    want = {'password = "P@ssw0rd!2024#x" end': "P@ssw0rd!2024#x", "PASSWORD=abc.12 next": "abc.12", "db_passwd: s3cr3t!, then": "s3cr3t!",
+            "api_key='k$9-zz.1'": "k$9-zz.1", 'passphrase = "correct horse battery staple" end': "correct horse battery staple",
+            "{'token': 'hunter2.x'}": "hunter2.x", "Authorization: Bearer ab.cd.ef": "ab.cd.ef", "secret :=pa55.wd": "pa55.wd",
+            "see postgres://u:K3Y.x!@host/db now": "K3Y.x!", "clone https://gh.T0ken@host/x now": "gh.T0ken", "passphrase: correcthorsebatterystaple": "correcthorsebatterystaple",
+            "at postgres://u:ABCDEFGHIJKLMNOPQRST@host": "ABCDEFGHIJKLMNOPQRST"}
+    plain = ["the key to it all", "https://example.com/a?b=c", "a token of it: none", 'monkey "business" here', "mail me@example.com"]
+    docs = C.store(spark.createDataFrame(list(enumerate([*want, *plain])), "doc_id long, text string"), "short")
+    out = X.scan(docs).collect()
+    assert {(r.doc_id, r.candidate) for r in out} == set(enumerate(want.values()))
+    assert not any(r.label == 0 for r in out)
+    # what a forest that has long tokens and short passwords to learn from makes of them
+    rows = [f'password = "p{i}.x!{i * 7}"' if i % 2 else f"plain {'abcdefghij' * 2}{'klmnop'[:i % 6]} text" for i in range(200)]
+    rows += [f"see postgres://u:q.{i + 10}!z@host/db" for i in range(20)]
+    out = X.scan(C.store(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "learnt")).collect()
+    assert len(out) == 220 and all(r.is_secret == (r.doc_id % 2 == 1) for r in out if r.doc_id < 200)
+    assert all(r.label is None for r in out if r.doc_id >= 200)  # open, so not trained away
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = X.op7_secrets(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
