@@ -5,7 +5,10 @@ weighted by ``a(source) · b(language) · c(topic)``, and the three factors are
 fitted in turn until the weighted tokens meet the target share of every source,
 language and topic. A document is then drawn with probability
 ``min(1, s · weight of its cell)``, where s makes the expected tokens ``keep`` of
-all tokens; cells that would need more than they hold are taken whole.
+all tokens; cells that would need more than they hold are taken whole, so the
+levels made of such cells stay below their targets (``reach`` lists them). With
+``repeats`` a document comes ``keep · weight`` times instead, whole repeats and a
+draw for the rest, and the expected sample meets every target.
 
 DataFrame functions only. Tokens are summed by cell before any shuffle, so a
 source with a third of all rows is a few cells; sources stay in a distributed
@@ -119,18 +122,46 @@ def rates(cells: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds:
                                 F.least(F.lit(1.0), F.col("weight") * F.lit(scale)).alias("probability")), "rates")
 
 
-def mix(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every document."""
+def _copies(keep: float, seed: int):
+    """How often a document comes in a sample with repeats."""
+    times = F.col("weight") * F.lit(float(keep))
+    return (F.floor(times) + (draw(F.col("doc_id"), seed) < times - F.floor(times)).cast("int")).cast("int")
+
+
+def mix(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, seed: int = SEED, repeats: bool = False) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every
+    document, and with ``repeats`` copies."""
     seen = C.store(measured(docs), "measured")
     cells = C.store(seen.groupBy(*CELL).agg(F.sum("n_tokens").alias("n")), "tokens")
-    return seen.join(rates(cells, keep, temper), CELL).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
+    out = seen.join(rates(cells, keep, temper), CELL).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
+    return out.withColumn("copies", _copies(keep, seed)) if repeats else out
 
 
-def sample(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
+def reach(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, repeats: bool = False, slack: float = 0.01) -> DataFrame:
+    """level, value, corpus, target, drawn, reached: the shares of tokens of every
+    source, language and topic, and whether the expected sample is within ``slack``
+    of the target, relative to it."""
+    cells = C.store(measured(docs).groupBy(*CELL).agg(F.sum("n_tokens").alias("n")), "tokens")
+    times = F.col("weight") * F.lit(float(keep)) if repeats else F.col("probability")
+    rated = C.store(cells.join(rates(cells, keep, temper), CELL).select(*CELL, "n", (F.col("n") * F.col("weight")).alias("t"), (F.col("n") * times).alias("d")), "rated")
+    out = None
+    for level in CELL:
+        part = rated.groupBy(F.lit(level).alias("level"), F.col(level).alias("value")).agg(*[F.sum(x).alias(x) for x in "ntd"])
+        out = part if out is None else out.unionByName(part)
+    sums = rated.agg(*[F.sum(x).alias("all_" + x) for x in "ntd"])
+    share = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("all_" + x)), F.lit(0.0))
+    return (out.crossJoin(F.broadcast(sums)).select("level", "value", share("n").alias("corpus"), share("t").alias("target"), share("d").alias("drawn"))
+            .withColumn("reached", F.abs(F.col("drawn") - F.col("target")) <= F.lit(slack) * F.col("target")))
+
+
+def sample(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, seed: int = SEED, repeats: bool = False) -> DataFrame:
     """The sampled rows of docs, with all their columns."""
     cells = C.store(measured(docs).groupBy(*CELL).agg(F.sum("n_tokens").alias("n")), "tokens")
     packed = measured(docs, F.struct("*").alias("whole")).drop("n_tokens")
-    drawn = packed.join(rates(cells, keep, temper), CELL).where(draw(F.col("doc_id"), seed) < F.col("probability"))
+    rated = packed.join(rates(cells, keep, temper), CELL)
+    if repeats:
+        return rated.select("whole", F.explode(F.array_repeat(F.lit(0), _copies(keep, seed)))).select("whole.*")
+    drawn = rated.where(draw(F.col("doc_id"), seed) < F.col("probability"))
     return drawn.select("whole.*")
 
 

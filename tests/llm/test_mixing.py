@@ -32,6 +32,28 @@ def test_margins_meet_their_targets(spark):
     assert sum(r.n_tokens for r in out if r.sampled) == pytest.approx(X.KEEP * total, rel=0.05)
 
 
+def test_sampled_margins(spark, messy, nothing):
+    """Whole repeats and a draw meet every target; without repeats the levels that
+    stay away from theirs are listed."""
+    docs = C.table(spark, "/root/testdata/sf0.1", "documents")
+    full = X.reach(docs, repeats=True).collect()
+    assert all(r.reached and r.drawn == pytest.approx(r.target, rel=1e-3) for r in full)
+    once = {(r.level, r.value): r for r in X.reach(docs).collect()}
+    assert len(once) == len(full)
+    print([tuple(r) for r in once.values() if r.level == "topic"], sum(not r.reached for r in once.values()), len(once))
+    assert not any(once["topic", x].reached for x in ("contact", "credentials", "licence", "table"))
+    out = X.mix(docs, repeats=True).collect()
+    total = sum(r.n_tokens for r in out)
+    assert sum(r.n_tokens * r.copies for r in out) == pytest.approx(X.KEEP * total, rel=0.05)
+    for r in full:
+        if r.level == "topic":
+            got = sum(x.n_tokens * x.copies for x in out if x.topic == r.value) / (X.KEEP * total)
+            assert got == pytest.approx(r.target, rel=0.1)
+    rows = X.sample(messy, repeats=True)
+    assert rows.columns == messy.columns and rows.count() == sum(r.copies for r in X.mix(messy, repeats=True).collect())
+    assert X.reach(nothing).collect() == [] and X.sample(nothing, repeats=True).collect() == []
+
+
 def test_messy(spark, messy, nothing):
     out = X.mix(messy).collect()
     assert len(out) == messy.count() and all(0 <= r.probability <= 1 for r in out)
