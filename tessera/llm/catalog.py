@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backoff_lm, dart_minhash, exact_dedup, factorization, hard_negatives, merkle, mixing, pieces, repetition, secrets, substring_dedup, url_filter
+from . import backoff_lm, dart_minhash, exact_dedup, factorization, hard_negatives, merkle, mixing, pieces, repetition, secrets, substring_dedup, toxicity, url_filter
 
 REGISTRY = {
     "op1_dart_minhash": (dart_minhash.op1_dart_minhash, None),
@@ -16,5 +16,6 @@ REGISTRY = {
     "op9_repetition": (repetition.op9_repetition, None),
     "op10_url_filter": (url_filter.op10_url_filter, url_filter.ORACLE),
     "op11_merkle": (merkle.op11_merkle, merkle.ORACLE),
+    "op12_toxicity": (toxicity.op12_toxicity, None),
     "op13_hard_negatives": (hard_negatives.op13_hard_negatives, hard_negatives.ORACLE),
 }
