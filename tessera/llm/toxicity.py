@@ -24,7 +24,8 @@
   the same texts, gives the score.
 
 Training takes a sample of labelled rows, bounded by ``max_rows``: those with the
-smallest hash of their id. Scoring reads all whole texts in one pass without a
+smallest hash of their id; of their words that are far from all landmarks, a sample
+with weights in place of the rest. Scoring reads all whole texts in one pass without a
 shuffle. Labels, language, source and id are no features.
 
 Rows: null text is the empty text and gets a score like any other; a null id is held
@@ -50,11 +51,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .factorization import sigmoid
 
-MAX_ROWS, FOLDS, HELD, CUT = 8_000, 3, 1, 0.7
+MAX_ROWS, FOLDS, HELD, CUT = 4_000, 3, 1, 0.7
 ORDER, GAPS, DECAY = 4, 3, 0.8
 LONGEST, STRIDE, LETTERS_APART = 32, 16, 3
 TOXIC_LANDMARKS, OTHER_LANDMARKS, ALIKE, LEAST_RATIO, LANDMARK_BYTES = 48, 16, 8, 25.0, (4, 14)
-PER_TEXT, TOXIC_WEIGHT = 3, 2.0
+PER_TEXT, TOXIC_WEIGHT, NEAR, FAR_WORDS = 3, 2.0, 0.2, 40_000
 CACHED = 200_000
 
 START = 94  # ^, which is no letter
@@ -180,34 +181,48 @@ class Landmarks:
         out = np.zeros((len(edge) - 1, self.rows.shape[1]))
         for of, code, weight in subsequences(text, edge):
             of, at = self.table.hits(of, code)
-            np.add.at(out, of, weight * self.rows[at])
+            if len(of):
+                new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                out[of[new]] += weight * np.add.reduceat(self.rows[at], new, axis=0)
         norm = np.sqrt(own_kernel(text, edge))
         return out / np.where(norm > 0, norm, 1.0)[:, None]
 
+    def in_parts(self, words: list[bytes], size: int = 10_000):
+        """(number of the first word, kernels) of all words, some at a time."""
+        for lo in range(0, len(words), size):
+            yield lo, self.kernels(*packed(words[lo:lo + size]))
+
     def features(self, text: np.ndarray, edge: np.ndarray) -> np.ndarray:
         return self.kernels(text, edge) @ self.root
 
 
 def machine(x: np.ndarray, toxic: np.ndarray, other: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
     """Weights and bias of the least squared hinge loss, rows weighted by their counts."""
-    z = np.column_stack([x, np.ones(len(x))])
-    z, y, c = np.concatenate([z, z]), np.repeat([1.0, -1.0], len(x)), np.concatenate([toxic, other]).astype(float)
-    z, y, c = z[c > 0], y[c > 0], c[c > 0]
+    z = np.column_stack([x, np.ones(len(x), dtype=x.dtype)])
     penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
     w = np.zeros(z.shape[1])
-    loss = lambda w: (c * np.maximum(0, 1 - y * (z @ w)) ** 2).sum() + (penalty * w * w).sum()
-    now = loss(w)
+
+    def slacks(w):
+        f = z @ w.astype(z.dtype)
+        return np.maximum(0, 1 - f).astype(float), np.maximum(0, 1 + f).astype(float)
+
+    def loss(w, s):
+        return (toxic * s[0] ** 2 + other * s[1] ** 2).sum() + (penalty * w * w).sum()
+    s = slacks(w)
+    now = loss(w, s)
     for _ in range(steps):
-        slack = 1 - y * (z @ w)
-        live = slack > 0
-        a = z[live] * c[live, None]
-        step = np.linalg.solve(a.T @ z[live] + np.diag(penalty), a.T @ (y[live] * slack[live]) - penalty * w)
+        c = (toxic * (s[0] > 0) + other * (s[1] > 0)).astype(z.dtype)
+        gram = np.zeros((z.shape[1], z.shape[1]))
+        for lo in range(0, len(z), 16_384):
+            part = z[lo:lo + 16_384]
+            gram += (part * c[lo:lo + 16_384, None]).T @ part
+        step = np.linalg.solve(gram + np.diag(penalty), z.T @ (toxic * s[0] - other * s[1]).astype(z.dtype) - penalty * w)
         size = 1.0
-        while (after := loss(w + size * step)) > now and size > 1e-6:
+        while (after := loss(w + size * step, t := slacks(w + size * step))) > now and size > 1e-6:
             size /= 2
         if now - after < 1e-9 * now:
             break
-        w, now = w + size * step, after
+        w, now, s = w + size * step, after, t
     return w[:-1], float(w[-1])
 
 
@@ -322,15 +337,34 @@ def landmarks(words: list[bytes], toxic: np.ndarray, other: np.ndarray) -> list[
     clean = np.flatnonzero((other > toxic) & (np.array([len(w) for w in words]) >= low))
     clean = clean[np.lexsort((clean, -other[clean]))]
     rest = {words[i]: None for i in clean[:OTHER_LANDMARKS]}
-    marks = Landmarks(out)
-    alike = np.concatenate([marks.kernels(*packed([words[i] for i in clean[lo:lo + 10_000]])).astype(np.float32) for lo in range(0, len(clean), 10_000)])
-    for k, mark in enumerate(out):
-        near = alike[:, k] * np.sqrt(other[clean])
-        near[[words[i].startswith(mark) for i in clean]] = 0
-        rest.update((words[clean[i]], None) for i in np.argsort(-near, kind="stable")[:ALIKE] if near[i] > 0)
+    best: list[list[tuple[float, bytes]]] = [[] for _ in out]
+    for lo, alike in Landmarks(out).in_parts([words[i] for i in clean]):
+        alike = alike * np.sqrt(other[clean[lo:lo + len(alike)]])[:, None]
+        for k, mark in enumerate(out):
+            for i in np.argsort(-alike[:, k], kind="stable")[:20 * ALIKE].tolist():
+                if alike[i, k] > 0 and not words[clean[lo + i]].startswith(mark):
+                    best[k].append((-float(alike[i, k]), words[clean[lo + i]]))
+            best[k] = sorted(best[k])[:ALIKE]
+    rest.update((w, None) for found in best for _, w in found)
     return out + list(rest)
 
 
+def lesson(marks: Landmarks, words: list[bytes], toxic: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and counts of the words that have a kernel of ``NEAR`` or more with a
+    landmark, and of every n-th other word, in place of n of them, so that about
+    ``FAR_WORDS`` of these remain."""
+    every = max(1, len(words) // FAR_WORDS)
+    x, t, o = [], [], []
+    for lo, k in marks.in_parts(words):
+        near = k.max(axis=1) >= NEAR
+        keep = near | (np.arange(lo, lo + len(k)) % every == 0)
+        factor = np.where(near[keep], 1.0, every)
+        x.append((k[keep] @ marks.root).astype(np.float32))
+        t.append(toxic[lo:lo + len(k)][keep] * factor)
+        o.append(other[lo:lo + len(k)][keep] * factor)
+    return np.concatenate(x), np.concatenate(t), np.concatenate(o)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled ids outside the held-out fold."""
     labelled = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -363,8 +397,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     if not marks:
         return model
     nystroem = Landmarks(marks)
-    features = [nystroem.features(*packed(words[lo:lo + 10_000])).astype(np.float32) for lo in range(0, len(words), 10_000)]
-    w, model.bias = machine(np.concatenate(features), TOXIC_WEIGHT * toxic, other)
+    x, toxic, other = lesson(nystroem, words, toxic, other)
+    w, model.bias = machine(x, TOXIC_WEIGHT * toxic, other)
     model.codes, model.weight = nystroem.table.codes, nystroem.rows @ (nystroem.root @ w)
 
     def judge(batches):
