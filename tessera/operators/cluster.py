@@ -1,80 +1,97 @@
-"""Clustering (G3a KMeans, G3b DBSCAN) and dense cluster numbering.
+"""Clustering (G3a KMeans, G3b DBSCAN; G3c is in ``density``).
 
-DBSCAN: neighbours from the exact grid eps-join, degree by group-by, core
-points, components over core–core edges, border points take the smallest
-cluster among their core neighbours, everything else is noise (-1). Cluster
-numbers are 0.. in order of each cluster's smallest core key."""
+DBSCAN without a table of pairs. Identical vectors are one weighted point. A cell of
+side eps/sqrt(d) has a diagonal of eps: with ``min_samples`` rows all its points are
+core points, and the core points of a cell are one cluster, in both cases without
+looking at a pair. Points of sparser cells count their neighbours block by block, up to
+``min_samples``. Then blocks of different components meet (``near``), and a task emits a
+spanning forest of the links between them. Border points take the smallest cluster
+among their core neighbours, everything else is noise (-1). Cluster numbers are 0.. in
+order of each cluster's smallest core key."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VF
-from ..session import cut_lineage
+from ..session import stored
 from . import graph as G
+from . import near as N
+from .density import _forest, _mixed, density
+from .near import dense_index
 
-METHODS = ("DBSCAN", "KMeans")
+METHODS = ("HDBSCAN", "DBSCAN", "KMeans")
 
 
 def check_method(method: str) -> str:
-    if method == "HDBSCAN":
-        raise NotImplementedError("the density-hierarchy clusterer is not available yet; use DBSCAN or KMeans")
     if method not in METHODS:
         raise ValueError(f"Unknown clustering method: {method}")
     return method
 
 
-def dense_index(values: DataFrame, col: str, out: str = "idx", partitions: int | None = None) -> DataFrame:
-    """(col, idx) with idx = 0.. in ``col`` order, computed distributed: range
-    partitioning, a row number inside each partition, and per-partition
-    offsets (one small row per partition)."""
-    d = values.select(col).distinct()
-    n = partitions or d.sparkSession.sparkContext.defaultParallelism
-    d = d.repartitionByRange(n, col).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
-    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-                         .alias("_o"))
-    return d.join(offs, "_p").select(col, (F.coalesce(F.col("_o"), F.lit(0)) + F.col("_r") - 1).cast("int").alias(out))
-
-
 def dbscan(items: DataFrame, key: str, vec: str, eps: float = 0.2, min_samples: int = 15,
-           metric: str = "cosine", grid_dims: int = 3) -> DataFrame:
-    """(key, cluster). ``metric`` 'cosine' (distance 1 - cos) or 'euclidean'."""
+           metric: str = "cosine", grid_dims: int = N.GRID) -> DataFrame:
+    """(key, cluster). ``metric`` 'cosine' (distance 1 - cos, a vector without length is
+    at a distance of 1 from all) or 'euclidean'. A null vector is noise."""
+    v = F.col(vec).cast("array<double>")
     if metric == "cosine":
-        pts = items.select(F.col(key).alias("id"), VF.l2_normalize(F.col(vec).cast("array<double>")).alias("u"),
-                           F.col(vec).cast("array<double>").alias("raw"))
-        radius = (2.0 * float(eps)) ** 0.5 + 1e-9
-        cand = G.radius_pairs(pts.select("id", "u"), "id", "u", radius, grid_dims)
-        ra = pts.select(F.col("id").alias("a"), F.col("raw").alias("ra"))
-        rb = pts.select(F.col("id").alias("b"), F.col("raw").alias("rb"))
-        pairs = (cand.join(ra, "a").join(rb, "b")
-                 .where((F.lit(1.0) - VF.cosine(F.col("ra"), F.col("rb"))) <= F.lit(float(eps)))
-                 .select("a", "b"))
+        # 1 - cos <= eps on unit vectors is a distance of sqrt(2 eps) at most; zero vectors stay alone
+        rows = items.select(F.col(key).alias("key"), F.when(VF.norm(v) > 0, VF.l2_normalize(v)).alias("v"))
+        radius = (2.0 * float(eps)) ** 0.5
     else:
-        pts = items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("u"))
-        pairs = G.radius_pairs(pts.select("id", "u"), "id", "u", float(eps), grid_dims).select("a", "b")
-    pairs = cut_lineage(pairs)
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    ids = pts.select("id")
-    core = (ids.join(deg.withColumnRenamed("a", "id"), "id", "left")
-            .where(F.coalesce(F.col("deg"), F.lit(0)) + 1 >= int(min_samples)).select("id"))
-    core = cut_lineage(core)
-    core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-                  .join(core.withColumnRenamed("id", "b"), "b", "left_semi"))
-    comps = G.connected_components(core, core_edges)
-    num = dense_index(comps, "comp", "cluster")
-    core_cl = comps.join(num, "comp").select("id", "cluster")
-    border = (both.join(core_cl.withColumnRenamed("id", "b"), "b")
-              .join(core.withColumnRenamed("id", "a"), "a", "left_anti")
-              .groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster")))
-    labelled = core_cl.unionByName(border)
-    return (ids.join(labelled, "id", "left")
-            .select(F.col("id").alias(key), F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster")))
+        rows, radius = items.select(F.col(key).alias("key"), v.alias("v")), float(eps)
+    pts, members = N.points(rows, "key", "v")
+    first = pts.select(F.size("v")).first()
+    if first is None:
+        return items.select(key, F.lit(-1).cast("int").alias("cluster"))
+    d = first[0]
+    dims = min(grid_dims, d)
+    side = F.lit(radius * (1 - 1e-9) / max(d, 1) ** 0.5)
+    cell = F.xxhash64(F.transform("v", lambda x: F.floor(x / side)), F.lit(0))
+    pts = stored(pts.withColumn("cell", cell), "points")
+    full = pts.groupBy("cell").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_samples).select("cell")
+    sparse = stored(pts.join(full, "cell", "left_anti"), "sparse")
+
+    def count(x, vx, y, vy, same):
+        n = (N.distances(vx, vy) <= radius).astype(np.int64) @ np.minimum(y[0], min_samples)
+        return x[0], np.minimum(n, min_samples)
+    a, b = N.blocks(sparse, radius, dims, ["pid"]), N.blocks(pts, radius, dims, ["weight"])
+    near = N.met(N.block_pairs(a, b, dims), a, b, ["pid"], ["weight"], dims, count, "pid long, n long", "counts")
+    dense = near.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("pid")
+    core = stored(pts.join(full, "cell", "left_semi").unionByName(sparse.join(dense, "pid", "left_semi")), "core")
+    one = core.groupBy("cell").agg(F.min("pid").alias("comp"))
+    core = stored(core.join(one, "cell").select("pid", "v", "comp"), "core")
+
+    def spanning(x, vx, y, vy, same):
+        w = N.distances(vx, vy)
+        i, j = np.nonzero((w <= radius) & (x[0][:, None] != y[0][None, :]))
+        if not len(i):
+            return None
+        keep = _forest(x[0][i], y[0][j], w[i, j])
+        return x[0][i[keep]], y[0][j[keep]]
+    c = N.blocks(_mixed(core, radius, dims), radius, dims, ["comp"], "comp")
+    links = N.met(N.block_pairs(c, c, dims, symmetric=True), c, c, ["comp"], ["comp"], dims, spanning, "a long, b long", "spanning")
+    comps = G.connected_components(core.select(F.col("comp").alias("id")), links)
+    core = core.join(comps.select(F.col("comp").alias("group"), F.col("id").alias("comp")), "comp").select("pid", "v", "group")
+    heads = core.join(members, "pid").groupBy("group").agg(F.min("id").alias("head"))
+    heads = stored(heads, "heads")
+    numbers = heads.join(dense_index(heads, "head", "cluster"), "head").select("group", F.col("cluster").cast("long"))
+    core = stored(core.join(numbers, "group").select("pid", "v", "cluster"), "clusters")
+
+    def lowest(x, vx, y, vy, same):
+        near = N.distances(vx, vy) <= radius
+        some = near.any(axis=1)
+        return (x[0][some], np.where(near, y[0][None, :], np.iinfo(np.int64).max).min(axis=1)[some]) if some.any() else None
+    rest = stored(sparse.join(core.select("pid"), "pid", "left_anti"), "rest")
+    a, b = N.blocks(rest, radius, dims, ["pid"]), N.blocks(core, radius, dims, ["cluster"])
+    border = N.met(N.block_pairs(a, b, dims), a, b, ["pid"], ["cluster"], dims, lowest, "pid long, cluster long", "border")
+    labelled = core.select("pid", "cluster").unionByName(border.groupBy("pid").agg(F.min("cluster").alias("cluster")))
+    named = members.join(labelled, "pid").select(F.col("id").alias(key), "cluster")
+    return items.select(key).join(named, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def kmeans_fit(items: DataFrame, key: str, vec: str, k: int = 10, seed: int = 42):

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from ..session import cut_lineage, stored
 
 # Rows of one grid cell handled by one task before the cell is split (salted).
 MAX_CELL_ROWS = 50_000
+LINKS = 1_000_000  # links that one task settles by itself
 
 
 def radius_pairs(items: DataFrame, key: str, vec: str, radius: float, grid_dims: int = 3,
@@ -99,11 +102,45 @@ def _are_stars(links: DataFrame) -> bool:
     return per.where("out > 1 OR out > 0 AND into > 0").isEmpty()
 
 
+def _stars(a, b):
+    """Smallest label of every node's component, from the ends of links as numpy arrays:
+    (nodes, labels)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    low = np.arange(len(nodes))
+    while True:
+        la, lb = low[a], low[b]
+        if (la == lb).all():
+            return nodes, nodes[low]
+        np.minimum.at(low, np.maximum(la, lb), np.minimum(la, lb))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def _settled(links: DataFrame, size: int = LINKS) -> tuple[DataFrame, bool]:
+    """Links with the components within every partition made stars, and whether all were in
+    one partition. Partitions hold about ``size`` links."""
+    n = links.count()
+    parts = max(1, -(-n // size))
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        rows = list(batches)
+        if not sum(b.num_rows for b in rows):
+            return
+        nodes, label = _stars(*(np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows]) for c in ("a", "b")))
+        far = nodes != label
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(label[far])], ["a", "b"])
+    dealt = links.coalesce(1) if parts == 1 else links.repartition(parts, "a", "b")  # both, as a hub's links would all be in one partition
+    return stored(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links"), parts == 1
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """(id, comp) where comp is the smallest id in the node's component.
     ``edges`` has columns (a, b), undirected.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) on
+    A partition of links settles its own components in one pass, so links that fill
+    one partition need no round at all. Otherwise alternates the large-star and small-star steps of Kiveris et al. (2014) on
     links from larger to smaller ids. Large star: a link to b goes to b's smallest
     smaller neighbour instead. Small star: a node's smaller neighbours, and the
     node, are linked to the smallest of them. Distances at least halve, so a path
@@ -111,7 +148,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
     are stars around their smallest id. What a join reads is stored first, so a
     hub's links arrive in a shuffle that Spark may split."""
     links = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while not _are_stars(links):
+    plain = links.schema["a"].dataType.simpleString() in ("bigint", "int", "string")
+    links, done = _settled(links) if plain else (links, False)
+    while not done and not _are_stars(links):
         low = stored(links.groupBy("a").agg(F.min("b").alias("m")), "low")
         large = links.join(low.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = stored(large, "large")

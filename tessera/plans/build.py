@@ -31,9 +31,9 @@ REDUCERS = ("PCA", "PROJECTION")
 class Params:
     reducer: str = "PCA"
     dims: int = 5
-    method: str = "DBSCAN"
-    eps: float = 0.2
-    min_samples: int = 15
+    method: str = "HDBSCAN"
+    eps: float = 0.2  # of DBSCAN
+    min_samples: int = 15  # also the smallest cluster of HDBSCAN
     k: int = 10
     threshold: float = 0.85
     top_n: int = K.TOP_N
@@ -59,6 +59,8 @@ def keyword_clusters(reduced: DataFrame, p: Params):
     """((keyword, cluster), fitted model or None) with the chosen method."""
     if p.method == "KMeans":
         return CL.kmeans_fit(reduced, "keyword", "r", k=p.k)
+    if p.method == "HDBSCAN":
+        return CL.density(reduced, "keyword", "r", min_size=p.min_samples), None
     return CL.dbscan(reduced, "keyword", "r", eps=p.eps, min_samples=p.min_samples, metric="cosine"), None
 
 
@@ -88,7 +90,8 @@ def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None)
     tkw = TB.topic_keywords(vocab, kt)
     tt = cut_lineage(TB.topic_table(dtp, tkw))
     tvec = corpus.phrase_vectors(L.label_phrases(labels), "topic")
-    core = reduced.join(kc, "keyword").where(F.col("cluster") != L.NOISE)
+    # what prediction looks up: HDBSCAN's noise keywords keep what is nearest to them out of the clusters
+    core = reduced.join(kc, "keyword").where((F.col("cluster") != L.NOISE) | F.lit(p.method == "HDBSCAN"))
     return Built({
         "doc_keywords": kw, "vocabulary": vocab, "keyword_vectors": kvec, "reduced": reduced,
         "keyword_cluster": kc, "cluster_topic": L.label_table(labels), "keyword_topic": kt, "doc_topics": dtp,

@@ -41,6 +41,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(S.read_corpus(spark, sf_dir))
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 # ---------------------------------------------------------------- sources, text
 
 @register("corpus_scan", "SELECT doc_id, text FROM documents")
@@ -330,6 +334,32 @@ def q_reduce_pca(spark, sf):
     return red.select("vec_id", F.size("r").cast("bigint").alias("dims"), V.vector_text(F.col("r")).alias("r"))
 
 
+@register("cluster_density", None)
+def q_cluster_density(spark, sf):
+    return CL.density(_emb(spark, sf), "vec_id", "v")
+
+
+# J9 against brute force: a saved DBSCAN scenario of all vectors, asked for the cluster of every
+# reversed vector.
+_NEAREST_EPS = 0.75
+
+
+@register("nearest_cluster",
+          dbscan_sql(_NEAREST_EPS).replace("SELECT e.id AS vec_id", ", cl AS (SELECT e.id AS vec_id", 1) + "), "
+          "q AS (SELECT id, list_reverse(v) AS v FROM e), "
+          f"s AS (SELECT q.id, cl.vec_id, cl.cluster, {O.cosine_sql('q.v', 'e.v')} AS cosine FROM q, e JOIN cl ON cl.vec_id = e.id WHERE cl.cluster <> -1) "
+          f"SELECT id AS vec_id, cluster FROM s WHERE 1.0 - cosine <= {_NEAREST_EPS!r} "
+          "QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, vec_id) = 1")
+def q_nearest_cluster(spark, sf):
+    e = _emb(spark, sf)
+    model = e.join(CL.dbscan(e, "vec_id", "v", eps=_NEAREST_EPS), "vec_id").where(F.col("cluster") != L.NOISE)
+    root = _scratch(spark, "dbscan")
+    ST.save({"cluster_model": model.select(F.col("vec_id").alias("keyword"), F.col("v").alias("r"), "cluster")}, root, "dbscan")
+    saved = ST.load(spark, root, "dbscan", ("cluster_model",))["cluster_model"]
+    new = e.select(F.col("vec_id").alias("keyword"), F.reverse("v").alias("r"))
+    return PR.nearest_cluster(new, saved, _NEAREST_EPS).select(F.col("keyword").alias("vec_id"), "cluster")
+
+
 @register("cluster_kmeans", None)
 def q_cluster_kmeans(spark, sf):
     return CL.kmeans(_emb(spark, sf), "vec_id", "v", k=10)
@@ -393,7 +423,7 @@ def q_cluster_keystring(spark, sf):
 
 
 @register("label_requests",
-          O.with_(_FX) + "\nSELECT cluster, md5(" + repr(L.REQUEST_TEXT).replace("\\n", "' || chr(10) || '") + " || keystring) AS request_md5 FROM ("
+          O.with_(_FX) + "\nSELECT cluster, md5(" + _sql_text(L.REQUEST_TEXT) + " || keystring) AS request_md5 FROM ("
           "SELECT cluster, string_agg(keyword, ',' ORDER BY rk) AS keystring FROM ("
           "SELECT kc.cluster, kc.keyword, row_number() OVER (PARTITION BY kc.cluster ORDER BY v.n_documents DESC, kc.keyword) AS rk "
           "FROM kc JOIN vocab v USING (keyword) WHERE kc.cluster <> -1) WHERE rk <= 50 GROUP BY cluster)")
@@ -550,7 +580,7 @@ from ..session import ensure_checkpoint_dir  # noqa: E402
 import os  # noqa: E402
 import uuid  # noqa: E402
 
-FLAGSHIP = B.Params(method="KMeans", k=10)
+FLAGSHIP = B.Params()
 
 
 def _scratch(spark, what: str) -> str:
@@ -591,7 +621,7 @@ def q_predict_topics(spark, sf):
 @register("predict_clusters", None)
 def q_predict_clusters(spark, sf):
     """J9 + G2: benchmark keywords reduced with the stored reducer and given the
-    cluster of the nearest stored centre (the scenario is a KMeans one)."""
+    cluster of the nearest stored keyword (the scenario is an HDBSCAN one)."""
     _, _, root = _built(spark, sf)
     t = ST.load(spark, root, "flagship")
     new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")

@@ -4,10 +4,10 @@ iterative operators."""
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,27 +63,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint,
-    survives executor loss) and return the truncated-lineage frame."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the jobs that run inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is
     cut, columns stay prunable, a lost executor costs no recomputation, and a later
     join shuffles the table anew, so that Spark may split it where a key is hot.
-
-    Nothing refers to the job's shuffles any more; Spark deletes their files once
-    the driver's garbage is collected, which otherwise may come much later."""
+    Spark removes the job's shuffle files as soon as it has ended."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder (survives executor loss) and return the
+    frame that reads it."""
+    return stored(df, "cut")
+
+
+def arrow_rows(spark: SparkSession, n: int):
+    """At most n rows in an Arrow batch of the jobs that run inside, for rows that are
+    whole blocks of data."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
