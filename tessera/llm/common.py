@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -44,6 +45,27 @@ def numbered_once(df: DataFrame, name: str = "_row") -> DataFrame:
     return store(numbered(df, name), "numbered")
 
 
+def identified(docs: DataFrame, name: str = "_row", columns: list | None = None) -> DataFrame:
+    """``columns`` of docs (all) and a number that is a row's own in every job, however the
+    files are packed into splits: its file's number and its place in the file. Nothing
+    is copied. Rows that are not a plain scan of files are numbered and stored once."""
+    columns = [docs[c] for c in docs.columns] if columns is None else columns
+    try:
+        at = docs.select(*columns, F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
+    except AnalysisException:
+        return numbered_once(docs.select(*columns), name)
+    paths = docs.select(F.col("_metadata.file_path").alias("_file_path")).distinct()
+    # as many rows as files, whose list the driver holds for the scan as it is
+    files = store(paths.select("_file_path", F.row_number().over(Window.orderBy("_file_path")).cast("long").alias("_file")), "files")
+    at = at.join(F.broadcast(files), "_file_path").withColumn(name, F.shiftleft("_file", 40).bitwiseOR(F.col("_row_index")))
+    return at.drop("_file_path", "_row_index", "_file")
+
+
+def identified_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row), with ``_row`` as by ``identified``; null text is empty."""
+    return identified(docs, "_row", [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")])
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

@@ -284,7 +284,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
                weighted: bool = False) -> DataFrame:
     """One row per document: _row, doc_id, class_id (smallest doc_id of its class),
     class_size, n_links (verified links of its representative), kept."""
-    return near_rows(C.numbered_once(C.id_text(docs)), shingle, threshold, bands, rows, weighted)
+    return near_rows(C.identified_text(docs), shingle, threshold, bands, rows, weighted)
 
 
 def near_rows(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,

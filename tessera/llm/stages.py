@@ -14,16 +14,16 @@ from . import exact_dedup as ED
 from . import factorization as FM
 from . import mixing as MX
 from . import pieces as PC
-from .common import id_text, numbered_once, table
+from .common import id_text, identified, table
 
 
 def _kept(docs: DataFrame, judged) -> DataFrame:
     """docs without the rows that ``judged`` doesn't keep. It gets (_row, doc_id, text)
-    of the stored and numbered rows, and returns _row and kept."""
+    of the identified rows, and returns _row and kept."""
     name = "_row"
     while name in docs.columns:
         name += "_"
-    whole = numbered_once(docs, name)
+    whole = identified(docs, name)
     rows = id_text(whole, F.col(name).alias("_row"))
     return whole.join(judged(rows).where("NOT kept").select(F.col("_row").alias(name)), name, "left_anti").drop(name)
 

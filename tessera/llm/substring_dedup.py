@@ -167,7 +167,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: _row, doc_id, n_words, n_removed, kept_sha256."""
     if window < PERIOD or not is_cover(COVER, PERIOD):
         raise ValueError("a window must be as long as the cover's period at least")
-    docs = C.numbered_once(C.id_text(docs)).withColumn("d", F.coalesce("doc_id", F.lit(LAST)))
+    docs = C.identified_text(docs).withColumn("d", F.coalesce("doc_id", F.lit(LAST)))
     shared = C.store(_anchors(docs, window).groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi"), "anchors")
     base = C.store(_marked(docs, window, bit_filter(shared, "h", shared.count())), "marked")
     marked = (base.where(F.size("h") > 0).select("_row", F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.explode(F.arrays_zip("h", "p")).alias("a"))

@@ -35,7 +35,7 @@ def brute(rows):
 
 
 def check(docs):
-    rows = [(r.doc_id, r.text) for r in C.numbered(docs).orderBy(C.F.monotonically_increasing_id()).collect()]
+    rows = [(r.doc_id, r.text) for r in C.identified_text(docs).orderBy("_row").collect()]
     got = X.near_dedup(docs).collect()
     assert len(got) == len(rows)
     by_row = sorted(got, key=lambda r: r._row)
