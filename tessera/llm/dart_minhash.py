@@ -244,15 +244,20 @@ class _Linker:
                 .select("b", "a", "n", "comp", (F.lit(ratio) * F.col("common") - F.col("n") + 1e-6).alias("f"),
                         F.floor(F.log("n") / F.lit(-np.log(self.threshold))).alias("size_class"))
                 .where(F.col("f") >= F.lit(self.threshold) * F.col("n")))
-        left = side.select("b", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"),
-                           F.col("a").alias("x"), F.col("n").alias("nx"), F.col("f").alias("fx"), F.col("comp").alias("cx"))
-        return left.join(side, ["b", "size_class"]).where((F.col("x") < F.col("a")) & (F.col("cx") != F.col("comp")) & (F.col("n") <= F.col("fx")) & (F.col("nx") <= F.col("f"))).select(
-            F.col("x").alias("a"), F.col("a").alias("b"))
+        side = C.store(side, "sides")
+        # most of a pivot's members are of one component, and need no comparison among themselves
+        per = side.groupBy("b", "comp").agg(F.count("*").alias("rows")).groupBy("b").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"))
+        side = C.store(side.join(per.where("comps > 1").select("b", "main"), "b"), "mixed_sides")
+        left = side.where("comp != main").select("b", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"),
+                                                 F.col("a").alias("x"), F.col("n").alias("nx"), F.col("f").alias("fx"), F.col("comp").alias("cx"))
+        once = (F.col("comp") == F.col("main")) | (F.col("x") < F.col("a"))
+        return left.join(side, ["b", "size_class"]).where(once & (F.col("cx") != F.col("comp")) & (F.col("n") <= F.col("fx")) & (F.col("nx") <= F.col("f"))).select(
+            F.least("x", "a").alias("a"), F.greatest("x", "a").alias("b"))
 
     def finish(self, members: DataFrame) -> None:
         """Compare the members of each key with its pivot, then those with one another
         that may be similar nevertheless, until no key holds several components."""
-        live = self.open(members)
+        live, first = self.open(members), True
         while not live.isEmpty():
             few = live.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= FEW).select("key")
             small = C.store(live.join(few, "key", "left_semi").select("key", "_row", "comp", "n"), "small")
@@ -266,9 +271,37 @@ class _Linker:
             seen = C.store(_compared(pairs.select("a", "b"), self.sets, self.threshold, True).join(pairs, ["a", "b"]), "compared")
             self.add(seen.where("linked"))
             self.compare(self.inside(seen))
-            # a new key's members are some of the old one's, without its pivot, so this ends
-            below = met.join(seen.select("a", "b", "lacking"), ["a", "b"]).select("key", F.col("a").alias("_row"), "weight", "n", F.explode("lacking").alias("s"))
-            live = self.open(below.select(F.xxhash64("key", "s").alias("key"), "_row", "weight", "n"))
+            # a member meets one pivot in many bands: at first, the buckets of a pivot are one. From
+            # then on a new key's members are some of the old one's, without its pivot, so this ends
+            met = met.select(F.col("b").alias("key"), "a", "b", "n", "weight").distinct() if first else met
+            live, first = self.open(self.below(met, seen)), False
+
+    def below(self, met: DataFrame, seen: DataFrame) -> DataFrame:
+        """Members (key, _row, weight, n) of the keys below those of ``met``, one for each
+        shingle that the pivot lacks. Of a key, most members are of one component, the main
+        one; a shingle matters only if a member of another component has it."""
+        at = C.store(met.join(self.comps.withColumnRenamed("_row", "a"), "a"), "met_comps")
+        per = at.groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"))
+        at = at.join(per.where("comps > 1").select("key", "main"), "key").join(seen.select("a", "b", "lacking"), ["a", "b"])
+        at = C.store(at.select("key", F.col("a").alias("_row"), "weight", "n", (F.col("comp") == F.col("main")).alias("in_main"), "lacking"), "lacking")
+        others = C.store(_by_shingle(at.where("NOT in_main"), None), "others")
+        wanted = C.store(others.select("key").distinct(), "wanted")
+        return others.unionByName(_by_shingle(at.where("in_main"), bit_filter(wanted, "key", wanted.count())))
+
+
+def _by_shingle(rows: DataFrame, wanted) -> DataFrame:
+    """(key, _row, weight, n): every row (key, _row, weight, n, lacking) under a new key for
+    each shingle that its pivot lacks; only under keys that the filter lets through."""
+    def run(batches):
+        for b in batches:
+            lists = b.column("lacking")
+            of = C.row_of(lists.offsets.to_numpy())
+            key = C.mix(C.mix(b.column("key").to_numpy())[of] + lists.flatten().to_numpy().astype(np.uint64)).astype(np.int64)
+            if wanted is not None:
+                ok = wanted.has(key)
+                of, key = of[ok], key[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[b.column(c).take(pa.array(of)) for c in ("_row", "weight", "n")]], ["key", "_row", "weight", "n"])
+    return rows.select("key", "_row", "weight", "n", "lacking").mapInArrow(run, "key long, _row long, weight long, n long")
 
 
 def _link(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, first_bands: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -304,6 +337,7 @@ def near_rows(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESH
     mixed = nodes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(C.mix(b.column(0).to_numpy()).astype(np.int64))], ["h"]) for b in it), "h long")
     sets = C.store(_shingle_sets(docs, bit_filter(mixed, "h", nodes.count()), shingle).join(nodes, "_row", "left_semi"), "sets")
     links, comps = _link(members, nodes, sets, threshold)
+    links = C.store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     classed = C.store(reps.join(comps.withColumnsRenamed({"_row": "rep", "comp": "class"}), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
                       .join(degree, "rep", "left"), "classed")
