@@ -40,6 +40,7 @@ from . import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 6
 ZIPF_SHIFT, BYTE_RANK = 10.0, 4_000_000.0
+SLICE_BYTES = 1 << 18  # a lattice takes about 250 bytes for each byte of its distinct units
 MARK = "▁"
 
 
@@ -206,7 +207,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, alpha: float = ALPHA, seed: int =
 
     def run(batches):
         enc = Encoder(vocab, alpha, seed)
-        for rows, data, offs in C.text_slices(batches):
+        for rows, data, offs in C.text_slices(batches, size=SLICE_BYTES):
             found, at = enc.encode(data, offs, _keys(rows.column("doc_id")))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(np.diff(at).astype(np.int64))], schema.names)
@@ -229,7 +230,7 @@ def encode_checked(docs: DataFrame, vocab: Vocabulary, alpha: float = ALPHA, see
     """doc_id, n_pieces, piece_ids and whether they decode to the very text."""
     def run(batches):
         enc = Encoder(vocab, alpha, seed)
-        for rows, data, offs in C.text_slices(batches):
+        for rows, data, offs in C.text_slices(batches, size=SLICE_BYTES):
             found, at = enc.encode(data, offs, _keys(rows.column("doc_id")))
             size = np.concatenate([[0], np.cumsum(enc.size[enc.by_id[found]])])[at]
             same = enc.decode(found)
