@@ -1,97 +1,98 @@
-"""Pair finding and graph algorithms as DataFrame loops (J7, G3b/G3c building
-blocks, G5).
-
-* ``radius_pairs``: all pairs of vectors within a Euclidean radius, found by an
-  exact grid equi-join: every vector gets the cell ``floor(x_i / r)`` on the
-  first ``grid_dims`` coordinates, one side is replicated to its 3^g
-  neighbouring cells, the sides meet on the cell key and an exact distance
-  filter finishes. Projecting onto coordinates never lengthens a distance, so
-  no pair is lost. There is no cross product: the join key is the cell.
-* ``connected_components``: alternating large-star and small-star steps, until
-  all components are stars; each step is a table in the shared folder.
+"""Similar pairs and graph algorithms (J7, G5, components).
+
+* ``cosine_pairs``: all pairs above a cosine, found in blocks of neighbouring cells
+  (``near``) on the vectors' principal axes, with a bound on leading coordinates.
+* ``connected_components``: partitions settle their own links; what is left goes
+  through alternating large-star and small-star steps, until all components are
+  stars. Each step is a table in the shared folder.
 * ``leader_groups``: the greedy "earliest ungrouped topic leads, later similar
-  ungrouped topics join it" rule, computed as the lexicographically-first
-  maximal independent set in parallel rounds (Blelloch, Fineman, Shun 2012).
+  ungrouped topics join it" rule, in rounds over blocks of consecutive ranks.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VF
-from ..session import cut_lineage, stored
+from ..session import stored
+from . import near as N
 
-# Rows of one grid cell handled by one task before the cell is split (salted).
-MAX_CELL_ROWS = 50_000
 LINKS = 1_000_000  # links that one task settles by itself
+RANKS = 4_096  # consecutive ranks that one pass settles
 
 
-def radius_pairs(items: DataFrame, key: str, vec: str, radius: float, grid_dims: int = 3,
-                 max_cell_rows: int = MAX_CELL_ROWS) -> DataFrame:
-    """(a, b, d2) for a < b with squared distance ≤ radius².
-
-    Skew: rows per occupied cell are counted first (one small row per cell).
-    A cell holding more than ``max_cell_rows`` rows is split into
-    ceil(rows / max_cell_rows) salt groups on the probing side, and the
-    replicated side is copied once per salt group of the cell it targets, so no
-    task receives a whole hot cell. Offsets pointing at empty cells are dropped
-    by the same join."""
-    r = float(radius)
-    g = int(grid_dims)
-    keys = [f"c{i}" for i in range(g)]
-    cells = [F.floor(F.col(vec)[i] / F.lit(r)).cast("long").alias(f"c{i}") for i in range(g)]
-    base = items.select(F.col(key).alias("id"), F.col(vec).alias("v"), *cells)
-    counts = base.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(max_cell_rows))).cast("int").alias("salts"))
-    left = (base.join(counts, keys)
-            .select(F.col("id").alias("a"), F.col("v").alias("va"), *keys,
-                    F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("s")))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=g)]
-    off = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets]))
-    right = (base.select("id", "v", *keys, off.alias("o"))
-             .select(F.col("id").alias("b"), F.col("v").alias("vb"),
-                     *[(F.col(f"c{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(g)])
-             .join(counts, keys)
-             .select("b", "vb", *keys, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")))
-    pairs = left.join(right, keys + ["s"]).where(F.col("a") < F.col("b"))
-    d2 = VF.sq_dist(F.col("va"), F.col("vb"))
-    return pairs.select("a", "b", d2.alias("d2")).where(F.col("d2") <= r * r)
-
-
-def radius_join(left: DataFrame, lkey: str, right: DataFrame, rkey: str, vec: str, radius: float,
-                grid_dims: int = 3) -> DataFrame:
-    """(l, r, d2): pairs across two sets within ``radius`` — the same exact grid
-    equi-join as ``radius_pairs``, with only the left side replicated to its
-    neighbouring cells."""
-    r = float(radius)
-    g = int(grid_dims)
-    cells = [F.floor(F.col(vec)[i] / F.lit(r)).cast("long") for i in range(g)]
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=g)]
-    off = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets]))
-    a = left.select(F.col(lkey).alias("l"), F.col(vec).alias("va"), *[c.alias(f"k{i}") for i, c in enumerate(cells)])
-    a = a.select("*", off.alias("o")).select("l", "va", *[(F.col(f"k{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(g)])
-    b = right.select(F.col(rkey).alias("r"), F.col(vec).alias("vb"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    d2 = VF.sq_dist(F.col("va"), F.col("vb"))
-    return a.join(b, [f"c{i}" for i in range(g)]).select("l", "r", d2.alias("d2")).where(F.col("d2") <= r * r)
-
-
-def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_dims: int = 3) -> DataFrame:
-    """(a, b, cosine) for a < b with cosine ≥ threshold. On unit vectors
-    cosine ≥ t ⇔ distance ≤ sqrt(2(1 - t)); the exact cosine is re-checked."""
-    unit = items.select(F.col(key), VF.l2_normalize(F.col(vec).cast("array<double>")).alias("u"),
-                        F.col(vec).cast("array<double>").alias("raw"))
-    radius = max(2.0 * (1.0 - float(threshold)), 0.0) ** 0.5 + 1e-9
-    pairs = radius_pairs(unit.select(key, "u"), key, "u", radius, grid_dims)
-    va = unit.select(F.col(key).alias("a"), F.col("raw").alias("ra"))
-    vb = unit.select(F.col(key).alias("b"), F.col("raw").alias("rb"))
-    cos = VF.cosine(F.col("ra"), F.col("rb"))
-    return (pairs.join(va, "a").join(vb, "b").select("a", "b", cos.alias("cosine"))
-            .where(F.col("cosine") >= F.lit(float(threshold))))
+PREFIX = 12  # leading principal coordinates that a pair is judged by first
+
+
+def _rotated(rows: DataFrame) -> DataFrame:
+    """Unit vectors v turned to their principal axes, by falling variance, which keeps all
+    dot products. The axes (d x d numbers) come from one distributed covariance."""
+    d = rows.select(F.size("v")).first()
+    if d is None or d[0] < 2:
+        return rows
+    axes = PCA(k=d[0], inputCol="x", outputCol="y").fit(rows.select(array_to_vector("v").alias("x"))).pc.toArray()
+    axes = np.linalg.qr(axes)[0]  # an exactly orthogonal basis, also where the data have no variance
+
+    def run(batches):
+        for b in batches:
+            v = b.column("v")
+            out = np.asarray(v.flatten().to_numpy()).reshape(b.num_rows, d[0]) @ axes
+            at = b.schema.get_field_index("v")
+            yield b.set_column(at, "v", pa.ListArray.from_arrays(np.arange(0, out.size + 1, d[0], dtype=np.int32), pa.array(out.ravel())))
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _alike(items: DataFrame, key: str, vec: str, threshold: float, grid_dims: int, counted: bool):
+    """Pairs of the items' numbers with their cosines, or numbers of pairs that were looked at in full."""
+    if threshold <= 0:
+        raise ValueError("a threshold above 0 is needed")
+    v = F.col(vec).cast("array<double>")
+    rows = items.select(F.col(key).alias("id"), v.alias("v")).where(VF.norm(F.col("v")) > 0)
+    rows = stored(rows.select("id", VF.l2_normalize(F.col("v")).alias("v"), F.monotonically_increasing_id().alias("pid")), "unit")
+    turned = stored(_rotated(rows.select("pid", "v")), "rotated")
+    radius = max(2.0 * (1.0 - float(threshold)), 0.0) ** 0.5 + 1e-7
+    first = turned.select(F.size("v")).first()
+    dims = min(grid_dims, first[0]) if first else 1
+    table = N.blocks(turned, radius, dims, ["pid"])
+
+    def work(x, vx, y, vy, same):
+        p = min(PREFIX, vx.shape[1])
+        rest = [np.sqrt(np.maximum(0.0, (w[:, p:] ** 2).sum(axis=1))) for w in (vx, vy)]
+        # by Cauchy and Schwarz the rest adds the product of the rests' lengths at most
+        maybe = vx[:, :p] @ vy[:, :p].T + rest[0][:, None] * rest[1][None, :] >= threshold - 1e-9
+        if same:
+            maybe &= np.arange(len(vx))[:, None] < np.arange(len(vy))[None, :]
+        i, j = np.nonzero(maybe)
+        if counted:
+            return np.array([len(i)]), np.array([0]), np.array([0.0])
+        cosine = np.einsum("ij,ij->i", vx[i], vy[j])
+        ok = cosine >= threshold
+        return (x[0][i[ok]], y[0][j[ok]], cosine[ok]) if ok.any() else None
+    found = N.met(N.block_pairs(table, table, dims, symmetric=True), table, table, ["pid"], ["pid"], dims, work, "a long, b long, cosine double", "alike")
+    return rows, found
+
+
+def cosine_pairs(items: DataFrame, key: str, vec: str, threshold: float, grid_dims: int = N.GRID) -> DataFrame:
+    """(a, b, cosine) for a < b with cosine ≥ threshold (above 0), exact. Vectors are
+    turned to their principal axes; blocks of neighbouring cells of the leading ones
+    meet; a pair is looked at in full only if its leading coordinates and the
+    lengths of the rest allow the threshold."""
+    rows, found = _alike(items, key, vec, threshold, grid_dims, False)
+    ids = rows.select("id", "pid")
+    pairs = found.join(ids.select(F.col("pid").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("pid").alias("b"), F.col("id").alias("ib")), "b")
+    return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "cosine").where("a < b")
+
+
+def candidate_share(items: DataFrame, key: str, vec: str, threshold: float, grid_dims: int = N.GRID) -> float:
+    """Share of all pairs that ``cosine_pairs`` looks at in full."""
+    rows, found = _alike(items, key, vec, threshold, grid_dims, True)
+    n = rows.count()
+    return (found.agg(F.sum("a")).first()[0] or 0) / max(1, n * (n - 1) // 2)
 
 
 def _are_stars(links: DataFrame) -> bool:
@@ -135,7 +136,7 @@ def _settled(links: DataFrame, size: int = LINKS) -> tuple[DataFrame, bool]:
     return stored(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links"), parts == 1
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", per_task: int = LINKS) -> DataFrame:
     """(id, comp) where comp is the smallest id in the node's component.
     ``edges`` has columns (a, b), undirected.
 
@@ -149,7 +150,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
     hub's links arrive in a shuffle that Spark may split."""
     links = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     plain = links.schema["a"].dataType.simpleString() in ("bigint", "int", "string")
-    links, done = _settled(links) if plain else (links, False)
+    links, done = _settled(links, per_task) if plain else (links, False)
     while not done and not _are_stars(links):
         low = stored(links.groupBy("a").agg(F.min("b").alias("m")), "low")
         large = links.join(low.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
@@ -161,43 +162,51 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id") -
     return ids.join(links.withColumnsRenamed({"a": "id", "b": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def leader_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", order: str = "rank") -> DataFrame:
+def leader_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", order: str = "rank", block: int = RANKS) -> DataFrame:
     """(id, leader). ``nodes`` has a total ``order`` (smaller = earlier,
     i.e. more popular); ``edges`` (a, b) are undirected similarity pairs.
 
     Same result as the sequential greedy loop: a node leads when no earlier
     leader is its neighbour; a non-leader belongs to its earliest neighbouring
-    leader. A round decides every node whose earlier neighbours are all
-    decided, so rounds ≈ longest chain of dependent decisions. Only edges into
-    undecided nodes from nodes that may lead stay in the loop."""
-    rk = nodes.select(F.col(node).alias("id"), F.col(order).alias("o"))
-    e = (edges.select("a", "b").join(rk.withColumnRenamed("id", "a").withColumnRenamed("o", "oa"), "a")
-         .join(rk.withColumnRenamed("id", "b").withColumnRenamed("o", "ob"), "b"))
-    # directed earlier → later, keyed by the later node
-    fwd = e.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("p"),
-                   F.when(F.col("oa") < F.col("ob"), F.col("oa")).otherwise(F.col("ob")).alias("po"),
-                   F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    fwd = cut_lineage(fwd)
-    state = cut_lineage(rk.withColumn("st", F.lit("U")))
-    live = fwd
-    while not state.where(F.col("st") == "U").isEmpty():
-        # each round decides at least the earliest undecided node, so the loop ends
-        info = (live.join(state.select(F.col("id").alias("p"), F.col("st").alias("pst")), "p")
-                .groupBy("id").agg(F.max((F.col("pst") == "L").cast("int")).alias("has_l"),
-                                   F.max((F.col("pst") == "U").cast("int")).alias("has_u")))
-        state = cut_lineage(state.join(info, "id", "left").select(
-            "id", "o",
-            F.when(F.col("st") != "U", F.col("st"))
-             .when(F.coalesce(F.col("has_l"), F.lit(0)) == 1, F.lit("M"))
-             .when(F.coalesce(F.col("has_u"), F.lit(0)) == 0, F.lit("L"))
-             .otherwise(F.lit("U")).alias("st")))
-        open_ids = state.where(F.col("st") == "U").select("id")
-        not_members = state.where(F.col("st") != "M").select(F.col("id").alias("p"))
-        live = cut_lineage(live.join(open_ids, "id", "left_semi").join(not_members, "p", "left_semi"))
-    leaders = state.where(F.col("st") == "L").select(F.col("id").alias("p"), F.col("o").alias("lo"))
-    firsts = (fwd.join(leaders, "p")
-              .groupBy("id").agg(F.min(F.struct("lo", "p")).alias("best"))
-              .select("id", F.col("best.p").alias("leader")))
-    members = state.where(F.col("st") == "M").select("id").join(firsts, "id")
-    return (state.where(F.col("st") == "L").select("id", F.col("id").alias("leader"))
-            .unionByName(members))
+    leader. Nodes are dealt into blocks of ``block`` consecutive ranks. In a round every
+    block walks through its undecided nodes in order of rank, knowing what was decided
+    before and, of earlier blocks, whether a neighbour leads or is open; so a chain
+    within a block is settled in one pass, and rounds follow the blocks that a chain
+    passes and not its nodes."""
+    ranks = N.dense_index(nodes, order, "rk")
+    rk = stored(nodes.select(F.col(node).alias("id"), F.col(order)).join(ranks, order).select("id", F.col("rk").cast("long").alias("rk")), "ranks")
+    e = (edges.select("a", "b").join(rk.select(F.col("id").alias("a"), F.col("rk").alias("ra")), "a")
+         .join(rk.select(F.col("id").alias("b"), F.col("rk").alias("rb")), "b").where("ra != rb"))
+    e = stored(e.select(F.least("ra", "rb").alias("p"), F.greatest("ra", "rb").alias("rk")).distinct(), "edges")  # earlier, later
+    at = lambda c: F.floor(F.col(c) / F.lit(block))
+    inner = e.where(at("p") == at("rk")).groupBy("rk").agg(F.collect_list("p").alias("near"))  # block - 1 at most
+    outer = e.where(at("p") != at("rk"))
+    base = stored(rk.select("rk", at("rk").alias("block")).join(inner, "rk", "left").select("rk", "block", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "ranked")
+    state = base.select("rk", F.lit(0).alias("st"))  # 0 open, 1 leads, 2 follows
+    while True:
+        seen = (outer.join(state.withColumnsRenamed({"rk": "p", "st": "pst"}), "p").groupBy("rk")
+                .agg(F.max((F.col("pst") == 1).cast("int")).alias("led"), F.max((F.col("pst") == 0).cast("int")).alias("wait")))
+        rows = base.join(state, "rk").join(seen, "rk", "left").select("block", "rk", "st", "near", F.coalesce("led", F.lit(0)).alias("led"), F.coalesce("wait", F.lit(0)).alias("wait"))
+        state = stored(rows.groupBy("block").applyInArrow(_walk, "rk long, st int"), "state")
+        if state.where("st = 0").isEmpty():
+            break
+    names = rk.select("id", "rk")
+    lead = state.where("st = 1").select("rk")
+    first = e.join(lead.select(F.col("rk").alias("p")), "p").groupBy("rk").agg(F.min("p").alias("p"))
+    follow = state.where("st = 2").select("rk").join(first, "rk")
+    both = lead.select("rk", F.col("rk").alias("p")).unionByName(follow)
+    return both.join(names, "rk").join(names.select(F.col("rk").alias("p"), F.col("id").alias("leader")), "p").select("id", "leader")
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """The states of a block's nodes after one pass in order of rank."""
+    rows = table.select(["rk", "st", "near", "led", "wait"]).sort_by("rk").to_pylist()
+    state = {r["rk"]: r["st"] for r in rows}
+    for r in rows:
+        if r["st"] == 0:
+            near = [state[p] for p in r["near"]]
+            if r["led"] or 1 in near:
+                state[r["rk"]] = 2
+            elif not r["wait"] and 0 not in near:
+                state[r["rk"]] = 1
+    return pa.table({"rk": pa.array(list(state), pa.int64()), "st": pa.array(list(state.values()), pa.int32())})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as VF
 from tessera.operators import cluster as CL
 from tessera.operators import graph as G
+from tessera.operators import near as N
 from tessera.operators import reduce as R
 
 
@@ -127,15 +128,36 @@ def test_reduction_shapes(spark):
     assert km.count() == 100 and km.select("cluster").distinct().count() <= 10
 
 
-def test_salted_cells_give_same_pairs(spark):
+def test_pairs_equal_brute_force(spark, monkeypatch):
+    """Small blocks, repeated vectors, a zero vector, text ids; and few pairs are looked at in full."""
+    monkeypatch.setattr(N, "BLOCK", 16)
     rng = np.random.default_rng(3)
-    pts = rng.normal(0, 0.3, size=(120, 3))
-    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id LONG, v ARRAY<DOUBLE>")
-    plain = {(r["a"], r["b"]) for r in G.radius_pairs(df, "id", "v", 0.4).collect()}
-    salted = {(r["a"], r["b"]) for r in G.radius_pairs(df, "id", "v", 0.4, max_cell_rows=5).collect()}
-    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
-    brute = {(i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.4}
-    assert plain == salted == brute
+    centres = rng.normal(size=(12, 64))
+    pts = np.concatenate([centres[rng.integers(0, 12, 150)] * [1.0 / (1 + k // 8) for k in range(64)] + rng.normal(0, 0.25, (150, 64)) / np.arange(1, 65), np.zeros((1, 64))])
+    pts[40:44] = pts[40]
+    df = spark.createDataFrame([(f"k{i:03d}", [float(x) for x in p]) for i, p in enumerate(pts)], "id STRING, v ARRAY<DOUBLE>").repartition(3)
+    unit = pts / np.maximum(np.linalg.norm(pts, axis=1), 1e-300)[:, None]
+    cos = unit @ unit.T
+    brute = {(f"k{i:03d}", f"k{j:03d}"): cos[i, j] for i in range(151) for j in range(i + 1, 151) if cos[i, j] >= 0.85}
+    got = {(r.a, r.b): r.cosine for r in G.cosine_pairs(df, "id", "v", 0.85).collect()}
+    assert got.keys() == brute.keys() and len(got) > 50
+    assert all(abs(got[k] - brute[k]) < 1e-9 for k in got)
+    assert G.candidate_share(df, "id", "v", 0.85) < 0.3
+    with pytest.raises(ValueError):
+        G.cosine_pairs(df, "id", "v", 0.0)
+
+
+def test_nearest_equals_brute_force(spark):
+    """Ties go to the smaller id; beyond the largest radius nothing is found; a dense cell."""
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(0, 0.05, (400, 3)), rng.uniform(-4, 4, (40, 3)), [[2, 2, 2]], [[2, 2, 4]]])
+    new = np.concatenate([rng.normal(0, 0.3, (60, 3)), rng.uniform(-9, 9, (30, 3)), [[2, 2, 3]]])
+    frame = lambda v: spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(v)], "pid LONG, v ARRAY<DOUBLE>")
+    d = N.distances(new, pts)
+    radius, _ = N.first_radius(frame(pts), 3)
+    for most in (None, 1.0):
+        got = {r.pid: r.near for r in N.nearest(frame(new), frame(pts), 3, radius, 40.0, most).collect()}
+        assert got == {i: int(d[i].argmin()) for i in range(len(new)) if most is None or d[i].min() <= most}
 
 
 @pytest.mark.parametrize("n", [17, 1000])
@@ -144,13 +166,24 @@ def test_components_of_a_zigzag_path(spark, n):
     order = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
     edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
     nodes = spark.range(n + 1)
-    got = {r["id"]: r["comp"] for r in G.connected_components(nodes, edges).collect()}
-    assert got == {i: 0 for i in range(n)} | {n: n}
+    for per_task in (G.LINKS, 5):
+        got = {r["id"]: r["comp"] for r in G.connected_components(nodes, edges, per_task=per_task).collect()}
+        assert got == {i: 0 for i in range(n)} | {n: n}
 
 
-def test_leaders_of_a_long_chain(spark):
-    n = 24
+@pytest.mark.parametrize("block", [100, G.RANKS])
+def test_leaders_of_a_long_chain(spark, monkeypatch, capsys, block):
+    """Rounds follow the blocks that the chain passes, not its nodes."""
+    rounds, walked = [], G.stored
+
+    def counted(df, name="table"):
+        rounds.append(name)
+        return walked(df, name)
+    monkeypatch.setattr(G, "stored", counted)
+    n = 1000
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
     nodes = spark.range(n).selectExpr("id", "id AS rank")
-    got = {r["id"]: r["leader"] for r in G.leader_groups(nodes, edges).collect()}
+    got = {r["id"]: r["leader"] for r in G.leader_groups(nodes, edges, block=block).collect()}
     assert got == {i: i - i % 2 for i in range(n)}
+    print("rounds:", rounds.count("state"))
+    assert rounds.count("state") <= -(-n // block)
