@@ -1,12 +1,15 @@
 """Topic tables: assignment, aggregation, merging and collapsing
 (J1-J11, A3-A7, A9, A10, K6, G5-G8).
 
-Long forms (topic, doc_id), (topic, keyword) are the working shape; lists are
-built once at the end with ``collect_set`` + ``array_sort`` per topic (a topic's
-list is as large as its own membership)."""
+A topic's documents and keywords are rows of two tables, (topic, doc_id) and
+(topic, keyword), on every path from build to prediction: a topic that a third of all
+documents have is many rows and no cell. Counts are distinct rows, then sums with
+partial aggregation. ``Topics.listed`` makes the table with list cells, for export."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +39,33 @@ def covered_docs(docs: DataFrame, doc_topics: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(doc_topics, "doc_id", "left_semi")
 
 
+@dataclass
+class Topics:
+    """counts (topic, n_documents), documents (topic, doc_id), keywords (topic, keyword);
+    distinct rows. Topics without documents are absent (as in the reference)."""
+    counts: DataFrame
+    documents: DataFrame
+    keywords: DataFrame
+
+    def listed(self) -> DataFrame:
+        """topic, n_documents, documents (sorted), topic_keywords (sorted, [] when none): the
+        form of an export, with a cell as large as its topic."""
+        docs = self.documents.groupBy("topic").agg(F.array_sort(F.collect_list("doc_id")).alias("documents"))
+        kws = self.keywords.groupBy("topic").agg(F.array_sort(F.collect_list("keyword")).alias("topic_keywords"))
+        return (self.counts.join(docs, "topic").join(kws, "topic", "left")
+                .select("topic", "n_documents", "documents", F.coalesce("topic_keywords", F.array().cast("array<string>")).alias("topic_keywords")))
+
+
+def topics_of(doc_topics: DataFrame, topic_kws: DataFrame) -> Topics:
+    """A5 + J3 in long form, from rows that may repeat."""
+    docs = doc_topics.select("topic", "doc_id").where(F.col("topic").isNotNull() & F.col("doc_id").isNotNull()).distinct()
+    counts = docs.groupBy("topic").agg(F.count(F.lit(1)).alias("n_documents"))
+    return Topics(counts, docs, topic_kws.select("topic", "keyword").distinct().join(counts.select("topic"), "topic", "left_semi"))
+
+
 def topic_table(doc_topics: DataFrame, topic_kws: DataFrame) -> DataFrame:
-    """A5 + J3: topic, n_documents, documents (sorted), topic_keywords (sorted,
-    [] when none). Topics without documents are absent (as in the reference)."""
-    docs = doc_topics.groupBy("topic").agg(
-        F.count_distinct("doc_id").alias("n_documents"),
-        F.array_sort(F.collect_set("doc_id")).alias("documents"))
-    kws = topic_kws.groupBy("topic").agg(F.array_sort(F.collect_set("keyword")).alias("topic_keywords"))
-    return (docs.join(kws, "topic", "left")
-            .select("topic", F.col("n_documents").cast("bigint"), "documents",
-                    F.coalesce("topic_keywords", F.array().cast("array<string>")).alias("topic_keywords")))
+    """A5 + J3 as a table with list cells."""
+    return topics_of(doc_topics, topic_kws).listed()
 
 
 def identity_mapping(topics: DataFrame) -> DataFrame:
@@ -60,12 +80,9 @@ def apply_mapping(long_df: DataFrame, mapping: DataFrame, col: str = "topic") ->
             .withColumn(col, F.coalesce(F.col("_p"), F.col(col))).drop("_t", "_p"))
 
 
-def merge_topics(doc_topics: DataFrame, topic_kws: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Rows with equal (mapped) topic merged; documents and keywords
-    de-duplicated; works on the long forms so no list is ever flattened."""
-    d = apply_mapping(doc_topics, mapping).select("topic", "doc_id").distinct()
-    k = apply_mapping(topic_kws, mapping).select("topic", "keyword").distinct()
-    return topic_table(d, k)
+def merge_topics(doc_topics: DataFrame, topic_kws: DataFrame, mapping: DataFrame) -> Topics:
+    """Rows with equal (mapped) topic merged; documents and keywords de-duplicated."""
+    return topics_of(apply_mapping(doc_topics, mapping), apply_mapping(topic_kws, mapping))
 
 
 def similar_topic_mapping(topics: DataFrame, topic_vecs: DataFrame, threshold: float = COLLAPSE_THRESHOLD,
@@ -81,11 +98,16 @@ def similar_topic_mapping(topics: DataFrame, topic_vecs: DataFrame, threshold: f
     return topics.select("topic").join(found, "topic", "left").select("topic", F.coalesce("parent", "topic").alias("parent"))
 
 
-def collapse(doc_topics: DataFrame, topic_kws: DataFrame, topics: DataFrame, topic_vecs: DataFrame,
-             threshold: float = COLLAPSE_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(merged topic table, mapping). threshold ≥ 1 → identity."""
+def collapse(topics: Topics, topic_vecs: DataFrame, threshold: float = COLLAPSE_THRESHOLD) -> tuple[Topics, DataFrame]:
+    """(merged topics, mapping). threshold ≥ 1 → identity."""
     if threshold >= 1.0:
-        mapping = identity_mapping(topics)
+        mapping = identity_mapping(topics.counts)
     else:
-        mapping = similar_topic_mapping(topics, topic_vecs, threshold)
-    return merge_topics(doc_topics, topic_kws, mapping), mapping
+        mapping = similar_topic_mapping(topics.counts, topic_vecs, threshold)
+    return merge_topics(topics.documents, topics.keywords, mapping), mapping
+
+
+def with_keywords(rows: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Rows with a topic, each with the list of its topic's keywords, for export."""
+    kws = keywords.join(rows.select("topic").distinct(), "topic", "left_semi").groupBy("topic").agg(F.array_sort(F.collect_set("keyword")).alias("topic_keywords"))
+    return rows.join(kws, "topic", "left").withColumn("topic_keywords", F.coalesce("topic_keywords", F.array().cast("array<string>")))

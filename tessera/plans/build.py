@@ -10,7 +10,9 @@ checkpoint folder, so later stages and a lost executor never recompute MMR.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,15 @@ class Built:
     def __getitem__(self, k: str) -> DataFrame:
         return self.tables[k]
 
+    @property
+    def topics(self) -> TB.Topics:
+        """The uncollapsed topics."""
+        return topics_from(self.tables)
+
+
+def topics_from(tables: dict[str, DataFrame]) -> TB.Topics:
+    return TB.Topics(tables["topics"], tables["topic_doc"], tables["topic_keyword"])
+
 
 def _check(p: Params) -> None:
     if p.reducer not in REDUCERS:
@@ -87,84 +98,84 @@ def topic_modelling(corpus: Corpus, p: Params, replies: DataFrame | None = None)
     labels = cut_lineage(labels)
     kt = L.keyword_topics(kc, labels)
     dtp = TB.assign_topics(kw, kt)
-    tkw = TB.topic_keywords(vocab, kt)
-    tt = cut_lineage(TB.topic_table(dtp, tkw))
+    topics = TB.topics_of(cut_lineage(dtp), cut_lineage(TB.topic_keywords(vocab, kt)))
     tvec = corpus.phrase_vectors(L.label_phrases(labels), "topic")
     # what prediction looks up: HDBSCAN's noise keywords keep what is nearest to them out of the clusters
     core = reduced.join(kc, "keyword").where((F.col("cluster") != L.NOISE) | F.lit(p.method == "HDBSCAN"))
     return Built({
         "doc_keywords": kw, "vocabulary": vocab, "keyword_vectors": kvec, "reduced": reduced,
-        "keyword_cluster": kc, "cluster_topic": L.label_table(labels), "keyword_topic": kt, "doc_topics": dtp,
-        "topic_keyword": tkw, "topic_table": tt, "topic_vectors": cut_lineage(tvec), "reducer": matrix,
+        "keyword_cluster": kc, "cluster_topic": L.label_table(labels), "keyword_topic": kt,
+        "topics": cut_lineage(topics.counts), "topic_doc": topics.documents, "topic_keyword": topics.keywords, "topic_vectors": cut_lineage(tvec), "reducer": matrix,
         "cluster_model": core, "term_stats": corpus.stats,
         "token_vectors": corpus.token_vectors(),
     }, model)
 
 
-def collapse_built(b: Built, threshold: float) -> tuple[DataFrame, DataFrame]:
+def collapse_built(b: Built, threshold: float) -> tuple[TB.Topics, DataFrame]:
     """G6 on a built scenario."""
-    return TB.collapse(b["doc_topics"], b["topic_keyword"], b["topic_table"], b["topic_vectors"], threshold)
+    return TB.collapse(b.topics, b["topic_vectors"], threshold)
+
 
+def tagged(topics: TB.Topics, scenario: str) -> DataFrame:
+    """P11 in the form of an export: list cells and the scenario's name."""
+    return topics.listed().withColumn("scenario", F.lit(scenario))
 
-def long_forms(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(topic, doc_id) and (topic, keyword) from a topic table with list cells."""
-    d = table.select("topic", F.explode_outer("documents").alias("doc_id")).where(F.col("doc_id").isNotNull())
-    k = table.select("topic", F.explode_outer("topic_keywords").alias("keyword")).where(F.col("keyword").isNotNull())
-    return d, k
+
+def fingerprint(corpus: Corpus, p: Params, replies: DataFrame | None = None) -> str:
+    """Of all parameters but the collapse threshold, which a reload can change, of the
+    documents and of the label replies, in one pass over them."""
+    digest = lambda df: tuple(df.select(F.xxhash64(*df.columns).alias("h"))
+                              .agg(F.count("*"), F.bit_xor("h"), F.sum(F.shiftright("h", 20))).first())
+    what = [{k: v for k, v in asdict(p).items() if k != "threshold"}, corpus.stop_words, digest(corpus.docs), digest(replies) if replies is not None else None]
+    return hashlib.sha256(json.dumps(what, sort_keys=True).encode()).hexdigest()
 
 
 def build_topics(corpus: Corpus, scenario: str, p: Params | None = None, root: str | None = None,
-                 replies: DataFrame | None = None, save: bool = True, redo: bool = False) -> tuple[DataFrame, Built]:
-    """Build, collapse, save, tag. Returns (tagged collapsed table, parts).
-    A complete saved scenario of that name is reused, collapsed anew if its
-    threshold differs, unless ``redo`` asks for a new build."""
+                 replies: DataFrame | None = None, save: bool = True, redo: bool = False) -> tuple[TB.Topics, Built]:
+    """Build, collapse, save. Returns (collapsed topics, parts).
+    A saved scenario of that name is reused if it was built from the same documents with
+    the same parameters, collapsed anew if its threshold differs, unless ``redo`` asks
+    for a new build. The parts hold the same tables either way."""
     p = p or Params()
-    where = root or ST.default_root(corpus.docs.sparkSession)
-    if save and not redo and not ST.missing(corpus.docs.sparkSession, where, scenario):
-        spark = corpus.docs.sparkSession
-        table = reload_topics(spark, where, scenario, p.threshold)
-        return table, Built(ST.load(spark, where, scenario))
+    spark = corpus.docs.sparkSession
+    root = root or ST.default_root(spark)
+    mark = fingerprint(corpus, p, replies) if save else None
+    if save and not redo and ST.manifest(spark, root, scenario)[1] == mark and not ST.missing(spark, root, scenario, SAVED):
+        topics = reload_topics(spark, root, scenario, p.threshold)
+        return topics, Built(ST.load(spark, root, scenario, SAVED))
     b = topic_modelling(corpus, p, replies)
     merged, mapping = collapse_built(b, p.threshold)
-    mapping = cut_lineage(mapping)
-    b.tables["mapping"] = mapping
-    b.tables["collapsed"] = merged
-    spark = corpus.docs.sparkSession
+    b.tables["mapping"] = cut_lineage(mapping)
+    merged = TB.merge_topics(b["topic_doc"], b["topic_keyword"], b["mapping"])
     b.tables["params"] = spark.createDataFrame(
         [(float(p.threshold), p.reducer, p.method, float(p.eps), int(corpus.n_docs))],
         "threshold DOUBLE, reducer STRING, method STRING, eps DOUBLE, n_docs BIGINT")
     if save:
-        root = root or ST.default_root(spark)
-        ST.save({n: b[n] for n in ST.REQUIRED}, root, scenario)
-        if b.model is not None:
-            b.model.write().overwrite().save(ST.model_path(root, scenario))
-    return merged.withColumn("scenario", F.lit(scenario)), b
+        ST.save({n: b[n] for n in SAVED}, root, scenario, mark, b.model)
+    return merged, b
 
 
-NEEDED = ("topic_table", "topic_vectors", "mapping", "params")  # what reload and re-collapse read
+NEEDED = ("topics", "topic_doc", "topic_keyword", "topic_vectors", "mapping", "params")  # what reload and re-collapse read
+SAVED = (*ST.REQUIRED, "doc_keywords", "vocabulary")
 
 
-def reload_topics(spark, root: str, scenario: str, threshold: float | None = None) -> DataFrame:
-    """S11 (+B5): read the saved base table and map; when ``threshold``
+def reload_topics(spark, root: str, scenario: str, threshold: float | None = None) -> TB.Topics:
+    """S11 (+B5): read the saved uncollapsed topics and map; when ``threshold``
     differs from the saved one, re-collapse (G7) instead."""
     t = ST.load(spark, root, scenario, NEEDED)
     saved = t["params"].first()["threshold"]
     if threshold is not None and float(threshold) != float(saved):
         return recollapse(spark, root, scenario, threshold)
-    base = t["topic_table"]
-    d, k = long_forms(base)
-    mapping = ST.load_mapping(spark, root, scenario, base)
-    return TB.merge_topics(d, k, mapping).withColumn("scenario", F.lit(scenario))
+    mapping = ST.load_mapping(spark, root, scenario, t["topics"])
+    return TB.merge_topics(t["topic_doc"], t["topic_keyword"], mapping)
 
 
-def recollapse(spark, root: str, scenario: str, threshold: float) -> DataFrame:
-    """Collapse the saved uncollapsed table with a new threshold and
-    save the new map (and threshold) with the scenario."""
+def recollapse(spark, root: str, scenario: str, threshold: float) -> TB.Topics:
+    """Collapse the saved uncollapsed topics with a new threshold and
+    save the new map and threshold with the scenario, both at once."""
     t = ST.load(spark, root, scenario, NEEDED)
-    d, k = long_forms(t["topic_table"])
-    merged, mapping = TB.collapse(d, k, t["topic_table"], t["topic_vectors"], threshold)
+    merged, mapping = TB.collapse(topics_from(t), t["topic_vectors"], threshold)
     mapping = cut_lineage(mapping)
-    params = t["params"].withColumn("threshold", F.lit(float(threshold)))
-    params = cut_lineage(params)
-    ST.save({"mapping": mapping, "params": params}, root, scenario)
-    return merged.withColumn("scenario", F.lit(scenario))
+    params = cut_lineage(t["params"].withColumn("threshold", F.lit(float(threshold))))
+    ST.save({"mapping": mapping, "params": params}, root, scenario, keep=True)
+    return TB.merge_topics(t["topic_doc"], t["topic_keyword"], mapping)

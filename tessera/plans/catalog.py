@@ -381,16 +381,17 @@ class Fixed:
         self.kt = L.keyword_topics(self.kc, self.labels)
         self.dtp = TB.assign_topics(self.kw, self.kt)
         self.tkw = TB.topic_keywords(self.vocab, self.kt)
-        self.tt = TB.topic_table(self.dtp, self.tkw)
+        self.topics = TB.topics_of(self.dtp, self.tkw)
+        self.tt = self.topics.counts
 
     def topic_vectors(self):
         return self.c.phrase_vectors(self.labels.select("topic", F.col("topic").alias("phrase")).distinct(), "topic")
 
 
-def _table_out(t: DataFrame) -> DataFrame:
+def _table_out(t: DataFrame, *more: str) -> DataFrame:
     return t.select("topic", F.col("n_documents").cast("bigint"),
                     F.concat_ws("|", F.transform("documents", lambda x: x.cast("string"))).alias("documents"),
-                    F.concat_ws("|", "topic_keywords").alias("topic_keywords"))
+                    F.concat_ws("|", "topic_keywords").alias("topic_keywords"), *more)
 
 
 _FX = O.keywords_sql() + O.fixed_topic_ctes()
@@ -404,6 +405,7 @@ def q_cluster_sizes(spark, sf):
 @register("cluster_keywords",
           O.with_(_FX) + "\nSELECT cluster, string_agg(keyword, '|' ORDER BY keyword) AS keywords FROM kc WHERE cluster <> -1 GROUP BY cluster")
 def q_cluster_keywords(spark, sf):
+    """A4 in the form of an export; the clusters' keywords are rows everywhere else."""
     kc = L.clustered(Fixed(spark, sf).kc)
     return kc.groupBy("cluster").agg(F.concat_ws("|", F.array_sort(F.collect_list("keyword"))).alias("keywords"))
 
@@ -495,7 +497,7 @@ def q_covered_docs(spark, sf):
 
 @register("topic_table", O.with_(_FX) + "\n" + O.table_select("tt"))
 def q_topic_table(spark, sf):
-    return _table_out(Fixed(spark, sf).tt)
+    return _table_out(Fixed(spark, sf).topics.listed())
 
 
 @register("topic_popularity",
@@ -560,15 +562,15 @@ def q_apply_mapping(spark, sf):
           O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(MAP_T), O.merged_ctes()) + "\n" + O.table_select("mtt"))
 def q_merge_topics(spark, sf):
     fx = Fixed(spark, sf)
-    return _table_out(TB.merge_topics(fx.dtp, fx.tkw, TB.similar_topic_mapping(fx.tt, fx.topic_vectors(), MAP_T)))
+    return _table_out(TB.merge_topics(fx.dtp, fx.tkw, TB.similar_topic_mapping(fx.tt, fx.topic_vectors(), MAP_T)).listed())
 
 
 @register("collapse_topics",
           O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(TB.COLLAPSE_THRESHOLD), O.merged_ctes()) + "\n" + O.table_select("mtt"))
 def q_collapse_topics(spark, sf):
     fx = Fixed(spark, sf)
-    merged, _ = TB.collapse(fx.dtp, fx.tkw, fx.tt, fx.topic_vectors(), TB.COLLAPSE_THRESHOLD)
-    return _table_out(merged)
+    merged, _ = TB.collapse(fx.topics, fx.topic_vectors(), TB.COLLAPSE_THRESHOLD)
+    return _table_out(merged.listed())
 
 
 # ---------------------------------------------------------------- build, store, predict
@@ -596,7 +598,7 @@ def _built(spark, sf, p: B.Params = FLAGSHIP, scenario: str = "flagship"):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     out, _, _ = _built(spark, sf)
-    return _table_out(out).withColumn("scenario", F.lit("flagship"))
+    return _table_out(B.tagged(out, "flagship"), "scenario")
 
 
 @register("build_topics", None)
@@ -607,7 +609,7 @@ def q_build_topics(spark, sf):
 @register("topic_modelling", None)
 def q_topic_modelling(spark, sf):
     b = B.topic_modelling(corpus(spark, sf), FLAGSHIP)
-    return _table_out(b["topic_table"])
+    return _table_out(b.topics.listed())
 
 
 @register("predict_topics", None)
@@ -615,6 +617,7 @@ def q_predict_topics(spark, sf):
     _, _, root = _built(spark, sf)
     new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     pred = PR.predict_topics(spark, new, root, "flagship", eps=0.2)
+    pred = TB.with_keywords(pred, PR.parent_keywords(ST.load(spark, root, "flagship")))
     return pred.select("doc_id", "topic", F.concat_ws("|", "topic_keywords").alias("topic_keywords"))
 
 
@@ -645,10 +648,10 @@ def q_reduce_new(spark, sf):
 def _fixed_saved(spark, sf, threshold: float):
     fx = Fixed(spark, sf)
     tv = cut_lineage_(fx.topic_vectors())
-    merged, mapping = TB.collapse(fx.dtp, fx.tkw, fx.tt, tv, threshold)
+    merged, mapping = TB.collapse(fx.topics, tv, threshold)
     root = _scratch(spark, "fixed")
     params = spark.createDataFrame([(float(threshold), int(fx.c.n_docs))], "threshold DOUBLE, n_docs BIGINT")
-    ST.save({"topic_table": fx.tt, "topic_vectors": tv, "mapping": mapping, "params": params,
+    ST.save({"topics": fx.tt, "topic_doc": fx.topics.documents, "topic_keyword": fx.topics.keywords, "topic_vectors": tv, "mapping": mapping, "params": params,
              "keyword_topic": fx.kt}, root, "fixed")
     return fx, root
 
@@ -658,13 +661,13 @@ def cut_lineage_(df):
     return cut_lineage(df)
 
 
-_SAVED = ("topic_table", "topic_vectors", "mapping", "params", "keyword_topic")
+_SAVED = ("topics", "topic_doc", "topic_keyword", "topic_vectors", "mapping", "params", "keyword_topic")
 
 
 @register("save_load_roundtrip", O.with_(_FX) + "\n" + O.table_select("tt"))
 def q_save_load(spark, sf):
     _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
-    return _table_out(ST.load(spark, root, "fixed", _SAVED)["topic_table"])
+    return _table_out(B.topics_from(ST.load(spark, root, "fixed", _SAVED)).listed())
 
 
 @register("output_as_text",
@@ -673,7 +676,7 @@ def q_save_load(spark, sf):
 def q_output_as_text(spark, sf):
     fx = Fixed(spark, sf)
     path = _scratch(spark, "text")
-    ST.write_text(fx.tt, path)
+    ST.write_text(fx.topics.listed(), path)
     return spark.read.option("header", True).csv(path).select(
         "topic", F.col("n_documents").cast("bigint"), "documents", "topic_keywords")
 
@@ -682,7 +685,7 @@ def q_output_as_text(spark, sf):
 def q_output_from_text(spark, sf):
     fx = Fixed(spark, sf)
     path = _scratch(spark, "text")
-    ST.write_text(fx.tt, path)
+    ST.write_text(fx.topics.listed(), path)
     back = ST.read_text(spark, path).withColumn("n_documents", F.col("n_documents").cast("bigint"))
     return back.select("topic", "n_documents",
                        F.concat_ws("|", "documents").alias("documents"), F.concat_ws("|", "topic_keywords").alias("topic_keywords"))
@@ -693,7 +696,7 @@ def q_output_from_text(spark, sf):
           "\nSELECT *, 'fixed' AS scenario FROM (" + O.table_select("mtt") + ")")
 def q_reload_topics(spark, sf):
     _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
-    return _table_out(B.reload_topics(spark, root, "fixed")).withColumn("scenario", F.lit("fixed"))
+    return _table_out(B.tagged(B.reload_topics(spark, root, "fixed"), "fixed"), "scenario")
 
 
 @register("recollapse_topics",
@@ -703,7 +706,7 @@ def q_recollapse_topics(spark, sf):
     """Collapse the saved scenario anew, then reload it with the map that was saved."""
     _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
     B.recollapse(spark, root, "fixed", MAP_T)
-    return _table_out(B.reload_topics(spark, root, "fixed")).withColumn("scenario", F.lit("fixed"))
+    return _table_out(B.tagged(B.reload_topics(spark, root, "fixed"), "fixed"), "scenario")
 
 
 @register("predict_by_keyword",
@@ -730,4 +733,5 @@ def q_predict_stream(spark, sf):
     schema = table(spark, sf, "benchmark").schema
     out = PS.run_available(spark, src, schema, root, "flagship", _scratch(spark, "sink"), _scratch(spark, "ckpt"),
                            id_col="item_id", text_col="text", eps=0.2)
+    out = TB.with_keywords(out, PR.parent_keywords(ST.load(spark, root, "flagship")))
     return out.select("doc_id", "topic", F.concat_ws("|", "topic_keywords").alias("topic_keywords"))

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.operators import labels as L
 from tessera.operators import tables as TB
 from tessera.sources import store as ST
@@ -26,12 +29,11 @@ def test_merge_and_identity(spark):
     tk = spark.createDataFrame([("A", "x"), ("B", "y"), ("B", "x")], "topic STRING, keyword STRING")
     m = spark.createDataFrame([("A", "A"), ("B", "A"), ("C", "C")], "topic STRING, parent STRING")
     got = {r["topic"]: (r["n_documents"], list(r["documents"]), list(r["topic_keywords"]))
-           for r in TB.merge_topics(dt, tk, m).collect()}
+           for r in TB.merge_topics(dt, tk, m).listed().collect()}
     assert got == {"A": (3, [1, 2, 3], ["x", "y"]), "C": (1, [4], [])}
-    tt = TB.topic_table(dt, tk)
-    same, ident = TB.collapse(dt, tk, tt, None, threshold=1.0)
+    same, ident = TB.collapse(TB.topics_of(dt, tk), None, threshold=1.0)
     assert sorted(map(tuple, ident.collect())) == [("A", "A"), ("B", "B"), ("C", "C")]
-    assert sorted(r["topic"] for r in same.collect()) == ["A", "B", "C"]
+    assert sorted(r["topic"] for r in same.listed().collect()) == ["A", "B", "C"]
 
 
 def test_store_roundtrip_and_text(spark, tmp_path):
@@ -47,6 +49,32 @@ def test_store_roundtrip_and_text(spark, tmp_path):
     assert txt["t2"] == [] and txt["t, one"] == ["a", "b", "c"]  # commas inside cells are lost in text form
 
 
+def test_a_save_that_fails_leaves_the_old_version(spark, tmp_path):
+    """A crash between two tables, then a save of one table, then of all."""
+    root = str(tmp_path / "store")
+    one, two = (spark.createDataFrame([(i,)], "x INT") for i in (1, 2))
+    ST.save({"topics": one, "mapping": one}, root, "s", "mark 1")
+    broken = two.select(F.raise_error(F.lit("lost")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        ST.save({"topics": two, "mapping": broken}, root, "s", "mark 2")
+    read = lambda: {n: df.first()["x"] for n, df in ST.load(spark, root, "s", ("topics", "mapping")).items()}
+    assert read() == {"topics": 1, "mapping": 1} and ST.manifest(spark, root, "s")[1] == "mark 1"
+    ST.save({"mapping": two}, root, "s", keep=True)
+    assert read() == {"topics": 1, "mapping": 2} and ST.manifest(spark, root, "s")[1] == "mark 1"
+    ST.save({"topics": two}, root, "s", "mark 2")
+    assert ST.missing(spark, root, "s", ("topics", "mapping")) == ["mapping"] and ST.manifest(spark, root, "s")[:2] == (3, "mark 2")
+
+
+def test_no_lists_on_the_way(spark):
+    """Merging and collapsing gather no topic in a cell."""
+    dt = spark.createDataFrame([("A", 1), ("A", 2), ("B", 2)], "topic STRING, doc_id LONG")
+    tk = spark.createDataFrame([("A", "x"), ("B", "y")], "topic STRING, keyword STRING")
+    merged = TB.merge_topics(dt, tk, TB.identity_mapping(dt))
+    for df in (merged.counts, merged.documents, merged.keywords):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_" not in plan and "CartesianProduct" not in plan
+
+
 def test_replies_for_some_clusters(spark):
     fb = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "cluster INT, topic STRING")
     rep = spark.createDataFrame([(0, '{"topic": "X"}'), (0, '{"topic": "Y"}'), (2, '{"topic": " "}')], "cluster INT, reply STRING")
