@@ -61,6 +61,7 @@ from .bits import bit_filter
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, FEW = 30, 5, 32
+SLICE_BYTES = 1 << 18
 
 _GOLD, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
@@ -139,7 +140,7 @@ def band_keys(docs: DataFrame, size: int, bands: int, rows: int, weighted: bool)
     """(_row, doc_id, n, same, bands): size and fingerprint of the shingle set, and one key a band."""
     def run(batches):
         roll = C.Rolling(1)
-        for part, data, offs in C.text_slices(batches):
+        for part, data, offs in C.text_slices(batches, size=SLICE_BYTES):
             row, h, times = _shingles(data, offs, roll, size)
             n = part.num_rows
             weight = 1.0 + np.log2(times) if weighted else np.ones(len(times))
@@ -161,7 +162,7 @@ def _shingle_sets(docs: DataFrame, wanted, size: int) -> DataFrame:
     def run(batches):
         roll = C.Rolling(1)
         passed = (b.filter(pa.array(wanted.has(C.mix(b.column("_row").to_numpy()).astype(np.int64)))) for b in batches)
-        for part, data, offs in C.text_slices(passed):
+        for part, data, offs in C.text_slices(passed, size=SLICE_BYTES):
             row, h, _ = _shingles(data, offs, roll, size)
             edge = np.searchsorted(row, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([h[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], ["_row", "set"])
