@@ -258,7 +258,7 @@ class _Linker:
     def finish(self, members: DataFrame) -> None:
         """Compare the members of each key with its pivot, then those with one another
         that may be similar nevertheless, until no key holds several components."""
-        live, first = self.open(members), True
+        live = self.open(members)
         while not live.isEmpty():
             few = live.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= FEW).select("key")
             small = C.store(live.join(few, "key", "left_semi").select("key", "_row", "comp", "n"), "small")
@@ -272,10 +272,8 @@ class _Linker:
             seen = C.store(_compared(pairs.select("a", "b"), self.sets, self.threshold, True).join(pairs, ["a", "b"]), "compared")
             self.add(seen.where("linked"))
             self.compare(self.inside(seen))
-            # a member meets one pivot in many bands: at first, the buckets of a pivot are one. From
-            # then on a new key's members are some of the old one's, without its pivot, so this ends
-            met = met.select(F.col("b").alias("key"), "a", "b", "n", "weight").distinct() if first else met
-            live, first = self.open(self.below(met, seen)), False
+            # a new key's members are some of the old one's, without its pivot, so this ends
+            live = self.open(self.below(met, seen))
 
     def below(self, met: DataFrame, seen: DataFrame) -> DataFrame:
         """Members (key, _row, weight, n) of the keys below those of ``met``, one for each
