@@ -1,4 +1,4 @@
-"""Stop words removed before n-grams are formed.
+"""Stop words removed before n-grams are formed, for one language or by language.
 
 The list is MLlib's public default English list
 (``StopWordsRemover.loadDefaultStopWords("english")``), written out so that the
@@ -9,6 +9,13 @@ document text (``cleaned_stop_words``)."""
 from __future__ import annotations
 
 import re
+import unicodedata
+
+from pyspark.ml.feature import StopWordsRemover
+
+# MLlib's names of its public lists, by language code.
+LISTS = {"da": "danish", "de": "german", "en": "english", "es": "spanish", "fi": "finnish", "fr": "french", "hu": "hungarian",
+         "it": "italian", "nl": "dutch", "no": "norwegian", "pt": "portuguese", "ru": "russian", "sv": "swedish", "tr": "turkish"}
 
 # MLlib default English stop words, in their published order.
 ENGLISH_STOP_WORDS = (
@@ -29,11 +36,17 @@ _WORD = re.compile(r"[^\W\d]+")
 
 
 def cleaned_stop_words(words=ENGLISH_STOP_WORDS) -> list[str]:
-    """Tokens of the stop list after the document cleaning rule (lower case,
-    letter runs, length 2..15, no leading underscore), sorted and distinct."""
+    """Tokens of the stop list after the document cleaning rule (lower case, no
+    accents, letter runs, length 2..15, no leading underscore), sorted and distinct."""
     out = set()
     for w in words:
-        for t in _WORD.findall(w.lower()):
+        plain = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", w.lower()) if unicodedata.category(c) != "Mn"))
+        for t in _WORD.findall(plain):
             if 2 <= len(t) <= 15 and not t.startswith("_"):
                 out.add(t)
     return sorted(out)
+
+
+def stop_words_by_language(codes=tuple(LISTS)) -> dict[str, list[str]]:
+    """{language code: cleaned list}, from MLlib's public lists (needs a session)."""
+    return {c: cleaned_stop_words(StopWordsRemover.loadDefaultStopWords(LISTS[c])) for c in codes}

@@ -92,6 +92,18 @@ def drop_stop_words(tokens: Column, stop_words: list[str] | None = None) -> Colu
     return F.filter(tokens, lambda t: ~t.isin(*stop))
 
 
+def drop_stop_words_by(lang: Column, tokens: Column, lists: dict[str, list[str]]) -> Column:
+    """``drop_stop_words`` with the list of the row's own language: one hash set for
+    each language, row by row, no join. A null language, or one without a list, has the
+    list under the empty code, or else the default list."""
+    out = None
+    for code in sorted(c for c in lists if c):
+        kept = drop_stop_words(tokens, lists[code])
+        out = F.when(lang == code, kept) if out is None else out.when(lang == code, kept)
+    rest = drop_stop_words(tokens, lists.get(""))
+    return rest if out is None else out.otherwise(rest)
+
+
 def ngrams(tokens: Column, n_max: int = 3) -> Column:
     """All 1..n_max-grams of ``tokens`` in order (repeats kept), as
     space-joined strings. Row-local: no shuffle."""

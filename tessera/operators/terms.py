@@ -17,11 +17,16 @@ from ..functions import text as T
 
 
 def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            stop_words: list[str] | None = None) -> DataFrame:
-    """Row-local cleaning: no shuffle; the scan reads only the two columns."""
+            stop_words: list[str] | dict[str, list[str]] | None = None, lang_col: str | None = None) -> DataFrame:
+    """Row-local cleaning: no shuffle; the scan reads only the named columns. Stop
+    words by language (a dict) go by ``lang_col``; without it the language is null."""
     toks = T.clean_tokens(F.col(text_col))
-    return (docs.select(F.col(id_col).alias("doc_id"), toks.alias("tokens"))
-            .withColumn("content", T.drop_stop_words(F.col("tokens"), stop_words)))
+    if not isinstance(stop_words, dict):
+        return (docs.select(F.col(id_col).alias("doc_id"), toks.alias("tokens"))
+                .withColumn("content", T.drop_stop_words(F.col("tokens"), stop_words)))
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), toks.alias("tokens"), lang.alias("lang"))
+    return rows.select("doc_id", "tokens", T.drop_stop_words_by(F.col("lang"), F.col("tokens"), stop_words).alias("content"))
 
 
 def doc_terms(prepared: DataFrame) -> DataFrame:

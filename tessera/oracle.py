@@ -8,7 +8,13 @@ test tables (``documents``, ``pages``, ``embeddings`` …) are assumed.
 
 from __future__ import annotations
 
-from .functions.stopwords import cleaned_stop_words
+import glob
+import os
+import zipfile
+
+import pyspark
+
+from .functions.stopwords import LISTS, cleaned_stop_words
 
 TOP_N = 10
 DIVERSITY = 0.4
@@ -18,6 +24,38 @@ def stop_list() -> str:
     return "[" + ", ".join(f"'{w}'" for w in cleaned_stop_words()) + "]"
 
 
+def public_words(language: str) -> list[str]:
+    """MLlib's list of a language, read from the resources of the PySpark package, so that
+    the SQL does not need a session."""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    (jar,) = glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        return z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode().split()
+
+
+def content_by_language_sql(codes) -> str:
+    """The expression that takes the stop words of the row's language from ``tokens``."""
+    case = " ".join(f"WHEN lang = '{c}' THEN [" + ", ".join(f"'{w}'" for w in cleaned_stop_words(public_words(LISTS[c]))) + "]" for c in codes)
+    return f"list_filter(tokens, lambda t: NOT list_contains(stop, t)) AS content FROM (SELECT *, CASE {case} ELSE {stop_list()} END AS stop FROM tok)"
+
+
+def language_ctes(codes, source: str = "documents") -> str:
+    """``corpus_ctes`` with the stop words of each row's language."""
+    plain = corpus_ctes(source)
+    one = f"list_filter(tokens, lambda t: NOT list_contains({stop_list()}, t)) AS content FROM tok"
+    return plain.replace("SELECT doc_id AS doc_id,", "SELECT doc_id AS doc_id, lang,", 1).replace(one, content_by_language_sql(codes), 1)
+
+
+def phrase_ctes(source: str, id_col: str, text_col: str, name: str = "ph") -> str:
+    """CTE ``name`` (doc_id, keyword): the distinct 1..3-grams of the content tokens."""
+    gram = lambda n: " || ' ' || ".join(["c[i]", "c[i + 1]", "c[i + 2]"][:n])
+    parts = " UNION ".join(f"SELECT doc_id, {gram(n)} AS keyword FROM {name}_at WHERE i + {n - 1} <= len(c)" for n in (1, 2, 3))
+    return f""",
+{name}_c AS (SELECT {id_col} AS doc_id, list_filter({tokens_sql(text_col)}, lambda t: NOT list_contains({stop_list()}, t)) AS c FROM {source}),
+{name}_at AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM {name}_c),
+{name} AS ({parts})"""
+
+
 def tokens_sql(col: str) -> str:
     return ("list_filter(regexp_extract_all(strip_accents(lower(regexp_replace(coalesce(" + col +
             ", ''), '<([^>]+)>', '', 'g'))), '[\\p{L}\\p{Nl}\\p{No}_]+'), "

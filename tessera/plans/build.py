@@ -148,8 +148,8 @@ def build_topics(corpus: Corpus, scenario: str, p: Params | None = None, root: s
     b.tables["mapping"] = cut_lineage(mapping)
     merged = TB.merge_topics(b["topic_doc"], b["topic_keyword"], b["mapping"])
     b.tables["params"] = spark.createDataFrame(
-        [(float(p.threshold), p.reducer, p.method, float(p.eps), int(corpus.n_docs))],
-        "threshold DOUBLE, reducer STRING, method STRING, eps DOUBLE, n_docs BIGINT")
+        [(float(p.threshold), p.reducer, p.method, float(p.eps), int(corpus.n_docs), json.dumps(corpus.stop_words, sort_keys=True))],
+        "threshold DOUBLE, reducer STRING, method STRING, eps DOUBLE, n_docs BIGINT, stop_words STRING")
     if save:
         ST.save({n: b[n] for n in SAVED}, root, scenario, mark, b.model)
     return merged, b

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import oracle as O
 from ..functions import text as T
+from ..functions.stopwords import stop_words_by_language
 from ..functions import vectors as VF
 from ..operators import cluster as CL
 from ..operators import graph as G
@@ -107,6 +108,29 @@ def q_stopword_filter(spark, sf):
                     F.md5(F.concat_ws(" ", "content")).alias("content_md5"))
 
 
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def language_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents with the stop words of each one's language."""
+    return Corpus(S.read_corpus(spark, sf_dir, lang_col="lang"), stop_words=stop_words_by_language(LANGUAGES), lang_col="lang")
+
+
+@register("stopwords_by_language",
+          O.with_(O.language_ctes(LANGUAGES)) + """
+SELECT doc_id, len(content)::BIGINT AS n_content, md5(array_to_string(content, ' ')) AS content_md5 FROM content""")
+def q_stopwords_by_language(spark, sf):
+    p = language_corpus(spark, sf).prepared
+    return p.select("doc_id", F.size("content").cast("bigint").alias("n_content"),
+                    F.md5(F.concat_ws(" ", "content")).alias("content_md5"))
+
+
+@register("keywords_by_language",
+          O.with_(O.language_ctes(LANGUAGES), O.candidate_ctes(), O.mmr_ctes(), O.threshold_cte("mmr", "kw")) + "\nSELECT * FROM kw")
+def q_keywords_by_language(spark, sf):
+    return language_corpus(spark, sf).keywords()
+
+
 @register("ngram_candidates",
           O.with_(O.corpus_ctes(), O.candidate_ctes()) + "\nSELECT doc_id, keyword FROM cm")
 def q_ngram_candidates(spark, sf):
@@ -592,7 +616,7 @@ def _scratch(spark, what: str) -> str:
 
 def _built(spark, sf, p: B.Params = FLAGSHIP, scenario: str = "flagship"):
     root = _scratch(spark, "scenario")
-    out, b = B.build_topics(corpus(spark, sf), scenario, p, root=root)
+    out, b = B.build_topics(language_corpus(spark, sf), scenario, p, root=root)
     return out, b, root
 
 
@@ -608,7 +632,7 @@ def q_build_topics(spark, sf):
 
 @register("topic_modelling", None)
 def q_topic_modelling(spark, sf):
-    b = B.topic_modelling(corpus(spark, sf), FLAGSHIP)
+    b = B.topic_modelling(language_corpus(spark, sf), FLAGSHIP)
     return _table_out(b.topics.listed())
 
 
@@ -723,6 +747,18 @@ def q_predict_by_keyword(spark, sf):
     return PR.predict_by_keyword(nk, t["keyword_topic"], t["mapping"])
 
 
+@register("stream_by_keyword",
+          O.with_(_FX, O.topic_vector_ctes(), O.topic_mapping_ctes(TB.COLLAPSE_THRESHOLD), O.phrase_ctes("benchmark", "item_id", "text")) +
+          "\nSELECT DISTINCT ph.doc_id, coalesce(m.parent, kt.topic) AS topic FROM ph JOIN kt USING (keyword) "
+          "LEFT JOIN tmap m ON m.topic = kt.topic")
+def q_stream_by_keyword(spark, sf):
+    """X1 as a stream plan: benchmark files against the keywords of the saved topics."""
+    from ..streaming import predict_stream as PS
+    _, root = _fixed_saved(spark, sf, TB.COLLAPSE_THRESHOLD)
+    return PS.run_by_keyword(spark, os.path.join(sf, "benchmark*.parquet"), table(spark, sf, "benchmark").schema, root, "fixed",
+                             _scratch(spark, "sink"), _scratch(spark, "ckpt"), id_col="item_id")
+
+
 @register("predict_stream", None)
 def q_predict_stream(spark, sf):
     """Benchmark rows as a file stream, scored per micro-batch; equals the

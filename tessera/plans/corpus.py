@@ -17,11 +17,14 @@ from ..operators import vectors as V
 
 class Corpus:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 stop_words: list[str] | None = None, n_docs: int | None = None,
-                 stats: DataFrame | None = None):
+                 stop_words: list[str] | dict[str, list[str]] | None = None, n_docs: int | None = None,
+                 stats: DataFrame | None = None, lang_col: str | None = None):
         """``stats``/``n_docs`` from a built corpus make this a corpus of new
-        documents scored against the built one's idf (prediction)."""
-        self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        documents scored against the built one's idf (prediction). Stop words may be
+        one list or one for each language; then ``lang_col`` is a row's language."""
+        self.lang = "lang" if lang_col else None
+        self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                                *([F.col(lang_col).alias("lang")] if lang_col else []))
         self.stop_words = stop_words
         self._n_docs = n_docs
         self._foreign = stats is not None
@@ -30,7 +33,7 @@ class Corpus:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return TR.prepare(self.docs, "doc_id", "text", self.stop_words)
+        return TR.prepare(self.docs, "doc_id", "text", self.stop_words, self.lang)
 
     @cached_property
     def terms(self) -> DataFrame:

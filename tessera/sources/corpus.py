@@ -14,9 +14,11 @@ BLANK_CLASS = (r"[^\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200
 
 
 def read_corpus(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Id and text of each record; the Parquet scan reads only these two columns."""
-    return table(spark, sf_dir, name).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+                text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """Id and text of each record (and its language, if asked for); the Parquet
+    scan reads only these columns."""
+    return table(spark, sf_dir, name).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                                             *([F.col(lang_col).alias("lang")] if lang_col else []))
 
 
 def nonblank(docs: DataFrame, text_col: str = "text") -> DataFrame:
