@@ -12,13 +12,14 @@ left to right, from the state "start of text" to the token "end", and its arc
 weights add up.
 
 The automaton is as large as the corpus and is never in one place. Texts are read
-in slices of about a million tokens. A slice sends the distinct n-grams of its texts, with
-their training counts, to shards by hash: an n-gram leaves a slice once however
-often it occurs there, so a token with a third of all occurrences is one key a
-slice. A shard adds up its counts and answers every slice with the totals of its
-keys, in their order. A second job meets the answers with the slices' token
-sequences (as numbers of those keys), which makes the slice's own part of the
-automaton, and reads the texts through it. Shards are made for about 16 MB of text
+once, in slices of about a million tokens, each a stored row with its documents and
+their token sequences; what belongs to a slice is so settled before any job counts in
+it, however the files are packed into splits later. A slice sends the distinct n-grams
+of its texts, with their training counts, to shards by hash: an n-gram leaves a slice
+once however often it occurs there, so a token with a third of all occurrences is one
+key a slice. A shard adds up its counts and answers every slice with the totals of its
+keys, in their order. A second job meets the answers with the slices, which makes the
+slice's own part of the automaton, and reads the texts through it. Shards are made for about 16 MB of text
 each, so they don't grow with the corpus. Keys are 64-bit hashes.
 
 Rows: null text is the empty text, which has the one token "end"; a null id is
@@ -36,6 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import arrow_rows
 from . import common as C
 
 ORDER, MU, FOLDS, ADD = 2, 2.0, 10, 0.1
@@ -105,23 +107,35 @@ def _shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1))
 
 
-def _requests(docs: DataFrame, order: int, shards: int) -> DataFrame:
+class Stored:
+    """A stored slice: documents, their folds and their token sequences."""
+
+    def __init__(self, parts):
+        raw = [p.as_buffer() for p in parts]
+        self.ids, self.none, self.held = (_unpack(raw[i], t) for i, t in enumerate((np.int64, np.uint8, np.uint8)))
+        self.at = _unpack(raw[3], np.int64)
+        self.seq = np.cumsum(_unpack(raw[4], np.uint64), dtype=np.uint64)[_unpack(raw[5], np.uint32)]
+
+
+def _requests(slices: DataFrame, order: int, shards: int) -> DataFrame:
     """One row for each slice, level and shard: keys and training counts."""
     def run(batches):
-        for rows, seq, at in token_runs(batches):
-            s = Slice(seq, at, order)
-            train = ~rows.column("held_out").to_numpy()
-            out = []
-            for n, (ends_at, keys, number) in enumerate(s.levels, 1):
-                count = np.bincount(number, weights=train[s.row[ends_at]], minlength=len(keys)).astype(np.uint32)
-                edge = _shard_edges(keys, shards)
-                for k in np.flatnonzero(np.diff(edge)).tolist():
-                    part = keys[edge[k]:edge[k + 1]]
-                    out.append((n, k, [_pack(np.diff(part, prepend=np.uint64(0))), _pack(count[edge[k]:edge[k + 1]])]))
-            level, shard, parts = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array([rows.column("_row")[0].as_py()] * len(out), pa.int64()), pa.array(level, pa.int32()),
-                                              pa.array(shard, pa.int32()), pa.array(parts, pa.list_(pa.binary()))], ["batch", "level", "shard", "parts"])
-    return docs.mapInArrow(run, PARTS)
+        for batch in batches:
+            for own, parts in zip(batch.column("batch").to_pylist(), batch.column("parts")):
+                it = Stored(parts)
+                s = Slice(it.seq, it.at, order)
+                train = it.held == 0
+                out = []
+                for n, (ends_at, keys, number) in enumerate(s.levels, 1):
+                    count = np.bincount(number, weights=train[s.row[ends_at]], minlength=len(keys)).astype(np.uint32)
+                    edge = _shard_edges(keys, shards)
+                    for k in np.flatnonzero(np.diff(edge)).tolist():
+                        part = keys[edge[k]:edge[k + 1]]
+                        out.append((n, k, [_pack(np.diff(part, prepend=np.uint64(0))), _pack(count[edge[k]:edge[k + 1]])]))
+                level, shard, parts = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(out), pa.int64()), pa.array(level, pa.int32()),
+                                                  pa.array(shard, pa.int32()), pa.array(parts, pa.list_(pa.binary()))], ["batch", "level", "shard", "parts"])
+    return slices.mapInArrow(run, PARTS)
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -186,15 +200,10 @@ def _scored(groups: DataFrame, order: int, n_train: int, n_known: int, mu: float
     def run(table: pa.Table) -> pa.Table:
         found = sorted(zip(table.column("level").to_pylist(), table.column("shard").to_pylist(), range(table.num_rows)))
         parts = table.column("parts").combine_chunks()
-        own = parts[found[0][2]]
-        ids, none, held = (_unpack(own[i].as_buffer(), t) for i, t in enumerate((np.int64, np.uint8, np.uint8)))
-        at = _unpack(own[3].as_buffer(), np.int64)
-        seq = np.cumsum(_unpack(own[4].as_buffer(), np.uint64), dtype=np.uint64)[_unpack(own[5].as_buffer(), np.uint32)]
-        levels = Slice(seq, at, order).levels
+        own = Stored(parts[found[0][2]])
+        ids, none, held, at = own.ids, own.none, own.held, own.at
+        levels = Slice(own.seq, at, order).levels
         counts = [np.concatenate([np.zeros(0, np.int64)] + [_unpack(parts[i][0].as_buffer(), np.int64) for lv, _, i in found if lv == n]) for n in range(1, order + 1)]
-        for (_, keys, _), count in zip(levels, counts):
-            if len(keys) != len(count):
-                raise RuntimeError("a slice and its answers differ; the input changed between two reads")
         numbers = [number for _, _, number in levels]
         root, path, seen = automaton_weights(at, numbers, counts, n_train, n_known, mu)
         # the start of a text is no token: sum from the position after it
@@ -212,9 +221,11 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, folds: int = FOLD
     docs = C.numbered(C.id_text(docs)).withColumn("held_out", C.crc_mod("doc_id", folds) == 0)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(-(-size // SHARD_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    answers = C.store(_answers(_requests(docs, order, shards)), "answers")
+    slices = C.store(_sequences(docs), "slices")
+    with arrow_rows(docs.sparkSession, 1):  # a row is a whole slice
+        answers = C.store(_answers(_requests(slices, order, shards)), "answers")
     n_train, n_known = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("known")).first())
-    both = _sequences(docs).unionByName(answers.drop("tokens", "known"))
+    both = slices.unionByName(answers.drop("tokens", "known"))
     return _scored(both, order, n_train, n_known, mu)
 
 

@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import DataFrameWriter
 
+from tessera.llm import backoff_lm as LM
 from tessera.llm import common as C
 from tessera.llm import stages
 from tessera.llm import substring_dedup as SD
@@ -44,3 +45,11 @@ def test_near(spark, shifting):
 def test_substring(shifting):
     got = {r.doc_id: r.n_removed for r in SD.substring_dedup(shifting).collect()}
     assert got == {i: 80 if i >= 100 else 0 for i in got} and len(got) == 70
+
+
+def test_backoff(spark, shifting):
+    steady = sorted(map(tuple, LM.score(C.store(shifting, "steady").coalesce(1)).collect()))
+    spark.conf.set("spark.sql.files.minPartitionNum", 64)
+    got = sorted(map(tuple, LM.score(shifting).collect()))
+    assert len(got) == 70 and [g[:5] for g in got] == [w[:5] for w in steady]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in steady]
