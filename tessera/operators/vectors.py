@@ -8,17 +8,23 @@ corpus by random indexing (Kanerva et al., 2000):
   summation order gives the same result;
 * a phrase (keyword, label, document) vector is L2(Σ_t n_t·idf(t)·T(t)).
 
-All sums are 64 unrolled ``sum`` aggregates in one group-by: hash aggregation
-with map-side partial sums, whole-stage codegen, no Python."""
+Sums by token and phrase are 64 unrolled ``sum`` aggregates in one group-by: hash
+aggregation with map-side partial sums, whole-stage codegen, no Python. Document
+vectors are sums inside slices of documents (``doc_vectors``)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as VF
 
 DIM = VF.DIM
+SLICE_DOCS = 1024  # documents whose vectors one task sums at a time
+SUM_ROWS = 1 << 16  # rows x 64 products that are in memory at once
 
 
 def _hex_digits(key: Column) -> list[Column]:
@@ -60,9 +66,44 @@ def phrase_vectors(phrases: DataFrame, key: str, stats: DataFrame, tvecs: DataFr
     return _weighted_sum(rows, key, "w")
 
 
-def doc_vectors(weighted: DataFrame, tvecs: DataFrame) -> DataFrame:
-    """V2: document vectors from (doc_id, token, wd = tf·idf) rows."""
-    return _weighted_sum(weighted.join(tvecs, "token"), "doc_id", "wd")
+def _slice_sums(rows: pa.Table, vectors: pa.Table) -> pa.Table:
+    """(doc_id, v) of a slice's (doc_id, token, wd) rows and its tokens' vectors. Sums go
+    in order of token, so a result is the same on every run."""
+    vectors = vectors.sort_by("known")
+    rows = rows.append_column("at", pc.index_in(rows["token"], value_set=vectors["known"].combine_chunks()))
+    rows = rows.filter(pc.is_valid(rows["at"]))
+    ids = rows["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    doc, at = ids.indices.to_numpy(zero_copy_only=False), rows["at"].to_numpy()
+    order = np.lexsort((at, doc))
+    doc, at, weight = doc[order], at[order], rows["wd"].to_numpy()[order]
+    tv = vectors["tv"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+    out = np.zeros((len(ids.dictionary), DIM))
+    for a in range(0, len(doc), SUM_ROWS):
+        part = doc[a:a + SUM_ROWS]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out[part[first]] += np.add.reduceat(weight[a:a + SUM_ROWS, None] * tv[at[a:a + SUM_ROWS]], first, axis=0)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    v = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, DIM, dtype=np.int32)), pa.array(v.ravel()))
+    return pa.table({"doc_id": ids.dictionary, "v": lists})
+
+
+def doc_vectors(weighted: DataFrame, tvecs: DataFrame, n_docs: int) -> DataFrame:
+    """V2: document vectors from (doc_id, token, wd = tf·idf) rows of about ``n_docs``
+    documents; a document without a known token has none.
+
+    Documents lie in slices of about 1,024. A token's vector goes to a slice once, not to
+    each of its documents there, and a document is whole in its slice, so no 64-wide
+    row of a (document, token) pair or of a partial sum is moved. A token of a third of
+    all rows is one row a slice. Slices are more with more documents, not larger.
+    Both uses of ``weighted`` read it, so it should be a stored table."""
+    slices = max(1, -(-int(n_docs) // SLICE_DOCS))
+    rows = weighted.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"), "doc_id", "token", F.col("wd").cast("double").alias("wd"))
+    need = rows.select("slice", "token").distinct().join(tvecs.select("token", F.col("tv").cast("array<double>").alias("tv")), "token")
+    key = weighted.schema["doc_id"].dataType.simpleString()
+    return (rows.groupBy("slice").cogroup(need.select(F.col("slice").alias("of_slice"), F.col("token").alias("known"), "tv").groupBy("of_slice"))
+            .applyInArrow(_slice_sums, f"doc_id {key}, v array<double>"))
 
 
 def vector_text(v: Column, scale: int = 1_000_000) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import keywords as K
 from ..operators import terms as TR
 from ..operators import vectors as V
+from ..session import stored
 
 
 class Corpus:
@@ -81,8 +82,10 @@ class Corpus:
             tvecs = self.token_vectors(toks.where(F.col("token").isNotNull()))
         return V.phrase_vectors(phrases, key, self.stats, tvecs, text_col)
 
-    def doc_vectors(self) -> DataFrame:
-        return V.doc_vectors(self.weighted, self.token_vectors())
+    def doc_vectors(self, tvecs: DataFrame | None = None) -> DataFrame:
+        """Vectors of the documents, by the corpus's own token vectors or given ones."""
+        rows = stored(self.weighted.select("doc_id", "token", "tf", "wd"), "weighted")
+        return V.doc_vectors(rows, V.token_vectors(rows) if tvecs is None else tvecs, TR.corpus_size(self.docs))
 
     def materialize(self, *names: str) -> "Corpus":
         """Checkpoint the named frames in the shared checkpoint folder (eager):
