@@ -16,7 +16,9 @@ similarity with weights of 1.
 
 150 coordinates make 30 bands of 5. At set similarity 0.8 a pair misses every band
 with probability 7e-6, also where texts repeat shingles. Candidates are then checked exactly: the set Jaccard
-similarity of the shingles must be 0.8 or more.
+similarity of the shingles must be 0.8 or more. Shingle sets are moved only for pairs whose
+sketches (one byte of each coordinate) agree often enough; a pair at the threshold agrees
+less often with a probability of MISS at most, far below that of the bands.
 
 * Texts with the same shingle set are one class member from the start (one
   aggregation); only representatives enter the bands.
@@ -26,19 +28,18 @@ similarity of the shingles must be 0.8 or more.
   all bands in which several components are left; members of the pivot's component
   need no comparison. A large group of copies so costs a few comparisons a member.
 * Buckets that still hold several components are mostly texts that share a passage,
-  or variants of one text that are similar to it only. There all members are
-  compared with the pivot p, and two members a and b can be similar in two ways.
-  Either both hold a shingle that p lacks: they go on to a bucket of the members
-  with that shingle, so without p. (They share 0.8 |a| - |a ∩ p| of them at least,
-  so all of a's but that many less one, in order of hash, are enough as keys.
-  Buckets with the same members become one.) Or their common part lies
-  in p, so that it is no larger than |a ∩ p| and |b ∩ p|; with
-  f(x) = 9/4 |x ∩ p| - |x| this means |b| <= f(a) and |a| <= f(b). As f(x) >= |p|
-  just for x similar to p, one of the two is then smaller than p, and such pairs are
-  few; they are joined by pivot and size class and compared. Buckets of at most FEW
-  members skip this: each is compared with the others of a similar size. This goes
-  on until no bucket holds several components. So no link between two members is
-  lost, and no larger bucket is paired with itself.
+  or variants of one text that are similar to it only. In buckets of at most MANY members
+  the sketches of those of a similar size are compared, and their sets if most sketches
+  agree. The members of larger ones go to
+  new buckets, once for all of theirs: with all shingles in one order, two similar texts
+  share one of the first |x| - 0.8 |x| + 1 of each (prefix filter). Shingles that a pivot
+  holds come last, so a shared passage makes no bucket unless it is most of a text.
+* New buckets that are still large and of several components are texts of one family, near
+  the threshold from one another. They are dealt into blocks; two blocks at a time are
+  compared like a bucket of MANY members. Blocks of the bucket's main component meet only
+  those of others, so a large group of copies costs its size times the few other blocks;
+  only many components in one such bucket cost their number's square, in bounded tasks.
+  So no link between two members is lost, and no bucket is paired with itself as rows.
 
 Rows: null text has no words; texts without words have the same (empty) shingle
 set and form one class; a text of one to four words has its words as its one
@@ -49,6 +50,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,8 +63,11 @@ from . import common as C
 from .bits import bit_filter
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS, FEW = 30, 5, 32
+BANDS, ROWS = 30, 5
+FEW, MANY = 32, 2048  # members of a key that make pairs, or are compared in one task
+HELD, PAIRS = 1 << 21, 4  # shingles of a key in one task; pairs a member that it hands on
 SLICE_BYTES = 1 << 18
+MISS = 1e-7  # chance that a similar pair's sketches agree too rarely
 
 _GOLD, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
@@ -137,7 +143,8 @@ def _shingles(data: np.ndarray, offs: np.ndarray, roll: C.Rolling, size: int):
 
 
 def band_keys(docs: DataFrame, size: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """(_row, doc_id, n, same, bands): size and fingerprint of the shingle set, and one key a band."""
+    """(_row, doc_id, n, same, bands, sketch): size and fingerprint of the shingle set, one
+    key a band, and one byte of every coordinate."""
     def run(batches):
         roll = C.Rolling(1)
         for part, data, offs in C.text_slices(batches, size=SLICE_BYTES):
@@ -152,9 +159,32 @@ def band_keys(docs: DataFrame, size: int, bands: int, rows: int, weighted: bool)
             edge = np.searchsorted(row, np.arange(n + 1))
             same = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
             lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(key.ravel().astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(np.diff(edge)), pa.array(same, pa.binary()), lists],
-                                             ["_row", "doc_id", "n", "same", "bands"])
-    return docs.mapInArrow(run, "_row long, doc_id long, n long, same binary, bands array<long>")
+            sketch = pa.array([line.tobytes() for line in sig.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(np.diff(edge)), pa.array(same, pa.binary()), lists, sketch],
+                                             ["_row", "doc_id", "n", "same", "bands", "sketch"])
+    return docs.mapInArrow(run, "_row long, doc_id long, n long, same binary, bands array<long>, sketch binary")
+
+
+def least_agreeing(k: int, threshold: float) -> int:
+    """The largest number of coordinates, of k, that two texts at the threshold or above
+    reach but for a probability of MISS."""
+    below = 0.0
+    for m in range(k + 1):
+        below += math.comb(k, m) * threshold ** m * (1.0 - threshold) ** (k - m)
+        if below > MISS:
+            return m
+    return k
+
+
+def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) whose sketches agree in ``least`` coordinates or more."""
+    def run(batches):
+        for batch in batches:
+            x, y = (C.raw_text(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("ka", "kb"))
+            ok = np.flatnonzero((x == y).sum(axis=1) >= least) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+    side = lambda x: sketches.select(F.col("_row").alias(x), F.col("sketch").alias("k" + x))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, wanted, size: int) -> DataFrame:
@@ -169,39 +199,78 @@ def _shingle_sets(docs: DataFrame, wanted, size: int) -> DataFrame:
     return docs.select("_row", "text").mapInArrow(run, "_row long, set binary")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, threshold: float, with_keys: bool) -> DataFrame:
-    """Pairs (a, b) with ``linked``, whether the Jaccard similarity of their sets is
-    the threshold or more, and, if asked for, ``common``, the size of their common
-    part, and ``lacking``, the shingles of a that b lacks, as far as needed as keys."""
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with ``linked``, whether the Jaccard similarity of their sets is the
+    threshold or more."""
     def run(batches):
         for batch in batches:
-            linked, common, keys = [], [], []
+            linked = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)])
                 both.sort(kind="stable")
                 n = int((both[1:] == both[:-1]).sum())
-                linked.append(n >= threshold * (len(x) + len(y) - n))
-                if with_keys:
-                    common.append(n)
-                    rest = np.setdiff1d(x, y, assume_unique=True)
-                    must = int(np.ceil(threshold * len(x) - n - 1e-9))
-                    keys.append(rest[:len(rest) - max(must, 1) + 1].astype(np.int64))
-            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())]
-            if with_keys:
-                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                out += [pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))]
-            yield pa.RecordBatch.from_arrays(out, ["a", "b", "linked", "common", "lacking"][:len(out)])
+                linked.append(n >= threshold * (len(both) - n))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
     return (pairs.join(sets.select(F.col("_row").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("_row").alias("b"), F.col("set").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean" + ", common long, lacking array<long>" * with_keys))
+            .select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean"))
+
+
+def _agreeing_in_key(threshold: float, least: int):
+    """The pairs (a, b) of a key's members, of different components and similar sizes, whose
+    sketches agree in ``least`` coordinates or more. Where these are more than PAIRS a
+    member, one row (key, null) instead: then the sets themselves are looked at."""
+    def run(table):
+        rows = table.combine_chunks().to_batches()[0]
+        row, comp, n = (rows.column(c).to_numpy() for c in ("_row", "comp", "n"))
+        sketch = C.raw_text(rows.column("sketch"))[0].reshape(len(row), -1)
+        found, total = [], 0
+        for i in range(len(row) - 1):
+            x = slice(i + 1, None)
+            fits = (comp[x] != comp[i]) & (np.minimum(n[x], n[i]) >= threshold * np.maximum(n[x], n[i]))
+            j = i + 1 + np.flatnonzero(fits)
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
+            found.append((np.full(len(j), row[i]), row[j]))
+            total += len(j)
+            if total > PAIRS * len(row):
+                return pa.table({"a": rows.column("key").slice(0, 1), "b": pa.nulls(1, pa.int64())})
+        a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found) if found else ((), ())))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
+
+
+def _linked_in_key(threshold: float):
+    """Links (a, b) between a key's members whose sets are similar, as many as join their
+    components: all sets of the key are counted against one after the other."""
+    def run(table):
+        rows = table.combine_chunks().to_batches()[0]
+        row, comp, n = (rows.column(c).to_numpy() for c in ("_row", "comp", "n"))
+        flat = np.frombuffer(b"".join(v.as_py() for v in rows.column("set")), dtype=np.uint64)
+        first = np.cumsum(n) - n
+        kinds, at = np.unique(flat, return_inverse=True)
+        label = np.unique(comp, return_inverse=True)[1]
+        held, found = np.zeros(len(kinds), dtype=bool), []
+        for i in range(len(row)):
+            mine = at[first[i]:first[i] + n[i]]
+            held[mine] = True
+            common = np.add.reduceat(held[at], first)
+            held[mine] = False
+            similar = common >= threshold * (n + n[i] - common)
+            for j in np.flatnonzero(similar & (label != label[i])):
+                if label[j] != label[i]:
+                    found.append((row[i], row[j]))
+                    label[label == label[j]] = label[i]
+        a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
 
 
 class _Linker:
     """Verified links between rows, and the components that they make so far."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float):
+    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: float, sketches: DataFrame | None = None, least: int = 0):
         self.sets, self.threshold, self.links = sets, threshold, None
+        self.sketches, self.least = sketches, least
         self.comps = nodes.select("_row", F.col("_row").alias("comp"))
 
     def open(self, members: DataFrame) -> DataFrame:
@@ -231,81 +300,128 @@ class _Linker:
                              .select("_row", F.coalesce("new", "comp").alias("comp")), "comps")
 
     def compare(self, pairs: DataFrame) -> None:
-        self.add(C.store(_compared(pairs.distinct(), self.sets, self.threshold, False), "compared").where("linked"))
+        pairs = pairs.distinct()
+        if self.sketches is not None:
+            pairs = C.store(_agreeing(pairs, self.sketches, self.least), "agreeing")
+        self.add(C.store(_compared(pairs, self.sets, self.threshold), "compared").where("linked"))
 
     def sweep(self, members: DataFrame) -> None:
         """Compare the members of each key with its pivot."""
         fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb"))
         self.compare(self.pairs(self.open(members)).where(fits).select("a", "b"))
 
-    def inside(self, seen: DataFrame) -> DataFrame:
-        """Pairs of members whose common part may lie in their pivot."""
-        ratio = (1 + self.threshold) / self.threshold
-        side = (seen.join(self.comps.withColumnRenamed("_row", "a"), "a")
-                .select("b", "a", "n", "comp", (F.lit(ratio) * F.col("common") - F.col("n") + 1e-6).alias("f"),
-                        F.floor(F.log("n") / F.lit(-np.log(self.threshold))).alias("size_class"))
-                .where(F.col("f") >= F.lit(self.threshold) * F.col("n")))
-        side = C.store(side, "sides")
-        # most of a pivot's members are of one component, and need no comparison among themselves
-        per = side.groupBy("b", "comp").agg(F.count("*").alias("rows")).groupBy("b").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"))
-        side = C.store(side.join(per.where("comps > 1").select("b", "main"), "b"), "mixed_sides")
-        left = side.where("comp != main").select("b", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"),
-                                                 F.col("a").alias("x"), F.col("n").alias("nx"), F.col("f").alias("fx"), F.col("comp").alias("cx"))
-        once = (F.col("comp") == F.col("main")) | (F.col("x") < F.col("a"))
-        return left.join(side, ["b", "size_class"]).where(once & (F.col("cx") != F.col("comp")) & (F.col("n") <= F.col("fx")) & (F.col("nx") <= F.col("f"))).select(
-            F.least("x", "a").alias("a"), F.greatest("x", "a").alias("b"))
+    def small(self, live: DataFrame, blocks: bool = False) -> DataFrame:
+        """Compare the members of keys with MANY members at most with one another, by their
+        sketches first; the others are left (of ``blocks`` none). Keys of up to FEW make
+        pairs, larger ones are compared in one task a key."""
+        size = live.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("held"))
+        if not blocks:
+            size = size.where((F.col("size") <= FEW) | (F.col("size") <= MANY) & (F.col("held") <= HELD))
+        sizes = C.store(size.select("key", "size"), "sizes")
+        small = C.store(live.join(sizes, "key").select("key", "_row", "comp", "n", "size"), "small")
+        few = small.where(F.col("size") <= FEW).drop("size")
+        other = few.select("key", F.col("_row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+        fits = (F.col("_row") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.lit(self.threshold) * F.greatest("n", "nb"))
+        pairs = few.join(other, "key").where(fits).select(F.col("_row").alias("a"), "b")
+        more = small.where(F.col("size") > FEW).drop("size")
+        dense = more.select("key").distinct()
+        if self.sketches is not None:
+            close = C.store(more.join(self.sketches, "_row").groupBy("key").applyInArrow(_agreeing_in_key(self.threshold, self.least), "a long, b long"), "close")
+            pairs = pairs.union(close.where("b IS NOT NULL"))
+            dense = close.where("b IS NULL").select(F.col("a").alias("key"))
+        self.compare(pairs)
+        whole = more.join(dense, "key", "left_semi").join(self.sets, "_row")
+        self.add(C.store(whole.groupBy("key").applyInArrow(_linked_in_key(self.threshold), "a long, b long").distinct(), "linked"))
+        return live.join(sizes, "key", "left_anti").select(live.columns)
+
+    def blocks(self, large: DataFrame) -> DataFrame:
+        """Members of new keys, each of two blocks of a key's members: blocks of its main
+        component with those of the others, and the others' with one another."""
+        per = large.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("held"))
+        per = per.groupBy("key").agg(F.max_by(F.struct("comp", "rows", "held"), F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.sum("held").alias("held"))
+        count = lambda rows, held: F.greatest(F.ceil(rows / F.lit(MANY / 3)), F.ceil(held / F.lit(HELD / 3)))
+        per = C.store(per.select("key", F.col("main.comp").alias("main"), count(F.col("main.rows"), F.col("main.held")).alias("mains"),
+                                 count(F.col("rows") - F.col("main.rows"), F.col("held") - F.col("main.held")).alias("others")), "block_counts")
+        rows = large.join(per, "key").withColumn("of_main", F.col("comp") == F.col("main"))
+        block = F.pmod(F.xxhash64("_row"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others")))
+        rows = rows.withColumn("block", block)
+        each = lambda n, other: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), other)
+        with_main = F.when(F.col("of_main"), each(F.col("others"), lambda i: F.xxhash64("key", F.lit("main"), F.col("block"), i))).otherwise(
+            each(F.col("mains"), lambda i: F.xxhash64("key", F.lit("main"), i, F.col("block"))))
+        with_others = F.when(F.col("of_main"), F.array().cast("array<long>")).otherwise(
+            each(F.col("others"), lambda i: F.xxhash64("key", F.lit("others"), F.least(i, F.col("block")), F.greatest(i, F.col("block")))))
+        return rows.withColumn("keys", F.concat(with_main, with_others)).select(F.explode_outer("keys").alias("key"), "_row", "weight", "n", "comp")
+
+    def first_shingles(self, large: DataFrame) -> DataFrame:
+        """Members (key, _row, weight, n) of new keys, for the members of all keys of
+        ``large``: a key is a shingle among the first ones of two sets. Shingles of the
+        old keys' pivots come last in the order, others by hash."""
+        pivots = large.groupBy("key").agg(F.min_by("_row", F.struct(-F.col("weight"), "_row")).alias("_row")).select("_row").distinct()
+        held = C.store(_flat_sets(self.sets.join(C.store(pivots, "pivots"), "_row", "left_semi")).distinct(), "held")
+        hot = C.store(large.groupBy("_row").agg(F.max("weight").alias("weight"), F.max("n").alias("n")), "hot")
+        first = C.store(_prefixes(self.sets.join(hot, "_row"), bit_filter(held, "h", held.count()), self.threshold), "prefixes")
+        twice = first.select(F.explode_outer("first").alias("h")).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+        twice = C.store(twice, "twice")
+        return _by_shingle(first, bit_filter(twice, "h", twice.count()))
 
     def finish(self, members: DataFrame) -> None:
-        """Compare the members of each key with its pivot, then those with one another
-        that may be similar nevertheless, until no key holds several components."""
+        """Compare the members of small keys with one another, those of large ones by
+        their first shingles, and where these still make large keys, by blocks."""
         live = self.open(members)
-        while not live.isEmpty():
-            few = live.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= FEW).select("key")
-            small = C.store(live.join(few, "key", "left_semi").select("key", "_row", "comp", "n"), "small")
-            other = small.select("key", F.col("_row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            fits = (F.col("_row") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.lit(self.threshold) * F.greatest("n", "nb"))
-            self.compare(small.join(other, "key").where(fits).select(F.col("_row").alias("a"), "b"))
-            met = C.store(self.pairs(live.join(few, "key", "left_anti")).where("a != b").select("key", "a", "b", F.col("na").alias("n"), "weight"), "met")
-            if met.isEmpty():
+        for step in (self.first_shingles, None):
+            if live.isEmpty():
+                return
+            large = C.store(self.small(live), "large")
+            if large.isEmpty():
                 return
-            pairs = met.select("a", "b", "n").distinct()
-            seen = C.store(_compared(pairs.select("a", "b"), self.sets, self.threshold, True).join(pairs, ["a", "b"]), "compared")
-            self.add(seen.where("linked"))
-            self.compare(self.inside(seen))
-            # a new key's members are some of the old one's, without its pivot, so this ends
-            live = self.open(self.below(met, seen))
-
-    def below(self, met: DataFrame, seen: DataFrame) -> DataFrame:
-        """Members (key, _row, weight, n) of the keys below those of ``met``, one for each
-        shingle that the pivot lacks. Of a key, most members are of one component, the main
-        one; a shingle matters only if a member of another component has it."""
-        at = C.store(met.join(self.comps.withColumnRenamed("_row", "a"), "a"), "met_comps")
-        per = at.groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"))
-        at = at.join(per.where("comps > 1").select("key", "main"), "key").join(seen.select("a", "b", "lacking"), ["a", "b"])
-        at = C.store(at.select("key", F.col("a").alias("_row"), "weight", "n", (F.col("comp") == F.col("main")).alias("in_main"), "lacking"), "lacking")
-        others = C.store(_by_shingle(at.where("NOT in_main"), None), "others")
-        wanted = C.store(others.select("key").distinct(), "wanted")
-        return others.unionByName(_by_shingle(at.where("in_main"), bit_filter(wanted, "key", wanted.count())))
+            live = self.open(large.drop("comp") if step is None else step(large))
+        if not live.isEmpty():
+            self.small(C.store(self.blocks(live), "blocks"), True)
+
+
+def _flat_sets(sets: DataFrame) -> DataFrame:
+    """(h): the shingles of all sets."""
+    def run(batches):
+        for b in batches:
+            data = b"".join(v.as_py() for v in b.column("set"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(data, dtype=np.int64)))], ["h"])
+    return sets.select("set").mapInArrow(run, "h long")
+
+
+def _prefixes(sets: DataFrame, late, threshold: float) -> DataFrame:
+    """(_row, weight, n, first): the first shingles of each set, as many as make similar
+    sets share one; those that the filter holds come last."""
+    def run(batches):
+        for b in batches:
+            lists = []
+            for v in b.column("set"):
+                h = np.frombuffer(v.as_buffer(), dtype=np.int64)
+                last = late.has(h)
+                n = len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1
+                lists.append(np.concatenate([h[~last], h[last]])[:n])
+            at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_row", "weight", "n")], pa.ListArray.from_arrays(pa.array(at), flat)], ["_row", "weight", "n", "first"])
+    return sets.select("_row", "weight", "n", "set").mapInArrow(run, "_row long, weight long, n long, first array<long>")
 
 
 def _by_shingle(rows: DataFrame, wanted) -> DataFrame:
-    """(key, _row, weight, n): every row (key, _row, weight, n, lacking) under a new key for
-    each shingle that its pivot lacks; only under keys that the filter lets through."""
+    """(key, _row, weight, n): every row (_row, weight, n, first) under each of its first
+    shingles that the filter lets through."""
     def run(batches):
         for b in batches:
-            lists = b.column("lacking")
-            of = C.row_of(lists.offsets.to_numpy())
-            key = C.mix(C.mix(b.column("key").to_numpy())[of] + lists.flatten().to_numpy().astype(np.uint64)).astype(np.int64)
-            if wanted is not None:
-                ok = wanted.has(key)
-                of, key = of[ok], key[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[b.column(c).take(pa.array(of)) for c in ("_row", "weight", "n")]], ["key", "_row", "weight", "n"])
-    return rows.select("key", "_row", "weight", "n", "lacking").mapInArrow(run, "key long, _row long, weight long, n long")
+            lists = b.column("first")
+            of, key = C.row_of(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            ok = wanted.has(key)
+            of = pa.array(of[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), *[b.column(c).take(of) for c in ("_row", "weight", "n")]], ["key", "_row", "weight", "n"])
+    return rows.mapInArrow(run, "key long, _row long, weight long, n long")
 
 
-def _link(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, first_bands: int = 5) -> tuple[DataFrame, DataFrame]:
+def _link(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, first_bands: int = 5,
+          sketches: DataFrame | None = None, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and components (_row, comp) of members (band, key, _row, weight, n)."""
-    linker = _Linker(nodes, sets, threshold)
+    linker = _Linker(nodes, sets, threshold, sketches, least)
     linker.sweep(members.where(F.col("band") < first_bands).drop("band"))
     linker.sweep(members.drop("band"))
     linker.finish(members.drop("band"))
@@ -335,7 +451,9 @@ def near_rows(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESH
     nodes = C.store(members.select("_row").distinct(), "nodes")
     mixed = nodes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(C.mix(b.column(0).to_numpy()).astype(np.int64))], ["h"]) for b in it), "h long")
     sets = C.store(_shingle_sets(docs, bit_filter(mixed, "h", nodes.count()), shingle).join(nodes, "_row", "left_semi"), "sets")
-    links, comps = _link(members, nodes, sets, threshold)
+    # the sketches of weighted signatures say nothing about the sets' similarity
+    sketches = None if weighted else C.store(keyed.select("_row", "sketch").join(nodes, "_row", "left_semi"), "sketches")
+    links, comps = _link(members, nodes, sets, threshold, sketches=sketches, least=least_agreeing(bands * rows, threshold))
     links = C.store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     classed = C.store(reps.join(comps.withColumnsRenamed({"_row": "rep", "comp": "class"}), "rep", "left").withColumn("class", F.coalesce("class", "rep"))

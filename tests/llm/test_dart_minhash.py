@@ -110,3 +110,47 @@ def test_repeated_shingles(spark):
         rows.append((len(rows), " ".join([base] * (2, 4, 8)[i % 3]) if i % 4 else base + (" " + line) * 1000))
     got = check(C.store(spark.createDataFrame(rows, "doc_id long, text string"), "repeated"))
     assert len({r.class_id for r in got}) == 40
+
+
+def variants(n, words, edits, seed):
+    """Texts similar to a base that isn't among them, and not to one another."""
+    rng = random.Random(seed)
+    base = word_text(seed, words).split()
+    rows = []
+    for i in range(n):
+        w = base[:]
+        for at in rng.sample(range(words), edits):
+            w[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(w)))
+    return rows + [(n, rows[0][1] + " more"), (n + 1, rows[1][1] + " more")]
+
+
+def test_near_threshold_group_is_not_split_by_shingles(spark, monkeypatch):
+    """Before, such a group went through round after round of keys by shingle."""
+    stored, store = [], C.store
+    monkeypatch.setattr(C, "store", lambda df, name="table": (stored.append(name), store(df, name))[1])
+    rows = C.numbered_once(spark.createDataFrame(variants(120, 300, 12, 21), "doc_id long, text string"))
+    got = X.near_rows(rows).collect()
+    assert len({r.class_id for r in got}) == 120
+    assert "lacking" not in stored and "linked" in stored
+
+
+def test_large_keys_by_first_shingles(spark, monkeypatch):
+    """With bounds so low that keys are large ones: first shingles, then blocks."""
+    stored, store = [], C.store
+    monkeypatch.setattr(C, "store", lambda df, name="table": (stored.append(name), store(df, name))[1])
+    monkeypatch.setattr(X, "FEW", 2)
+    monkeypatch.setattr(X, "MANY", 8)
+    rows = variants(40, 300, 12, 22)
+    passage = word_text(23, 140)
+    rows += [(100 + i, passage + " " + word_text(2000 + i, 100)) for i in range(40)]
+    rows += [(200 + i, passage + " " + word_text(2000 + i, 100) + " end") for i in range(10)]
+    got = check(C.store(spark.createDataFrame(rows, "doc_id long, text string"), "large_keys"))
+    assert len({r.class_id for r in got}) == 80 and {"prefixes", "blocks"} <= set(stored)
+
+
+def test_sketches_pass_similar_pairs():
+    least = X.least_agreeing(150, 0.8)
+    rng = np.random.default_rng(5)
+    assert 80 < least < 100 and X.least_agreeing(5, 0.1) == 0
+    assert (rng.binomial(150, 0.8, 1_000_000) >= least).all()
