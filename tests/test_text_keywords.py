@@ -99,3 +99,19 @@ def test_mmr_matches_sequential_definition(spark):
     expect = {cands[p]["keyword"] for p in picks}
     got = {r["keyword"] for r in c.keywords(thresholded=False).collect()}
     assert got == expect
+
+
+def test_picks_equal_candidate_rows_without_making_them(spark):
+    from tessera.operators import keywords as K
+    texts = [(0, "solar panel solar energy panel grid"), (1, "same same same same"), (2, "single"), (3, ""), (None, "née straße été née"),
+             (4, "zz aa zz aa zz bb aa aab aa_b"), (5, None)]
+    c = Corpus(spark.createDataFrame(texts, "doc_id LONG, text STRING"))
+    rows = {}
+    for r in c.candidates.collect():
+        rows.setdefault(r["doc_id"], []).append((-r["rel"], r["keyword"].encode(), r["keyword"]))
+    want = {d: [(k, -rel) for rel, _, k in sorted(x)[:10]] for d, x in rows.items()}
+    got = {r["doc_id"]: [(p["keyword"], p["rel"]) for p in r["picks"]] for r in K.picked(c.sequences).collect()}
+    assert got == want and None in got and 3 not in got
+    for use_mmr in (True, False):
+        plan = c.keywords(use_mmr=use_mmr)._jdf.queryExecution().optimizedPlan().toString()
+        assert "cnorm" not in plan  # before, every candidate was a row with its norm
