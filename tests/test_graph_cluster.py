@@ -187,3 +187,47 @@ def test_leaders_of_a_long_chain(spark, monkeypatch, capsys, block):
     assert got == {i: i - i % 2 for i in range(n)}
     print("rounds:", rounds.count("state"))
     assert rounds.count("state") <= -(-n // block)
+
+
+def test_blocks_are_moved_by_tile_and_not_by_pair(spark, monkeypatch):
+    """All 24 blocks meet, 300 pairs, in tiles of three groups; before, each pair moved two blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    pts = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "pid LONG, v ARRAY<DOUBLE>").cache()
+    monkeypatch.setattr(N, "GROUPS", 3)
+    monkeypatch.setattr(N, "GROUP_POINTS", 50)
+    monkeypatch.setattr(N, "ROWS_AT_ONCE", 7)
+    table = N.blocks(pts, 100.0, 3, ["pid"], block=17)
+    made = {}
+    stored, within = N.stored, N.within
+    monkeypatch.setattr(N, "stored", lambda df, name="table": made.setdefault(name, stored(df, name)))
+
+    def near(a, va, b, vb, same):
+        i, j, d = within(va, vb, 1.0)
+        ok = a[0][i] < b[0][j] if same else np.ones(len(i), dtype=bool)
+        return np.minimum(a[0][i], b[0][j])[ok], np.maximum(a[0][i], b[0][j])[ok], d[ok]
+    got = N.met(N.block_pairs(table, table, 3, symmetric=True), table, table, ["pid"], ["pid"], 3, near, "a long, b long, d double", "near")
+    d = N.distances(x, x)
+    want = {(i, j): d[i, j] for i in range(400) for j in range(i + 1, 400) if d[i, j] <= 1.0}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.a, r.b): r.d for r in rows} == want
+    n, tiles = table.count(), made["tiled"]
+    moved = tiles.select("tile", "l").distinct().count() + tiles.select("tile", "r").distinct().count()
+    assert tiles.count() == n * (n + 1) // 2 and moved <= 4 * n
+    # nothing meets nothing
+    none = table.where("false")
+    made.clear()
+    assert N.met(N.block_pairs(none, table, 3), none, table, ["pid"], ["pid"], 3, near, "a long, b long, d double", "near").collect() == []
+
+
+def test_distances_at_the_radius_do_not_depend_on_products():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)) * 100
+    y = np.concatenate([x + np.eye(8)[rng.integers(0, 8, 60)] * 0.5, rng.normal(size=(9, 8))])
+    d = N.distances(x, y)
+    for radius in (0.5, float(d[3, 3]), float(np.nextafter(d[3, 3], 0)), float(d[0, 7]), 0.0):
+        assert (N.are_within(x, y, radius) == (d <= radius)).all()
+        i, j, w = N.within(x, y, radius)
+        assert set(zip(i, j)) == set(zip(*np.nonzero(d <= radius))) and (w == d[i, j]).all()
+    empty = np.zeros((0, 8))
+    assert N.are_within(empty, y, 1.0).shape == (0, 69) and not len(N.within(empty, y, 1.0)[0])
