@@ -121,3 +121,48 @@ def test_density_equals_plain_version(spark, name):
     _, radii = N.core_distances(pts, 15, min(N.GRID, len(rows[0])), radius, extent)
     want = plain_labels(rows, eps_max=radii[-1], top=radii[-1])
     assert got == want and max(want.values()) >= 1 and (name in ("copies", "five") or -1 in want.values())
+
+
+def test_ladder_is_exact_percentiles_of_a_sorted_table(spark):
+    """As ``F.percentile`` has them, which holds all weights in one task."""
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    for n in (1, 2, 7, 500):
+        edges = spark.createDataFrame([(i, i + 1, rng.choice([0.5, rng.random()])) for i in range(n)], "a long, b long, w double").repartition(4)
+        at = edges.agg(F.percentile("w", F.array(*[F.lit((i + 1) / 32) for i in range(32)]))).first()[0]
+        assert D.ladder(edges, 32) == sorted(set(at))
+    assert D.ladder(edges.where("w > 2"), 32) == []
+
+
+def test_forest_holds_the_least_links():
+    """As many and as light as Kruskal's, also where a component is at either end of links."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.random(300).round(2)
+        label, want = list(range(40)), []
+        for i in np.argsort(w, kind="stable"):
+            x, y = label[a[i]], label[b[i]]
+            if x != y:
+                want.append(w[i])
+                label = [x if z == y else z for z in label]
+        assert sorted(w[D._forest(a, b, w)]) == want
+
+
+def test_thinned_links_have_the_same_components_at_every_weight(spark):
+    """Links between blocks are many times the points; what the merges read is a forest of them."""
+    rng = random.Random(6)
+    rows = [(a, b, round(rng.random(), 2), a % 5) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(900)) if a != b]
+    edges = spark.createDataFrame(rows, "a long, b long, w double, zone long")
+
+    def components(links, most):
+        low = list(range(60))
+        for a, b, w, _ in links:
+            if w <= most:
+                x, y = low[a], low[b]
+                low = [min(x, y) if z in (x, y) else z for z in low]
+        return low
+    for per_task in (1000, 200):  # one task; several, and again until few are dropped
+        thin = [tuple(r) for r in D.thinned(edges, per_task).collect()]
+        assert set(thin) <= set(rows) and len(thin) < len(rows) // 2
+        assert all(components(thin, w) == components(rows, w) for w in np.arange(0, 1.01, 0.01).round(2))
+    assert len(D.thinned(edges).collect()) == 59  # a tree
