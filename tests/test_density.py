@@ -166,3 +166,79 @@ def test_thinned_links_have_the_same_components_at_every_weight(spark):
         assert set(thin) <= set(rows) and len(thin) < len(rows) // 2
         assert all(components(thin, w) == components(rows, w) for w in np.arange(0, 1.01, 0.01).round(2))
     assert len(D.thinned(edges).collect()) == 59  # a tree
+
+
+def test_one_task_gives_the_same_merges_and_clusters_as_rounds(spark):
+    """Links and trees that a task can hold are settled there, without rounds over the ladder or the tree."""
+    for name, levels in (("nested", 32), ("copies", 32), ("five", 6)):
+        rows = case(name)
+        pts, _ = N.points(spark.createDataFrame(list(rows.items()), "key long, vec array<double>").repartition(3), "key", "vec")
+        radius, extent = N.first_radius(pts, min(N.GRID, len(rows[0])))
+        cores, radii = N.core_distances(pts, 15, min(N.GRID, len(rows[0])), radius, extent)
+        edges = D.links(pts, cores, radii, min(N.GRID, len(rows[0])))
+        steps = D.ladder(edges, levels)
+        made = []
+        for per_task in (D.LINKS, 0):
+            found = D.merges(pts, edges, steps, per_task)
+            label = D.clusters_of(pts, found, steps, 15, radii[-1], per_task)
+            groups = {}
+            for r in label.collect():
+                groups.setdefault(r.cluster, set()).add(r.pid)
+            made.append((sorted(tuple(r) for r in found.collect()), sorted(map(sorted, groups.values()))))
+        assert made[0] == made[1] and made[0][0] and made[0][1]
+
+
+def test_two_blocks_keep_the_forest_of_all_their_links():
+    """Whether all links are measured or only those that may be in it."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x, y = ([np.arange(n, n + 256), rng.uniform(0.9, 1.2, 256), np.arange(n, n + 256) // 2] for n in (0, 256))
+        vx, vy = rng.normal(size=(2, 256, 8)).round(1)
+        i, j, w = N.within(vx, vy, 6.0)
+        w = np.maximum(w, np.maximum(x[1][i], y[1][j]))
+        assert len(i) > D.MANY
+        keep = D._forest(x[2][i], y[2][j], w)
+        got = D._spanning(x, vx, y, vy, False, 6.0, [])
+        assert all((p == q).all() for p, q in zip(got, (i[keep], j[keep], w[keep])))
+        # links that join what lighter ones of the tile have joined are left out, the components at any weight stay
+        tile = D._Links()
+        cols = [x[0][got[0]], y[0][got[1]], x[2][got[0]], y[2][got[1]], got[2], np.zeros(len(got[0]))]
+        tile.fold(cols)
+        again = D._spanning(x, vx, y, vy, False, 6.0, tile.cuts)
+        assert len(again[0]) <= len(got[0])
+        both = np.concatenate([cols[2], x[2][again[0]]]), np.concatenate([cols[3], y[2][again[1]]]), np.concatenate([cols[4], again[2]])
+        assert sorted(both[2][D._forest(*both)]) == sorted(got[2])
+
+
+def test_a_tile_thins_links_that_wait(spark, monkeypatch):
+    """What leaves a task is linear in its points, whatever number of blocks meet there."""
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(600)]
+    pts, _ = N.points(spark.createDataFrame(rows, "key long, vec array<double>"), "key", "vec")
+    radius, extent = N.first_radius(pts, 3)
+    blocks = N.blocks
+    monkeypatch.setattr(N, "blocks", lambda pts, side, dims, fields, comp=None: blocks(pts, side, dims, fields, comp, 16))
+    cores, radii = N.core_distances(pts, 15, 3, radius, extent)
+    v = np.array([v for _, v in rows])
+    assert sorted(r.core for r in cores.collect()) == sorted(np.sort(N.distances(v, v), axis=1)[:, 14])
+    made = []
+    for most in (N.ROWS_AT_ONCE, 700):
+        monkeypatch.setattr(N, "ROWS_AT_ONCE", most)
+        made.append(D.links(pts, cores, radii, 3).toPandas())
+    assert len(made[1]) < len(made[0])
+    forests = [sorted(e.w[D._forest(e.a.to_numpy(), e.b.to_numpy(), e.w.to_numpy())]) for e in made]
+    assert forests[0] == forests[1] and len(forests[0]) == 599
+
+
+def test_radii_that_settle_no_point_are_left_out(spark, monkeypatch):
+    """Far from the first radius; cores, their rounds and the radii are as if none was left out."""
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(12)]) for k in range(200)]
+    pts, _ = N.points(spark.createDataFrame(rows, "key long, vec array<double>"), "key", "vec")
+    _, extent = N.first_radius(pts, 3)
+    asked, blocks = [], N.blocks
+    monkeypatch.setattr(N, "blocks", lambda *a, **k: asked.append(a[1]) or blocks(*a, **k))
+    cores, radii = N.core_distances(pts, 15, 3, extent / 1024, extent)
+    assert len(set(asked)) < len(radii)
+    assert all(r.core <= radii[r["round"]] and (r["round"] == 0 or r.core > radii[r["round"] - 1]) for r in cores.collect())
+    assert max(r["round"] for r in cores.collect()) == len(radii) - 1
