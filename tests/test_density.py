@@ -222,8 +222,8 @@ def test_a_tile_thins_links_that_wait(spark, monkeypatch):
     v = np.array([v for _, v in rows])
     assert sorted(r.core for r in cores.collect()) == sorted(np.sort(N.distances(v, v), axis=1)[:, 14])
     made = []
-    for most in (N.ROWS_AT_ONCE, 700):
-        monkeypatch.setattr(N, "ROWS_AT_ONCE", most)
+    for most in (N.WAITING, 700):
+        monkeypatch.setattr(N, "WAITING", most)
         made.append(D.links(pts, cores, radii, 3).toPandas())
     assert len(made[1]) < len(made[0])
     forests = [sorted(e.w[D._forest(e.a.to_numpy(), e.b.to_numpy(), e.w.to_numpy())]) for e in made]

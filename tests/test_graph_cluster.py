@@ -231,3 +231,53 @@ def test_distances_at_the_radius_do_not_depend_on_products():
         assert set(zip(i, j)) == set(zip(*np.nonzero(d <= radius))) and (w == d[i, j]).all()
     empty = np.zeros((0, 8))
     assert N.are_within(empty, y, 1.0).shape == (0, 69) and not len(N.within(empty, y, 1.0)[0])
+
+
+def test_dbscan_and_nearest_in_small_blocks_equal_plain_versions(spark, monkeypatch):
+    """A tile knows which points are core, joined or near already, and looks at no pair for them."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(150, 4)) * 0.4, rng.normal(size=(60, 4)) * 0.4 + 3, rng.uniform(-2, 5, size=(60, 4))]).round(1)
+    d = N.distances(v, v)
+    near = d <= 0.6
+    core = near.sum(axis=1) >= 6
+    label = np.arange(len(v))
+    while True:
+        new = np.array([label[near[k] & core].min() if core[k] else label[k] for k in range(len(v))])
+        if (new == label).all():
+            break
+        label = new
+    heads = sorted({int(label[k]) for k in range(len(v)) if core[k]})
+    want = [heads.index(label[k]) if core[k] else min((heads.index(label[x]) for x in np.flatnonzero(near[k] & core)), default=-1) for k in range(len(v))]
+    blocks = N.blocks
+    monkeypatch.setattr(N, "blocks", lambda pts, side, dims, fields, comp=None: blocks(pts, side, dims, fields, comp, 16))
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "key long, v array<double>").repartition(3)
+    got = {r.key: r.cluster for r in CL.dbscan(df, "key", "v", eps=0.6, min_samples=6, metric="euclidean").collect()}
+    assert [got[k] for k in range(len(v))] == want and len(heads) >= 2 and -1 in want
+    # links by components: a pair of blocks in one component is not looked at
+    task = CL._Joined()
+    x, y = np.arange(100), np.arange(100, 200)
+    vx, vy = rng.normal(size=(100, 4)), rng.normal(size=(100, 4))
+    a, b = CL._links(x, vx, y, vy, 9.0, task)
+    assert len(a) == 199 and CL._links(x, vx, y, vy, 9.0, task) is None
+    # the nearest, ties by the smaller id, radii left out in between
+    asked = rng.uniform(-2, 5, size=(80, 4)).round(1)
+    far = N.distances(asked, v)
+    pts = spark.createDataFrame([(len(v) - 1 - k, x) for k, x in enumerate(v.tolist())], "pid long, v array<double>")
+    new = spark.createDataFrame([(k, x) for k, x in enumerate(asked.tolist())], "pid long, v array<double>")
+    found = {r.pid: (r.d, r.near) for r in N.nearest(new, pts, 3, 0.01, 20.0).collect()}
+    assert found == {k: min((far[k, x], len(v) - 1 - x) for x in range(len(v))) for k in range(len(asked))}
+
+
+def test_cosine_pairs_carry_their_ids(spark):
+    """Whole numbers are not joined to the pairs; other ids are. Null and repeated ids make no pair of their own."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 5))
+    ids = [None if k % 20 == 0 else k // 2 for k in range(60)]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = sorted((min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(60) for j in range(i) if ids[i] is not None and ids[j] is not None
+                  and ids[i] != ids[j] and unit[i] @ unit[j] >= 0.5)
+    df = spark.createDataFrame(list(zip(ids, v.tolist())), "id long, v array<double>")
+    assert sorted((r.a, r.b) for r in G.cosine_pairs(df, "id", "v", 0.5).collect()) == want
+    text = df.selectExpr("lpad(id, 2, '0') AS id", "v")
+    assert sorted((int(r.a), int(r.b)) for r in G.cosine_pairs(text, "id", "v", 0.5).collect()) == want
+    assert "Join" not in G.cosine_pairs(df, "id", "v", 0.5)._jdf.queryExecution().toString()
